@@ -9,15 +9,15 @@ from ..params import ReboundParams, ScanParams, SeriesParams
 from . import series as S
 
 
-def full_frame(value: Column, w, back: int, needed: int) -> Column:
-    """`value` only where the frame of `back`+1 rows holds at least `needed`."""
-    return F.when(F.count(F.lit(1)).over(w.rowsBetween(-back, 0)) >= needed, value)
+def once_there_are(rows: int, value: Column) -> Column:
+    """`value` from the bar on that completes `rows` of them."""
+    return F.when(F.col("pos") + 1 >= rows, value)
 
 
 def bollinger(w, period: int = 20, width: float = 2.0, close: str = "close") -> dict[str, Column]:
     frame = w.rowsBetween(-(period - 1), 0)
     mid, dev = F.avg(close).over(frame), F.stddev_pop(close).over(frame)
-    return {name: full_frame(col, w, period - 1, period) for name, col in
+    return {name: once_there_are(period, col) for name, col in
             (("bb_lower", mid - width * dev), ("bb_mid", mid), ("bb_upper", mid + width * dev))}
 
 
@@ -30,12 +30,12 @@ def gain_loss(w, close: str = "close") -> dict[str, Column]:
 
 def rolling_extremes(w, bars: int = 252, needed: int = 60, close: str = "close") -> dict[str, Column]:
     frame = w.rowsBetween(-(bars - 1), 0)
-    return {"roll_low": full_frame(F.min(close).over(frame), w, bars - 1, needed),
-            "roll_high": full_frame(F.max(close).over(frame), w, bars - 1, needed)}
+    return {"roll_low": once_there_are(needed, F.min(close).over(frame)),
+            "roll_high": once_there_are(needed, F.max(close).over(frame))}
 
 
 def moving_average(w, bars: int = 50, close: str = "close") -> Column:
-    return full_frame(F.avg(close).over(w.rowsBetween(-(bars - 1), 0)), w, bars - 1, bars)
+    return once_there_are(bars, F.avg(close).over(w.rowsBetween(-(bars - 1), 0)))
 
 
 def change_over(w, bars: int = 20, close: str = "close") -> Column:

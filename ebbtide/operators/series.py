@@ -35,7 +35,13 @@ def _before(keys: Sequence[str]):
 
 
 def join_chunks(rows: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.join(chunks, [*keys, CHUNK])
+    """Attach what is carried into each chunk.
+
+    The rows are already spread and sorted by these keys, so a merge join moves
+    only the small table; a broadcast could pick either side by size and would
+    give that layout up.
+    """
+    return rows.join(chunks.hint("merge"), [*keys, CHUNK])
 
 
 def running_sum(df: DataFrame, value: str, out: str, order: Sequence[str],
@@ -89,8 +95,10 @@ def with_positions(bars: DataFrame, series: SeriesParams = SeriesParams(),
         df = df.withColumn("_d", delta)
         df = (df.withColumn("_g", F.when(F.col("_d") > 0, F.col("_d") * grow).otherwise(0.0))
                 .withColumn("_l", F.when(F.col("_d") < 0, -F.col("_d") * grow).otherwise(0.0)))
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({"_gcum": F.sum("_g").over(upto), "_lcum": F.sum("_l").over(upto)})
         totals += [F.min_by("close", "_ln").alias("_first"), F.max_by("close", "_ln").alias("_last"),
-                   F.sum("_g").alias("_gs"), F.sum("_l").alias("_ls")]
+                   F.max("_gcum").alias("_gs"), F.max("_lcum").alias("_ls")]
     sums = df.groupBy(*keys, CHUNK).agg(*totals)
     ordered = Window.partitionBy(*keys).orderBy(CHUNK)
     chunks = (sums.withColumn("_start", F.coalesce(F.sum("_len").over(_before(keys)), F.lit(0)))
@@ -101,14 +109,12 @@ def with_positions(bars: DataFrame, series: SeriesParams = SeriesParams(),
     out = (join_chunks(df, chunks, keys)
            .withColumn("pos", F.col("_start") + F.col("_ln") - 1))
     if rsi_period:
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        gain = F.col("_gin") + F.sum("_g").over(upto)
-        loss = F.col("_lin") + F.sum("_l").over(upto)
+        gain, loss = F.col("_gin") + F.col("_gcum"), F.col("_lin") + F.col("_lcum")
         out = out.withColumn("_gain", gain).withColumn("_loss", loss)
         out = out.withColumn("rsi", F.when(F.col("pos") < rsi_period, F.lit(None))
                              .when(F.col("_loss") == 0, F.lit(100.0))
                              .otherwise(100.0 - 100.0 / (1.0 + F.col("_gain") / F.col("_loss"))))
-        out = out.drop("_d", "_g", "_l", "_gin", "_lin", "_gain", "_loss")
+        out = out.drop("_d", "_g", "_l", "_gcum", "_lcum", "_gin", "_lin", "_gain", "_loss")
     return out.drop(CHUNK, "_ln", "_start")
 
 

@@ -49,8 +49,8 @@ class ScanParams:
 
     @property
     def tail_bars(self) -> int:
-        return max(self.support_lookback, self.wedge_lookback, self.chart_bars,
-                   self.bb_period + 1, self.volume_bars)
+        return max(self.support_lookback, self.wedge_lookback, self.chart_bars + self.bb_period,
+                   self.volume_bars)
 
 
 @dataclass(frozen=True)

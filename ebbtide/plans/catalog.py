@@ -53,6 +53,11 @@ def six(*names: str) -> list[Column]:
     return [F.round(F.col(n), 6).alias(n) for n in names]
 
 
+def ten(*names: str) -> list[Column]:
+    """Means of short decimals: six places could fall on a half."""
+    return [F.round(F.col(n), 10).alias(n) for n in names]
+
+
 def long(value: Column | str, name: str) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("long").alias(name)
 
@@ -221,7 +226,7 @@ def _(spark, d):
 def _(spark, d):
     return reports.chart_table(X.bars_daily(spark, d)).select(
         "symbol", day(), "open", "high", "low", "close", "rsi_ref",
-        *six("bb_lower", "bb_mid", "bb_upper", "rsi", "support_level"))
+        *six("bb_lower", "bb_mid", "bb_upper", "rsi"), *ten("support_level"))
 
 
 # ---- scan ----------------------------------------------------------------------
@@ -235,7 +240,7 @@ def _(spark, d):
 def _(spark, d):
     f = scan_features(X.bars_daily(spark, d))
     levels = F.explode(cluster_levels(F.col("support_lows"), SCAN.support_cluster, SCAN.support_touches))
-    return f.select("symbol", levels.alias("level")).select("symbol", *six("level"))
+    return f.select("symbol", levels.alias("level")).select("symbol", *ten("level"))
 
 
 @query("A4_trend_lines")
@@ -250,7 +255,7 @@ def _(spark, d):
 def _(spark, d):
     s = signals.score(scan_features(X.bars_daily(spark, d)))
     return s.select("symbol", *[F.array_contains("matched", k).alias("rsi_hit" if k == "rsi" else k) for k in signals.FILTERS],
-                    "wedge_state", *six("support_level", "rsi", "bb_lower"))
+                    "wedge_state", *six("rsi", "bb_lower"), *ten("support_level"))
 
 
 @query("P17_scores")

@@ -10,12 +10,18 @@ from pyspark.sql import SparkSession
 # Runtime settings the jobs count on. Broadcast sides are chosen by Spark from
 # measured shuffle sizes (adaptive execution), never by an unchecked hint; the
 # skew split may add a shuffle, which is cheaper than one task with a hot symbol.
+# Distributions must use all their keys: data already laid out by symbol would
+# otherwise satisfy (symbol, chunk) and keep a hot symbol in one task. Local
+# shuffle reads are off because they undo the spreading of rows that few map
+# tasks wrote.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.localShuffleReader.enabled": "false",
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
 }
 
 

@@ -13,8 +13,8 @@ def six(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0 AS {n}" for n in names)
 
 
-def lit(text: str) -> str:
-    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+def ten(*names: str) -> str:
+    return ", ".join(f"round({n}, 10) + 0 AS {n}" for n in names)
 
 
 def fixed(x: str, digits: int) -> str:
@@ -154,16 +154,16 @@ def oracle_sql() -> dict[str, str]:
     add("W10_positions", "pos", f"SELECT symbol, {DAY}, pos, n_bars FROM pos")
     add("W11_chart_table", "ind support", f"""
       SELECT i.symbol, {DAY}, open, high, low, close, CAST(30 AS DOUBLE) AS rsi_ref,
-             {six('bb_lower', 'bb_mid', 'bb_upper', 'rsi', 'support_level')}
+             {six('bb_lower', 'bb_mid', 'bb_upper', 'rsi')}, {ten('support_level')}
       FROM ind i LEFT JOIN support s ON s.symbol = i.symbol WHERE pos >= n_bars - 80 AND n_bars >= 25""")
 
     add("A1_P3_liquidity", "gate", f"""
       SELECT symbol, last_close, {six('avg_volume')}, last_close >= 2 AND avg_volume >= 30000 AS liquid FROM gate""")
-    add("A3_support_levels", "levels", f"SELECT symbol, {six('level')} FROM levels")
+    add("A3_support_levels", "levels", f"SELECT symbol, {ten('level')} FROM levels")
     add("A4_trend_lines", "lines", f"SELECT symbol, hn, ln, {six('hs', 'hi', 'ls', 'li')} FROM lines")
     add("P13_P14_P15_P16_filters", "scored", f"""
       SELECT symbol, f_boll AS bollinger, f_rsi AS rsi_hit, f_supp AS support, f_wedge AS wedge, wedge_state,
-             {six('support_level', 'rsi', 'bb_lower')} FROM scored""")
+             {six('rsi', 'bb_lower')}, {ten('support_level')} FROM scored""")
     add("P17_scores", "scored", "SELECT symbol, CAST(bar_ts AS DATE) AS day, price, score, signature, liquid FROM scored")
     add("X1_filter_reasons", "reasons", "SELECT symbol, bollinger, rsi, support, wedge FROM reasons")
     add("X1_python_filter", "scored pos", f"""
