@@ -72,7 +72,7 @@ def _(spark, d):
 
 @query("S3_latest_close")
 def _(spark, d):
-    return P.latest_prices(X.bars_daily(spark, d))
+    return P.latest_prices(X.bars(spark, d))
 
 
 def _directory_files(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +126,7 @@ def _(spark, d):
 @query("S8_J1_universe_bars")
 def _(spark, d):
     picked = universe.resolve(spark, " s1, S3 ,s5,,S7")
-    kept = restrict(X.bars_daily(spark, d), picked)
+    kept = restrict(X.bars(spark, d), picked)
     return kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max("close").alias("top"))
 
 
@@ -137,7 +137,7 @@ def _(spark, d):
 
 def _nested_documents(spark: SparkSession, d: str) -> DataFrame:
     """One chain document per order and symbol, at most seven contracts each."""
-    c = X.chain(spark, d)
+    c = X.contracts(spark, d)
     name = F.concat(F.upper("symbol"), F.date_format("expiry", "yyMMdd"),
                     F.when(F.col("option_type") == "call", "C").otherwise("P"),
                     F.lpad(F.round(F.col("strike") * 1000).cast("long").cast("string"), 8, "0"))
@@ -176,7 +176,7 @@ def _(spark, d):
 @query("S12_csv_export")
 def _(spark, d):
     path = scratch_path(spark, "matches")
-    sinks.write_csv(picks.screen(X.chain(spark, d), SCREEN_PRESETS["cli"]), path)
+    sinks.write_csv(picks.screen(X.contracts(spark, d), SCREEN_PRESETS["cli"]), path)
     back = spark.read.option("header", True).csv(path)
     return back.select("ticker", "contract_symbol", "option_type", F.col("expiry").cast("date").alias("expiry"),
                        F.col("dte").cast("int").alias("dte"),
@@ -187,7 +187,7 @@ def _(spark, d):
 @query("S13_S14_F9_snapshots")
 def _(spark, d):
     """Two versions of the qualified list; the newest is read, then judged for freshness."""
-    liquid = signals.liquidity(X.bars_daily(spark, d)).where("liquid").select("symbol")
+    liquid = signals.liquidity(X.bars(spark, d)).where("liquid").select("symbol")
     path = scratch_path(spark, "qualified")
     sinks.write_snapshot(liquid.where("symbol < 'S5'"), path, "2001-11-01 10:00:00")
     sinks.write_snapshot(liquid, path, "2001-11-02 21:00:00")
@@ -202,7 +202,7 @@ def _(spark, d):
 def _indicator(name: str, only: tuple[str, ...], columns: Callable[[], list]):
     @query(name)
     def _(spark, d):
-        return indicator_series(X.bars_daily(spark, d), only=only).select("symbol", day(), *columns())
+        return indicator_series(X.bars(spark, d), only=only).select("symbol", day(), *columns())
 
 
 _indicator("W1_bollinger", ("bollinger",), lambda: six("bb_lower", "bb_mid", "bb_upper"))
@@ -218,13 +218,13 @@ _indicator("W10_positions", (), lambda: [long("pos", "pos"), long("n_bars", "n_b
 
 @query("W9_last_bars")
 def _(spark, d):
-    return series.tail(series.with_positions(X.bars_daily(spark, d)), SCAN.wedge_lookback).select(
+    return series.tail(series.with_positions(X.bars(spark, d)), SCAN.wedge_lookback).select(
         "symbol", day(), long("pos", "pos"))
 
 
 @query("W11_chart_table")
 def _(spark, d):
-    return reports.chart_table(X.bars_daily(spark, d)).select(
+    return reports.chart_table(X.bars(spark, d)).select(
         "symbol", day(), "open", "high", "low", "close", "rsi_ref",
         *six("bb_lower", "bb_mid", "bb_upper", "rsi"), *ten("support_level"))
 
@@ -233,19 +233,19 @@ def _(spark, d):
 
 @query("A1_P3_liquidity")
 def _(spark, d):
-    return signals.liquidity(X.bars_daily(spark, d)).select("symbol", "last_close", *six("avg_volume"), "liquid")
+    return signals.liquidity(X.bars(spark, d)).select("symbol", "last_close", *six("avg_volume"), "liquid")
 
 
 @query("A3_support_levels")
 def _(spark, d):
-    f = scan_features(X.bars_daily(spark, d))
+    f = scan_features(X.bars(spark, d))
     levels = F.explode(cluster_levels(F.col("support_lows"), SCAN.support_cluster, SCAN.support_touches))
     return f.select("symbol", levels.alias("level")).select("symbol", *ten("level"))
 
 
 @query("A4_trend_lines")
 def _(spark, d):
-    return scan_features(X.bars_daily(spark, d)).select(
+    return scan_features(X.bars(spark, d)).select(
         "symbol", long("high_pivots", "hn"), long("low_pivots", "ln"),
         *[F.round(F.col(c), 6).alias(a) for c, a in (("high_slope", "hs"), ("high_intercept", "hi"),
                                                      ("low_slope", "ls"), ("low_intercept", "li"))])
@@ -253,20 +253,20 @@ def _(spark, d):
 
 @query("P13_P14_P15_P16_filters")
 def _(spark, d):
-    s = signals.score(scan_features(X.bars_daily(spark, d)))
+    s = signals.score(scan_features(X.bars(spark, d)))
     return s.select("symbol", *[F.array_contains("matched", k).alias("rsi_hit" if k == "rsi" else k) for k in signals.FILTERS],
                     "wedge_state", *six("rsi", "bb_lower"), *ten("support_level"))
 
 
 @query("P17_scores")
 def _(spark, d):
-    s = signals.score(scan_features(X.bars_daily(spark, d)))
+    s = signals.score(scan_features(X.bars(spark, d)))
     return s.select("symbol", F.col("bar_ts").cast("date").alias("day"), "price", "score", "signature", "liquid")
 
 
 @query("X1_filter_reasons")
 def _(spark, d):
-    s = signals.score(scan_features(X.bars_daily(spark, d)))
+    s = signals.score(scan_features(X.bars(spark, d)))
     return s.select("symbol", *[F.col("reasons")[k].alias(k) for k in signals.FILTERS])
 
 
@@ -278,7 +278,7 @@ def _(spark, d):
             raise ValueError("odd")
         return frame["close"].iloc[-1] * 30 < frame["close"].sum(), "below"
 
-    bars = X.bars_daily(spark, d)
+    bars = X.bars(spark, d)
     wide, entry = signals.with_python_filter(scan_features(bars), bars, "mean30", below_mean, 30)
     s = signals.score(wide, SCAN, {**signals.FILTERS, "mean30": entry})
     return s.select("symbol", "score", F.array_contains("matched", "mean30").alias("mean30"),
@@ -287,13 +287,13 @@ def _(spark, d):
 
 @query("K1_signals_by_score")
 def _(spark, d):
-    return signals.signals(signals.scan(X.bars_daily(spark, d)), TWO_OF_FOUR).select(
+    return signals.signals(signals.scan(X.bars(spark, d)), TWO_OF_FOUR).select(
         "symbol", "price", "score", "signature")
 
 
 @query("A2_scan_stats")
 def _(spark, d):
-    bars = X.bars_daily(spark, d)
+    bars = X.bars(spark, d)
     asked = X.table(spark, d, "supplier").selectExpr("concat('S', s_suppkey) as symbol").unionByName(
         X.table(spark, d, "nation").selectExpr("concat('N', n_nationkey) as symbol"))
     failed = X.table(spark, d, "nation").where("n_regionkey = 1").selectExpr("concat('N', n_nationkey) as symbol")
@@ -303,7 +303,7 @@ def _(spark, d):
 
 @query("U3_K7_hot_list")
 def _(spark, d):
-    bars = X.bars_daily(spark, d)
+    bars = X.bars(spark, d)
     scored = signals.scan(bars)
     before = X.table(spark, d, "supplier").where("s_nationkey = 3").selectExpr("concat('S', s_suppkey) as symbol")
     return signals.hot_lane(signals.hot_symbols(scored, SCAN, before), SCAN)
@@ -313,12 +313,12 @@ def _(spark, d):
 
 @query("P18_dip_zone")
 def _(spark, d):
-    return dip_frame(X.bars_daily(spark, d)).select("symbol", day(), "dip", *six("gain"))
+    return dip_frame(X.bars(spark, d)).select("symbol", day(), "dip", *six("gain"))
 
 
 @query("A5_A6_P19_rebound_stats")
 def _(spark, d):
-    return rebound_stats(X.bars_daily(spark, d)).select(
+    return rebound_stats(X.bars(spark, d)).select(
         "symbol", "price", long("n_bars", "n_bars"), "dip", long("episodes", "episodes"),
         long("rebounds", "rebounds"), "declining_now", "qualifies",
         *six("change_20d", "rsi14", "above_52w_low", "off_52w_high", "avg_gain", "rebound_rate", "score"))
@@ -326,47 +326,47 @@ def _(spark, d):
 
 @query("K5_best_rebounds")
 def _(spark, d):
-    return best_rebounds(rebound_stats(X.bars_daily(spark, d)), CONTRACTS.bottom_symbols).select("symbol", *six("score"))
+    return best_rebounds(rebound_stats(X.bars(spark, d)), CONTRACTS.bottom_symbols).select("symbol", *six("score"))
 
 
 # ---- contracts --------------------------------------------------------------------
 
 @query("P4_F4_quotes")
 def _(spark, d):
-    return quotes.normalize_quotes(X.chain(spark, d)).select(
+    return quotes.normalize_quotes(X.contracts(spark, d)).select(
         "contract_symbol", "estimated", "bid", "ask", "premium", *six("spread_pct"), "breakeven", "contract_cost")
 
 
 @query("P6_P8_F5_window")
 def _(spark, d):
-    c = X.chain(spark, d).drop("dte")
+    c = X.contracts(spark, d).drop("dte")
     near = quotes.with_days(quotes.expiry_window(c, X.AS_OF, CONTRACTS.window_days), F.lit(X.AS_OF).cast("date"))
     return near.where(quotes.of_types(("put",))).groupBy("symbol", "dte").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("J2_chain_with_spot")
 def _(spark, d):
-    bars = X.bars_daily(spark, d)
-    bare = X.chain(spark, d, bars).drop("spot")
+    bars = X.bars(spark, d)
+    bare = X.contracts(spark, d).drop("spot")
     return lookup(bare, X.spot(bars), ["symbol"], "contract_symbol").where("spot > 0").groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.max("spot").alias("spot"), F.count_if(F.col("strike") < F.col("spot")).alias("itm"))
 
 
 @query("F1_screener_greeks")
 def _(spark, d):
-    g = quotes.screener_greeks(quotes.screener_numbers(X.chain(spark, d)))
+    g = quotes.screener_greeks(quotes.screener_numbers(X.contracts(spark, d)))
     return g.select("contract_symbol", *six("delta", "theta", "theta_pct"))
 
 
 @query("F1_greeks_with_dividend")
 def _(spark, d):
-    g = quotes.screener_greeks(quotes.screener_numbers(X.chain(spark, d)), ScreenParams(dividend_yield=0.02))
+    g = quotes.screener_greeks(quotes.screener_numbers(X.contracts(spark, d)), ScreenParams(dividend_yield=0.02))
     return g.select("contract_symbol", *six("delta", "theta"))
 
 
 @query("F2_call_greeks")
 def _(spark, d):
-    return quotes.call_greeks(quotes.normalize_quotes(X.chain(spark, d))).select("contract_symbol", *six("delta", "theta"))
+    return quotes.call_greeks(quotes.normalize_quotes(X.contracts(spark, d))).select("contract_symbol", *six("delta", "theta"))
 
 
 @query("F3_normal_law")
@@ -378,14 +378,14 @@ def _(spark, d):
 
 @query("F17_missing_numbers")
 def _(spark, d):
-    c = X.chain(spark, d).withColumn("iv", F.when(F.col("dte") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("iv")))
+    c = X.contracts(spark, d).withColumn("iv", F.when(F.col("dte") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("iv")))
     return quotes.screener_numbers(c).select("contract_symbol", "iv", "volume", "open_interest", *six("mid", "spread_pct"))
 
 
 def _screen(name: str, preset: str):
     @query(name)
     def _(spark, d):
-        return picks.screen(X.chain(spark, d), SCREEN_PRESETS[preset]).select(
+        return picks.screen(X.contracts(spark, d), SCREEN_PRESETS[preset]).select(
             "symbol", "contract_symbol", "dte", "strike", "bid", "ask", *six("delta", "theta"))
 
 
@@ -396,13 +396,13 @@ _screen("P7_screen_cli", "cli")
 @query("P7_screen_no_theta_calls")
 def _(spark, d):
     params = ScreenParams(option_types=("call",), max_theta_pct=None, positive_bid=False)
-    return picks.screen(X.chain(spark, d), params).select("contract_symbol", *six("delta"))
+    return picks.screen(X.contracts(spark, d), params).select("contract_symbol", *six("delta"))
 
 
 @query("K6_X2_top_contracts")
 def _(spark, d):
     """The top list under each sort key."""
-    passed = picks.screen(X.chain(spark, d), SCREEN_PRESETS["library"])
+    passed = picks.screen(X.contracts(spark, d), SCREEN_PRESETS["library"])
     out = None
     for key in picks.SORT_KEYS:
         one = picks.top_contracts(passed, key, 25).select(F.lit(key).alias("sort_key"), "contract_symbol")
@@ -412,14 +412,14 @@ def _(spark, d):
 
 @query("K9_S8_capped_universe")
 def _(spark, d):
-    names = X.bars_daily(spark, d).select(normal_symbol("symbol").alias("symbol")).distinct()
+    names = X.bars(spark, d).select(normal_symbol("symbol").alias("symbol")).distinct()
     few = universe.capped(names, 7)
-    return restrict(X.chain(spark, d), few, "contract_symbol").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return restrict(X.contracts(spark, d), few, "contract_symbol").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("P9_call_tiers")
 def _(spark, d):
-    calls = X.chain(spark, d).where(quotes.of_types(("call",)))
+    calls = X.contracts(spark, d).where(quotes.of_types(("call",)))
     q = quotes.call_greeks(quotes.normalize_quotes(calls))
     flagged = q.select("contract_symbol", quotes.tier_passes(CONTRACTS.strict).alias("is_strict"),
                        quotes.tier_passes(CONTRACTS.relaxed).alias("is_relaxed"))
@@ -428,7 +428,7 @@ def _(spark, d):
 
 @query("P10_P11_P12_call_predicates")
 def _(spark, d):
-    q = quotes.normalize_quotes(X.chain(spark, d).where(quotes.of_types(("call",))))
+    q = quotes.normalize_quotes(X.contracts(spark, d).where(quotes.of_types(("call",))))
     return q.select("contract_symbol", quotes.bottom_call().alias("bottom"), quotes.cheap_call(50.0).alias("cheap"),
                     quotes.moneyness(CONTRACTS.bottom_atm).alias("moneyness"))
 
@@ -436,7 +436,7 @@ def _(spark, d):
 @query("J5_provider_outcomes")
 def _(spark, d):
     """Choice and outcome per symbol for a tight and the usual window, with some providers down."""
-    listed = picks.listings(X.chain(spark, d))
+    listed = picks.listings(X.contracts(spark, d))
     down = X.table(spark, d, "supplier").selectExpr(
         "concat('S', s_suppkey) as symbol",
         "explode(case when s_acctbal < 0 then array('primary', 'secondary') when s_acctbal < 2000 then array('primary') "
@@ -448,30 +448,30 @@ def _(spark, d):
 
 @query("K8_sampled_expiries")
 def _(spark, d):
-    near = picks.listings(X.chain(spark, d)).where(quotes.in_window(CONTRACTS.window_days))
+    near = picks.listings(X.contracts(spark, d)).where(quotes.in_window(CONTRACTS.window_days))
     return picks.sampled_expiries(near, CONTRACTS.max_expiries).select("symbol", "provider", "dte")
 
 
 @query("K2_best_call_any_source")
 def _(spark, d):
-    q = quotes.call_greeks(quotes.normalize_quotes(X.chain(spark, d).where(quotes.of_types(("call",)))))
+    q = quotes.call_greeks(quotes.normalize_quotes(X.contracts(spark, d).where(quotes.of_types(("call",)))))
     return picks.best_calls(q).select("symbol", "contract_symbol", "relaxed", "premium", *six("delta"))
 
 
 @query("K2_best_call")
 def _(spark, d):
-    return picks.best_calls(picks.near_calls(X.chain(spark, d))).select(
+    return picks.best_calls(picks.near_calls(X.contracts(spark, d))).select(
         "symbol", "contract_symbol", "provider", "relaxed", "premium", "breakeven", *six("delta", "theta"))
 
 
 @query("K3_cheap_calls")
 def _(spark, d):
-    return jobs.cheap_contracts(X.bars_daily(spark, d), X.chain(spark, d)).select("symbol", "contract_symbol", "rank", "premium")
+    return jobs.cheap_contracts(X.bars(spark, d), X.contracts(spark, d)).select("symbol", "contract_symbol", "rank", "premium")
 
 
 @query("K4_bottom_calls")
 def _(spark, d):
-    return picks.bottom_calls(picks.near_calls(X.chain(spark, d), bottom=True)).select(
+    return picks.bottom_calls(picks.near_calls(X.contracts(spark, d), bottom=True)).select(
         "symbol", "contract_symbol", "rank", "premium", "moneyness")
 
 
@@ -569,7 +569,7 @@ def _(spark, d):
 
 @query("A11_status")
 def _(spark, d):
-    bars = X.bars_daily(spark, d)
+    bars = X.bars(spark, d)
     subscribers, _, _ = _people(spark, d)
     return reports.status(signals.liquidity(bars).where("liquid"), signals.hot_symbols(signals.scan(bars)),
                           A.memory_after(A.alert_memory(_events(spark, d)), "2001-08-01 00:00:00"), subscribers)
@@ -578,21 +578,21 @@ def _(spark, d):
 # ---- performance ------------------------------------------------------------------------
 
 def _settled(spark: SparkSession, d: str) -> DataFrame:
-    bars = X.bars_daily(spark, d)
+    bars = X.bars(spark, d)
     tracked = P.track(X.alerts(spark, d), bars, PERF)
     return P.settle(P.horizon_checks(tracked, PERF), bars, NOW, PERF)
 
 
 @query("J6_alert_benchmark_price")
 def _(spark, d):
-    bench = X.bars_daily(spark, d).where("symbol = 'S0'").select(F.lit("S0").alias("bench"), "ts", "close")
+    bench = X.bars(spark, d).where("symbol = 'S0'").select(F.lit("S0").alias("bench"), "ts", "close")
     rows = asof(X.alerts(spark, d).withColumn("bench", F.lit("S0")), bench, "close", "bench_price", "alert_ts", keys=("bench",))
     return rows.select("alert_id", "bench_price")
 
 
 @query("F16_check_map")
 def _(spark, d):
-    bars = X.bars_daily(spark, d)
+    bars = X.bars(spark, d)
     checks = P.horizon_checks(P.track(X.alerts(spark, d), bars, PERF), PERF)
     stamp = lambda h: F.date_format(F.col("checks")[h]["due_ts"], "yyyy-MM-dd HH:mm")
     return P.check_map(checks).select("alert_id", stamp("24").alias("due_24"), stamp("72").alias("due_72"))
@@ -611,7 +611,7 @@ def _(spark, d):
 
 @query("A8_Q5_performance_report")
 def _(spark, d):
-    return jobs.performance(X.alerts(spark, d), X.bars_daily(spark, d), NOW, PERF).select(
+    return jobs.performance(X.alerts(spark, d), X.bars(spark, d), NOW, PERF).select(
         "horizon_h", "n", "wins", *six("win_rate", "mean_alpha"), "line")
 
 
@@ -636,24 +636,24 @@ def _(spark, d):
 
 @query("F11_alert_texts")
 def _(spark, d):
-    s = signals.score(scan_features(X.bars_daily(spark, d)))
+    s = signals.score(scan_features(X.bars(spark, d)))
     return s.select("symbol", reports.alert_text(reports.match_text(), "2001-11-05 15:05:00").alias("text"))
 
 
 @query("F11_best_call_text")
 def _(spark, d):
-    best = picks.best_calls(picks.near_calls(X.chain(spark, d)))
+    best = picks.best_calls(picks.near_calls(X.contracts(spark, d)))
     return best.select("symbol", reports.best_call_text().alias("text"))
 
 
 @query("F11_cheap_blocks")
 def _(spark, d):
-    return reports.cheap_blocks(jobs.cheap_contracts(X.bars_daily(spark, d), X.chain(spark, d)))
+    return reports.cheap_blocks(jobs.cheap_contracts(X.bars(spark, d), X.contracts(spark, d)))
 
 
 @query("F11_bottom_blocks")
 def _(spark, d):
-    return reports.bottom_blocks(jobs.bottom_rebounds(X.bars_daily(spark, d), X.chain(spark, d))).select("symbol", "text")
+    return reports.bottom_blocks(jobs.bottom_rebounds(X.bars(spark, d), X.contracts(spark, d))).select("symbol", "text")
 
 
 @query("F13_clipped_summaries")
@@ -679,36 +679,36 @@ def _(spark, d):
 
 @query("Q1_reversal_scan")
 def _(spark, d):
-    bars = X.bars_daily(spark, d)
-    found = jobs.reversal_scan(bars, X.chain(spark, d, bars), scan=ScanParams(signal_score=1))
+    bars = X.bars(spark, d)
+    found = jobs.reversal_scan(bars, X.contracts(spark, d), scan=ScanParams(signal_score=1))
     return found.select("symbol", "price", "score", "signature", "contract_symbol", "relaxed")
 
 
 @query("Q2_check_symbol")
 def _(spark, d):
-    bars = X.bars_daily(spark, d)
-    return jobs.check_symbol(bars, X.chain(spark, d, bars), " s7 ").select(
+    bars = X.bars(spark, d)
+    return jobs.check_symbol(bars, X.contracts(spark, d), " s7 ").select(
         "symbol", "price", "score", "signature", "liquid", "contract_symbol", "premium")
 
 
 @query("Q4_J9_bottom_rebounds")
 def _(spark, d):
-    bars = X.bars_daily(spark, d)
-    return jobs.bottom_rebounds(bars, X.chain(spark, d, bars)).select(
+    bars = X.bars(spark, d)
+    return jobs.bottom_rebounds(bars, X.contracts(spark, d)).select(
         "symbol", "price", long("episodes", "episodes"), long("rebounds", "rebounds"), *six("score"), "contract_symbol", "rank", "premium", "moneyness")
 
 
 @query("Q6_options_screener")
 def _(spark, d):
-    return jobs.options_screener(X.chain(spark, d), "cli", sort_by="open_interest").select(
+    return jobs.options_screener(X.contracts(spark, d), "cli", sort_by="open_interest").select(
         "symbol", "contract_symbol", "open_interest", *six("delta", "theta"))
 
 
 @query("Q7_J10_active_signals")
 def _(spark, d):
-    bars = X.bars_daily(spark, d)
+    bars = X.bars(spark, d)
     memory = X.table(spark, d, "supplier").where("s_nationkey % 2 = 0").selectExpr("concat('S', s_suppkey) as symbol")
-    return jobs.active_signals(bars, X.chain(spark, d, bars), memory, ScanParams(signal_score=1)).select(
+    return jobs.active_signals(bars, X.contracts(spark, d), memory, ScanParams(signal_score=1)).select(
         "symbol", "score", "signature", "contract_symbol")
 
 

@@ -6,13 +6,15 @@ The sums that drive prices are integers, so every engine gets the same bits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import computed_once
 from ..operators import series as S
 from ..operators.joins import lookup
-from ..session import tune
+from ..session import scratch_path, tune
 
 AS_OF = "2001-11-05"
 
@@ -25,8 +27,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def bars_daily(spark: SparkSession, folder: str) -> DataFrame:
     """One bar per supplier and ship date; at most one row per calendar day each."""
-    from pyspark.sql import Window
-
     lines = table(spark, folder, "lineitem")
     daily = (lines.groupBy(F.col("l_suppkey").alias("sk"), F.col("l_shipdate").alias("ts"))
              .agg(F.expr("sum(cast(round(l_discount * 100) as bigint) - 5)").alias("bp"),
@@ -44,9 +44,9 @@ def spot(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("spot"))
 
 
-def chain(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> DataFrame:
+def chain(spark: SparkSession, folder: str) -> DataFrame:
     """One contract per order line, priced around the last close of its symbol."""
-    bars = bars if bars is not None else bars_daily(spark, folder)
+    prices = stored(tune(spark), folder, "spot", lambda: spot(bars(spark, folder)))
     raw = table(spark, folder, "lineitem").selectExpr(
         "concat('S', l_suppkey) as symbol",
         "concat('S', l_suppkey, '-', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', "
@@ -54,13 +54,13 @@ def chain(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> Da
         "case when l_returnflag = 'N' then 'put' else 'call' end as option_type",
         "cast(1 + l_orderkey % 120 as int) as dte", "0.15 + l_discount * 5 as iv0",
         "l_tax", "l_quantity", "l_linenumber", "l_partkey")
-    priced = (lookup(raw, spot(bars), ["symbol"], spread_by="contract_symbol").selectExpr(
+    priced = (lookup(raw, prices, ["symbol"], spread_by="contract_symbol").selectExpr(
                   "*", "floor(spot * (70 + 0.6 * (l_partkey % 100))) / cast(100 as double) as strike")
               .selectExpr("*", "round(greatest(case when option_type = 'call' then spot - strike "
                           "else strike - spot end, 0) + spot * iv0 * sqrt(dte / cast(365 as double)) "
                           "* 0.4, 4) as mid0"))
-    stored = computed_once(priced, {c: F.col(c) for c in ("strike", "mid0")})
-    return stored.selectExpr(
+    written = computed_once(priced, {c: F.col(c) for c in ("strike", "mid0")})
+    return written.selectExpr(
         "symbol", "contract_symbol", "option_type", "dte", f"date_add(date'{AS_OF}', dte) as expiry",
         "strike", "spot",
         "case when l_linenumber = 7 then cast(0 as double) else mid0 * (1 - 1.5 * l_tax) end as bid",
@@ -71,6 +71,32 @@ def chain(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> Da
         "case when l_partkey % 3 = 0 then 'secondary' else 'primary' end as provider")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written once per session to the shared folder and read back.
+
+    In use the market tables are stored ones. Written out, they are not derived
+    again by every query, filters and columns are cut in their scans, and Spark
+    knows their sizes when it picks a join.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        make().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def bars(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(tune(spark), folder, "bars", lambda: bars_daily(spark, folder))
+
+
+def contracts(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(tune(spark), folder, "contracts", lambda: chain(spark, folder))
+
+
 def ticks(spark: SparkSession, folder: str) -> DataFrame:
     """Few symbols hold all events, so the price walk is summed in two levels."""
     events = table(spark, folder, "events").selectExpr(
