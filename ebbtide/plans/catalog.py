@@ -718,3 +718,59 @@ def _(spark, d):
 
     return to_bars(X.ticks(spark, d)).select(
         "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("hour"), "open", "high", "low", "close", "volume")
+
+
+# ---- streams over the same tables, run to their end ----------------------------------------------
+
+def _stream(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    table = X.stored(spark, d, name, make)
+    return spark.readStream.schema(table.schema).parquet(X.stored_path(spark, d, name))
+
+
+@query("T10_bar_stream")
+def _(spark, d):
+    from ..streaming.ticks import bar_stream
+
+    out = scratch_path(spark, "bar-stream")
+    bar_stream(_stream(spark, d, "ticks", lambda: X.ticks(spark, d)), out, scratch_path(spark, "ckpt")).awaitTermination()
+    return spark.read.parquet(out).select(
+        "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("hour"), "open", "high", "low", "close", "volume")
+
+
+@query("T2_T3_alert_stream")
+def _(spark, d):
+    """Signals of symbols without a best call are held back before the memory."""
+    from ..streaming.alerts import alert_stream
+
+    gated = lambda: A.with_contract(
+        _events(spark, d), picks.best_calls(quotes.call_greeks(quotes.normalize_quotes(
+            X.contracts(spark, d).where(quotes.of_types(("call",)))))).where("not relaxed").select("symbol"))
+    out = scratch_path(spark, "alert-stream")
+    alert_stream(_stream(spark, d, "gated_alerts", gated), out, scratch_path(spark, "memory"),
+                 scratch_path(spark, "ckpt")).awaitTermination()
+    return spark.read.parquet(out).select("symbol", day(), "alert_id", "signature")
+
+
+@query("T1_T6_scan_stream")
+def _(spark, d):
+    from ..params import SessionParams
+    from ..streaming.scan import scan_stream
+
+    out = scratch_path(spark, "scan-stream")
+    X.bars(spark, d)
+    bars = _stream(spark, d, "bars", lambda: X.bars_daily(spark, d))
+    scan_stream(bars, scratch_path(spark, "history"), out, scratch_path(spark, "hot"), scratch_path(spark, "ckpt"),
+                SessionParams(regular_hours_only=False), ScanParams(signal_score=1)).awaitTermination()
+    return spark.read.parquet(out).select("symbol", F.col("bar_ts").cast("date").alias("day"), "price", "score", "signature")
+
+
+@query("T5_horizon_stream")
+def _(spark, d):
+    from ..streaming.horizon import horizon_stream
+
+    bars = X.bars(spark, d)
+    checks = P.horizon_checks(P.track(X.alerts(spark, d), bars, PERF), PERF)
+    out = scratch_path(spark, "horizon-stream")
+    horizon_stream(_stream(spark, d, "bars", lambda: bars), checks, scratch_path(spark, "history"), out,
+                   scratch_path(spark, "pending"), scratch_path(spark, "ckpt"), PERF).awaitTermination()
+    return spark.read.parquet(out).select("alert_id", "horizon_h", "status", "attempts", *six("alpha"))

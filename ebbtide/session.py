@@ -32,13 +32,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_FALLBACK: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="ebbtide-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not _FALLBACK:
+        _FALLBACK.append(tempfile.mkdtemp(prefix="ebbtide-"))
+    return _FALLBACK[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,6 +54,8 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("ebbtide")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
+               # Recording the call site of every column takes longer than the small plans do.
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(partitions)))
     for key, value in RUNTIME.items():

@@ -89,6 +89,10 @@ def stored(spark: SparkSession, folder: str, name: str, make: Callable[[], DataF
     return spark.read.parquet(_STORED[key])
 
 
+def stored_path(spark: SparkSession, folder: str, name: str) -> str:
+    return _STORED[(spark.sparkContext.applicationId, folder, name)]
+
+
 def bars(spark: SparkSession, folder: str) -> DataFrame:
     return stored(tune(spark), folder, "bars", lambda: bars_daily(spark, folder))
 

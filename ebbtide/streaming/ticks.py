@@ -18,3 +18,11 @@ def to_bars(ticks: DataFrame, width: str = "1 hour", lateness: str | None = None
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", order).alias("close"), F.sum("size").cast("double").alias("volume"))
     return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+def bar_stream(ticks: DataFrame, out: str, checkpoint: str, width: str = "1 hour", lateness: str = "1 hour",
+               every: str | None = None):
+    """Write final bars as they close; ticks later than the watermark are dropped."""
+    writer = (to_bars(ticks, width, lateness).writeStream.outputMode("append").format("parquet")
+              .option("path", out).option("checkpointLocation", checkpoint))
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

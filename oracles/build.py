@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ebbtide.functions import texts as T
 
-from .tables import NOW, RELAXED, STRICT, cdf, cents, greeks, new_york, outcomes, price, query, ranked, view
+from .tables import NOW, RELAXED, STRICT, VIEWS, cdf, cents, greeks, new_york, outcomes, price, query, ranked, view
 
 DAY = "CAST(ts AS DATE) AS day"
 
@@ -39,6 +39,7 @@ view("local", "moments holidays", f"""
   SELECT m.*, CAST(nyt AS DATE) AS day, isodow(nyt) >= 6 AS weekend, h.holiday IS NOT NULL AS is_holiday,
          CAST(nyt AS TIME) AS clock FROM (SELECT ts, {new_york('ts')} AS nyt FROM moments) m
   LEFT JOIN holidays h ON h.day = CAST(m.nyt AS DATE)""")
+view("settled_last", "checks bars bench", VIEWS["settled"][1].replace(NOW, "(SELECT max(ts) FROM bars)"))
 view("signals1", "scored", "SELECT * FROM scored WHERE liquid AND score >= 1")
 
 GREEK_TAIL = (f"COALESCE(' • IV=' || {fixed('iv * 100', 0)} || '%', '') || COALESCE(' • {T.DELTA}' || {fixed('delta', 2)}, '') "
@@ -341,4 +342,15 @@ def oracle_sql() -> dict[str, str]:
       SELECT symbol, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, arg_min(price, (ts, event_id)) AS open, max(price) AS high,
              min(price) AS low, arg_max(price, (ts, event_id)) AS close, CAST(sum(size) AS DOUBLE) AS volume
       FROM ticks GROUP BY symbol, date_trunc('hour', ts)""")
+    add("T10_bar_stream", "ticks", """
+      SELECT symbol, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, arg_min(price, (ts, event_id)) AS open, max(price) AS high,
+             min(price) AS low, arg_max(price, (ts, event_id)) AS close, CAST(sum(size) AS DOUBLE) AS volume
+      FROM ticks GROUP BY symbol, date_trunc('hour', ts)
+      HAVING date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
+    add("T2_T3_alert_stream", "sent priced", f"""
+      SELECT symbol, {DAY}, alert_id, signature FROM sent WHERE symbol IN (
+        SELECT symbol FROM priced WHERE option_type = 'call' AND {STRICT})""")
+    add("T1_T6_scan_stream", "signals1", "SELECT symbol, CAST(bar_ts AS DATE) AS day, price, score, signature FROM signals1")
+    add("T5_horizon_stream", "settled_last", f"""
+      SELECT alert_id, horizon_h, status, attempts, {six('alpha')} FROM settled_last WHERE status <> 'pending'""")
     return out
