@@ -30,7 +30,8 @@ def scan_step(history: DataFrame, batch: DataFrame, session: SessionParams = Ses
     touched = open_.select("symbol").distinct()
     if only is not None:
         touched = touched.join(only.select("symbol").distinct(), "symbol", "left_semi")
-    scored = signals.scan(restrict(history, touched), scan, series)
+    mine = restrict(history, touched).dropDuplicates(["symbol", "ts"])
+    scored = signals.scan(mine, scan, series)
     found = signals.signals(scored, scan)
     if best is not None:
         found = alerts.with_contract(found, best)
@@ -48,7 +49,7 @@ def scan_stream(bars: DataFrame, history: str, out: str, hot: str, checkpoint: s
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         write_version(batch.select(*HISTORY.names), history, number)
-        known = read_upto(spark, history, number, HISTORY).dropDuplicates(["symbol", "ts"])
+        known = read_upto(spark, history, number, HISTORY)
         new = spark.read.schema(HISTORY).parquet(f"{history}/batch={number}")
         found, hot_now, touched = scan_step(known, new, session, scan, series, best=best)
         rows = found.select("symbol", "bar_ts", "price", "score", "signature", "matched", "reasons")
@@ -66,7 +67,7 @@ def hot_lane_stream(bars: DataFrame, history: DataFrame, hot: DataFrame, out: st
     """Score near-signals again on a short trigger; its signals are marked hot."""
     def step(batch: DataFrame, number: int) -> None:
         # The batch was appended to the stored history by the scan stream or is new here.
-        known = history.unionByName(batch.select(*HISTORY.names)).dropDuplicates(["symbol", "ts"])
+        known = history.unionByName(batch.select(*HISTORY.names))
         found, _, _ = scan_step(known, batch, session, scan, series, signals.hot_lane(hot, scan), best)
         rows = found.select("symbol", "bar_ts", "price", "score", "signature", "matched", "reasons")
         write_version(rows.withColumn("is_hot", F.lit(True)), out, number)
