@@ -20,10 +20,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Shuffle files of a finished write serve nobody: its table is read from then on.
+CLEAN_UP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the cluster's shared folder."""
     path = scratch_path(spark, name)
-    frame.write.parquet(path)
+    with settings(spark, CLEAN_UP):
+        frame.write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -63,6 +68,24 @@ def text_key(text: Column | str) -> Column:
     return F.xxhash64(F.lit("row"), text)
 
 
+BITMAP_WORDS = 1 << 20  # of 64 bits: 8 MB, whatever the corpus
+
+
+def bitmap_of(values: DataFrame, name: str) -> np.ndarray:
+    """A bit for each value of one bigint column; at most BITMAP_WORDS rows reach the driver."""
+    where = F.col(name).bitwiseAND(BITMAP_WORDS - 1).alias("word")
+    bit = F.expr(f"shiftleft(1L, cast((shiftright({name}, 20) & 63) as int))")
+    out = np.zeros(BITMAP_WORDS, dtype=np.int64)
+    rows = values.groupBy(where).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether values may be among those of the bitmap; never False for one that is."""
+    return (bitmap[values & (BITMAP_WORDS - 1)] >> ((values >> 20) & 63)) & 1 == 1
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -8,9 +8,9 @@ before they reach the state, so a huge group is one row from each task. Every
 micro-batch writes its changed keys under its number: a repeated batch
 overwrites itself.
 
-A hit is a digest met more than once. Texts of hits alone are then shuffled and
-compared in full with the text found at the locator; if a digest has texts that
-differ, its rows are grouped again by the text itself.
+A hit is a digest met more than once. The texts of its rows are compared in full;
+if they differ, the rows are grouped by the text itself. The locator names the
+one row that stays, also among rows equal in text and id.
 """
 
 from __future__ import annotations
@@ -83,22 +83,22 @@ def exact_groups(spark: SparkSession, path: str, *, id_col: str = "doc_id", text
     state = spark.read.parquet(state_path)
     rows = located(spark.read.parquet(path), id_col, text_col, digest_bits)
 
-    hits = scratch_path(spark, "dedup-hits")
-    many = state.where("n > 1")
-    rows.join(many.select("digest", "top"), "digest").write.parquet(hits)
-    hit = spark.read.parquet(hits)
-    owner = hit.where("locator = top.locator").select("digest", F.col("norm").alias("owner"))
-    mixed = hit.join(owner, "digest").where("norm != owner").select("digest").distinct()
-
+    # Grouping by the text compares it in full; equal texts are one row of each task.
+    many = state.where("n > 1").select("digest")
+    bodies = rows.join(many, "digest").groupBy("digest", "norm").agg(*newest())
+    body_path = scratch_path(spark, "dedup-bodies")
+    bodies.select("digest", F.sha2("norm", 256).alias("text_sha256"), "top", "n").write.parquet(body_path)
+    bodies = spark.read.parquet(body_path)
+    mixed = bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
     split_path = scratch_path(spark, "dedup-mixed")
-    hit.join(mixed, "digest", "left_semi").groupBy("digest", "norm").agg(*newest()).write.parquet(split_path)
+    bodies.join(mixed, "digest").write.parquet(split_path)
     split = spark.read.parquet(split_path)
 
     light = rows.select("doc_id", "locator", "digest", F.sha2("norm", 256).alias("text_sha256"))
     if split.isEmpty():
         groups = light.join(state.select("digest", "top", "n"), "digest")
     else:
-        exact = split.select(F.sha2("norm", 256).alias("text_sha256"), "top", "n")
+        exact = split.select("text_sha256", "top", "n")
         whole = state.join(split.select("digest").distinct(), "digest", "left_anti")
         groups = (light.join(whole, "digest").select("doc_id", "locator", "text_sha256", "top", "n")
                   .unionByName(light.join(split.select("digest").distinct(), "digest", "left_semi").join(exact, "text_sha256")

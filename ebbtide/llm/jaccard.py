@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import shingles, text_key, word_hashes, written
+from .base import bitmap_of, in_bitmap, shingles, text_key, word_hashes, written
 from .components import components
 
 N = 5
@@ -68,11 +68,14 @@ def _signed(n: int, rows: int, bands: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, sent):
+    """The n-gram sets of rows that may be heads of a pool's classes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [shingles(word_hashes(text.as_py() or b""), n).tobytes() for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(grams, pa.binary())], names=["class", "grams"])
+            some = np.flatnonzero(in_bitmap(sent.value, batch.column("ident").to_numpy()))
+            grams = [shingles(word_hashes(batch.column("text")[int(k)].as_py() or b""), n).tobytes() for k in some]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), batch.column("key").take(pa.array(some)), pa.array(grams, pa.binary())],
+                                             names=["doc_id", "key", "grams"])
     return run
 
 
@@ -181,10 +184,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pooled = written(spark, pools.join(classes.select("class", "n", "size", "head"), "class"), "pools")
     cuts = pooled.groupBy("root").agg(F.greatest(F.ceil(F.sum("size") / block_shingles), F.ceil(F.count(F.lit(1)) / block_classes)).alias("cuts"))
     placed = pooled.join(cuts, "root").withColumn("cut", F.pmod(F.xxhash64("class"), "cuts"))
-    heads = placed.select("class", "root", "n", "cuts", "cut", F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key"))
+    heads = written(spark, placed.select("class", "root", "n", "cuts", "cut", F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key")), "pool-heads")
+    # Texts are not shuffled for this: a bitmap of fixed size passes all heads, and few other rows.
+    ident = F.xxhash64("doc_id", "key").alias("ident")
+    sent = spark.sparkContext.broadcast(bitmap_of(heads.select(F.xxhash64("head_id", "head_key").alias("ident")), "ident"))
+    passed = keyed.select("doc_id", "key", ident, "text").mapInArrow(_sets(n, sent), "doc_id bigint, key bigint, grams binary")
     match = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("key") == F.col("head_key"))
-    of_heads = keyed.join(heads, match).select("class", "text").dropDuplicates(["class"]).mapInArrow(_sets(n), "class binary, grams binary")
-    sets = heads.join(of_heads, "class")
+    sets = heads.join(passed, match).dropDuplicates(["class"])
     # Block pair (i, j), i <= j: block i is its first side, block j its second.
     pairs = sets.select("root", "class", "n", "grams", "cut", "cuts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("other")).select(
         "root", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "class", "n", "grams", "cuts", (F.col("cut") > F.col("other")).cast("int").alias("side"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_key, written
+from .base import CLEAN_UP, bitmap_of, in_bitmap, mixed, settings, text_key, written
 
 LENGTH = 200
 WINDOW = 100                    # positions that share one sample
@@ -41,13 +41,13 @@ GRAM = 8
 CORE = LENGTH - WINDOW + 1      # bytes from a sample on that all its strings hold
 BLOCK = 8                       # starts refined together
 PIECE = 1 << 20                 # starts of one text looked at at once
-BITMAP_WORDS = 1 << 20          # of 64 bits: 8 MB, whatever the corpus
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_SALT = np.random.default_rng(17).integers(0, 2**64, CORE // GRAM + 1, dtype=np.uint64)
 
 
-def runs(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first start, starts, sample) of every run: all starts of LENGTH bytes, in order."""
+def runs(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first start, starts, sample, name of its core) of every run: all starts of LENGTH bytes, in order."""
     total = len(data) - LENGTH + 1
     for low in range(0, max(0, total), PIECE):
         high = min(total, low + PIECE)
@@ -55,8 +55,9 @@ def runs(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         grams = np.empty(len(raw) - GRAM + 1, dtype=np.uint64)
         for o in range(GRAM):
             grams[o::GRAM] = np.frombuffer(raw, dtype="<u8", offset=o, count=(len(raw) - o) // GRAM)
-        grams ^= grams >> np.uint64(31)
-        least = ((grams * _ODD) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+        least = (grams ^ (grams >> np.uint64(31))) * _ODD
+        least &= np.uint64(0xFFFFFFFF00000000)
+        least |= np.arange(len(grams), dtype=np.uint64)
         size = 1
         while size * 2 <= WINDOW:
             least = np.minimum(least[:-size], least[size:])
@@ -65,114 +66,121 @@ def runs(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             least = np.minimum(least[:size - WINDOW], least[WINDOW - size:])
         sample = (least[:high - low] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, sample[1:] != sample[:-1]])
-        yield first + low, np.diff(np.r_[first, len(sample)]), sample[first] + low
+        at = sample[first]
+        # The core in words of eight bytes, the last one overlapping.
+        core = np.zeros(len(at), dtype=np.uint64)
+        for k, offset in enumerate([*range(0, CORE - GRAM, GRAM), CORE - GRAM]):
+            core += mixed(grams[at + offset] + _SALT[k])
+        yield first + low, np.diff(np.r_[first, len(sample)]), at + low, mixed(core).view(np.int64)
 
 
 def name64(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - 2**63
 
 
-def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return (bitmap[values & (BITMAP_WORDS - 1)] >> ((values >> 20) & 63)) & 1 == 1
-
-
-def bitmap_of(values: DataFrame, name: str) -> np.ndarray:
-    """A bit for each value of one bigint column; at most BITMAP_WORDS rows reach the driver."""
-    where = F.col(name).bitwiseAND(BITMAP_WORDS - 1).alias("word")
-    bit = F.expr(f"shiftleft(1L, cast((shiftright({name}, 20) & 63) as int))")
-    out = np.zeros(BITMAP_WORDS, dtype=np.int64)
-    rows = values.groupBy(where).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return out
+def name128(data: bytes) -> tuple[int, int]:
+    """A digest as two bigints, which aggregate by hash and without sorting."""
+    d = xxhash.xxh3_128_intdigest(data)
+    return (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63
 
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column("text"):
-            data = text.as_py() or b""
-            for _, _, sample in runs(data):
-                names = np.array([name64(data[m:m + CORE]) for m in sample.tolist()], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names)], names=["core"])
+        found = [core for text in batch.column("text") for *_, core in runs(text.as_py() or b"")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, dtype=np.int64))], names=["core"])
+
 
+def identities(seed: int, starts: np.ndarray) -> np.ndarray:
+    """A number for each start of a text, `seed` standing for the text's row."""
+    return mixed(np.uint64(seed & (2**64 - 1)) + starts.astype(np.uint64) * _ODD).view(np.int64)
 
-def identity(doc_id: int | None, key: int, start: int) -> int:
-    return xxhash.xxh3_64_intdigest(f"{doc_id}/{key}/{start}".encode()) - 2**63
+
+def table_of(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    arrays = []
+    for name, kind in kinds.items():
+        parts = columns[name]
+        whole = np.concatenate(parts) if parts and isinstance(parts[0], np.ndarray) else parts
+        arrays.append(pa.array(whole, kind))
+    return pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
 
 def _samples(sent):
     """The samples that may repeat: their names and where they are."""
+    kinds = {"core": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "ident": pa.int64(), "doc_id": pa.int64(), "key": pa.int64(), "start": pa.int32(), "starts": pa.int32()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sent.value
         for batch in batches:
-            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
+            out: dict[str, list] = {k: [] for k in kinds}
+            for doc, key, seed, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("seed").to_pylist(), batch.column("text"), strict=True):
                 data = text.as_py() or b""
-                for first, count, sample in runs(data):
-                    core = np.array([name64(data[m:m + CORE]) for m in sample.tolist()], dtype=np.int64)
+                for first, count, _, core in runs(data):
                     some = np.flatnonzero(in_bitmap(bitmap, core))
                     if not len(some):
                         continue
                     first, count = first[some], count[some]
-                    context = [xxhash.xxh3_128_digest(data[a:a + n - 1 + LENGTH]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(core[some]), pa.array(context, pa.binary()), pa.array([identity(doc, key, a) for a in first.tolist()], pa.int64()),
-                         pa.array([doc] * len(some), pa.int64()), pa.array([key] * len(some), pa.int64()), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))],
-                        names=["core", "context", "ident", "doc_id", "key", "start", "starts"])
+                    names = [name128(data[a:e]) for a, e in zip(first.tolist(), (first + count + (LENGTH - 1)).tolist(), strict=True)]
+                    out["core"].append(core[some])
+                    out["c1"] += [x for x, _ in names]
+                    out["c2"] += [y for _, y in names]
+                    out["ident"].append(identities(seed, first))
+                    out["doc_id"] += [doc] * len(some)
+                    out["key"] += [key] * len(some)
+                    out["start"].append(first.astype(np.int32))
+                    out["starts"].append(count.astype(np.int32))
+            yield table_of(out, kinds)
     return run
 
 
 def _bytes(sent):
     """The bytes of chosen samples' contexts, with the place of the sample in them."""
+    kinds = {"ident": pa.int64(), "back": pa.int32(), "starts": pa.int32(), "body": pa.binary()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = sent.value
+        bitmap = sent.value
         for batch in batches:
-            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
+            out: dict[str, list] = {k: [] for k in kinds}
+            for seed, text in zip(batch.column("seed").to_pylist(), batch.column("text"), strict=True):
                 data = text.as_py() or b""
-                for first, count, sample in runs(data):
-                    core = np.array([name64(data[m:m + CORE]) for m in sample.tolist()], dtype=np.int64)
-                    some = np.flatnonzero(in_bitmap(bitmaps[0], core))
-                    if not len(some):
-                        continue
-                    ident = np.array([identity(doc, key, a) for a in first[some].tolist()], dtype=np.int64)
-                    chosen = in_bitmap(bitmaps[1], ident)
-                    some, ident = some[chosen], ident[chosen]
+                for first, count, sample, _ in runs(data):
+                    ident = identities(seed, first)
+                    some = np.flatnonzero(in_bitmap(bitmap, ident))
                     if len(some):
-                        a, n, m = first[some], count[some], sample[some]
-                        body = [data[x:x + y - 1 + LENGTH] for x, y in zip(a.tolist(), n.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array((m - a).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(body, pa.binary())],
-                                                         names=["ident", "back", "starts", "body"])
+                        a, n = first[some], count[some]
+                        out["ident"].append(ident[some])
+                        out["back"].append((sample[some] - a).astype(np.int32))
+                        out["starts"].append(n.astype(np.int32))
+                        out["body"] += [data[x:y] for x, y in zip(a.tolist(), (a + n + (LENGTH - 1)).tolist(), strict=True)]
+            yield table_of(out, kinds)
     return run
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each context, blocks of starts that lie equally far before the sample: the name of their common bytes, and of all."""
+    kinds = {"core": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "n": pa.int64(), "block": pa.int32(), "near": pa.int32(), "far": pa.int32(),
+             "common": pa.int64(), "w1": pa.int64(), "w2": pa.int64()}
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("core", "context", "n", "block", "near", "far", "common", "whole")}
-        for core, context, n, back, starts, body in zip(*(batch.column(c).to_pylist() for c in ("core", "context", "n", "back", "starts", "body")), strict=True):
+        rows = []
+        for core, c1, c2, n, back, starts, body in zip(*(batch.column(c).to_pylist() for c in ("core", "c1", "c2", "n", "back", "starts", "body")), strict=True):
             lowest = back - starts + 1
             for block in range(lowest // BLOCK, back // BLOCK + 1):
                 near, far = max(lowest, block * BLOCK), min(back, block * BLOCK + BLOCK - 1)
-                at = back - block * BLOCK  # where the sample's distance is block * BLOCK
-                common = body[max(0, at):at + LENGTH - BLOCK + 1]
-                whole = body[back - far:back - near + LENGTH]
-                for k, v in zip(out, (core, context, n, block, near, far, name64(common), xxhash.xxh3_128_digest(b"%d %d " % (near, far) + whole)), strict=True):
-                    out[k].append(v)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+                at = back - block * BLOCK  # where the sample is block * BLOCK bytes away
+                whole = name128(b"%d %d " % (near, far) + body[back - far:back - near + LENGTH])
+                rows.append((core, c1, c2, n, block, near, far, name64(body[at:at + LENGTH - BLOCK + 1]), *whole))
+        yield table_of(dict(zip(kinds, map(list, zip(*rows, strict=True)), strict=True)) if rows else {k: [] for k in kinds}, kinds)
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each start of the listed blocks of a context, named by its string."""
+    kinds = {"core": pa.int64(), "w1": pa.int64(), "w2": pa.int64(), "back": pa.int32(), "s1": pa.int64(), "s2": pa.int64()}
     for batch in batches:
-        core, whole, back_of, name = [], [], [], []
-        for c, back, body, blocks in zip(*(batch.column(x).to_pylist() for x in ("core", "back", "body", "blocks")), strict=True):
+        rows = []
+        for core, back, body, blocks in zip(*(batch.column(x).to_pylist() for x in ("core", "back", "body", "blocks")), strict=True):
             for b in blocks:
                 for o in range(b["near"], b["far"] + 1):
-                    core.append(c)
-                    whole.append(b["whole"])
-                    back_of.append(o)
-                    name.append(xxhash.xxh3_128_digest(body[back - o:back - o + LENGTH]))
-        yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(whole, pa.binary()), pa.array(back_of, pa.int32()), pa.array(name, pa.binary())],
-                                         names=["core", "whole", "back", "name"])
+                    rows.append((core, b["w1"], b["w2"], o, *name128(body[back - o:back - o + LENGTH])))
+        yield table_of(dict(zip(kinds, map(list, zip(*rows, strict=True)), strict=True)) if rows else {k: [] for k in kinds}, kinds)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,40 +216,52 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    seeded = keyed.withColumn("seed", F.xxhash64("doc_id", "key"))
     cores = keyed.select("text").mapInArrow(_cores, "core bigint").groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    core_bits = bitmap_of(cores, "core")
-    sent = spark.sparkContext.broadcast(core_bits)
-    samples = written(spark, keyed.mapInArrow(_samples(sent), "core bigint, context binary, ident bigint, doc_id bigint, key bigint, start int, starts int"), "samples")
+    with settings(spark, CLEAN_UP):
+        sent = spark.sparkContext.broadcast(bitmap_of(cores, "core"))
+    samples = written(spark, seeded.mapInArrow(_samples(sent), "core bigint, c1 bigint, c2 bigint, ident bigint, doc_id bigint, key bigint, start int, starts int"), "samples")
 
-    named = samples.groupBy("context").agg(F.first("core").alias("core"), F.count(F.lit(1)).alias("n"), F.min("ident").alias("ident"))
+    named = samples.groupBy("c1", "c2").agg(F.min("core").alias("core"), F.count(F.lit(1)).alias("n"), F.min("ident").alias("ident"))
     named = written(spark, named, "contexts")
-    mixed = named.groupBy("core").agg(F.min("context").alias("low"), F.max("context").alias("high")).where("low != high").select("core")
-    chosen = written(spark, named.join(mixed, "core", "left_semi"), "mixed-contexts")
-    sent = spark.sparkContext.broadcast([core_bits, bitmap_of(chosen, "ident")])
-    bodies = keyed.mapInArrow(_bytes(sent), "ident bigint, back int, starts int, body binary").join(chosen, "ident").dropDuplicates(["context"])
-    bodies = written(spark, bodies.select("core", "context", "n", "back", "starts", "body"), "context-bytes")
-
-    blocks = written(spark, bodies.mapInArrow(_blocks, "core bigint, context binary, n bigint, block int, near int, far int, common bigint, whole binary"), "blocks")
-    wholes = blocks.groupBy("core", "block", "common", "whole").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.first("near").alias("near"), F.first("far").alias("far"))
-    wholes = written(spark, wholes, "block-names")
-    unlike = wholes.groupBy("core", "block", "common").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low != high").drop("low", "high")
-    wanted = wholes.join(unlike, ["core", "block", "common"], "left_semi").groupBy("context").agg(F.collect_list(F.struct("near", "far", "whole")).alias("blocks"))
-    starts = written(spark, bodies.join(wanted, "context").select("core", "back", "body", "blocks").mapInArrow(_starts, "core bigint, whole binary, back int, name binary"), "starts")
-    again = starts.groupBy("core", "back", "name").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low != high").select("core", "back", "name")
-    single = starts.join(again, ["core", "back", "name"]).select("core", "whole", F.col("back").alias("near"), F.col("back").alias("far"))
-
-    spans_of_whole = wholes.where("n > 1").select("core", "whole", "near", "far").unionByName(single)
-    partly = (blocks.where("n = 1").select("core", "whole", "context").join(spans_of_whole, ["core", "whole"])
-              .groupBy("context").agg(F.collect_set(F.struct("near", "far")).alias("spans")).join(bodies.select("context", "back"), "context"))
+    mixed_cores = named.groupBy("core").agg(*several("c1", "c2")).where(SEVERAL).select("core")
+    chosen = written(spark, named.join(mixed_cores, "core", "left_semi"), "mixed-contexts")
+    sent = spark.sparkContext.broadcast(bitmap_of(chosen, "ident"))
+    bodies = seeded.mapInArrow(_bytes(sent), "ident bigint, back int, starts int, body binary").join(chosen, "ident")
+    bodies = written(spark, bodies.select("core", "c1", "c2", "n", "back", "starts", "body"), "context-bytes")
+
+    kinds = "core bigint, c1 bigint, c2 bigint, n bigint, block int, near int, far int, common bigint, w1 bigint, w2 bigint"
+    blocks = written(spark, bodies.mapInArrow(_blocks, kinds), "blocks")
+    wholes = written(spark, blocks.groupBy("core", "block", "common", "w1", "w2", "near", "far").agg(F.sum("n").alias("n"), F.min("c1").alias("c1")), "block-names")
+    unlike = wholes.groupBy("core", "block", "common").agg(*several("w1", "w2")).where(SEVERAL).select("core", "block", "common")
+    # One context stands for all with the same block; the smallest first half of a name finds it.
+    wanted = (wholes.join(unlike, ["core", "block", "common"], "left_semi").groupBy("core", "c1")
+              .agg(F.collect_list(F.struct("near", "far", "w1", "w2")).alias("blocks")))
+    starts = bodies.dropDuplicates(["core", "c1"]).join(wanted, ["core", "c1"]).select("core", "back", "body", "blocks")
+    starts = written(spark, starts.mapInArrow(_starts, "core bigint, w1 bigint, w2 bigint, back int, s1 bigint, s2 bigint"), "starts")
+    again = starts.groupBy("core", "back", "s1", "s2").agg(*several("w1", "w2")).where(SEVERAL).select("core", "back", "s1", "s2")
+    single = starts.join(again, ["core", "back", "s1", "s2"]).select("core", "w1", "w2", F.col("back").alias("near"), F.col("back").alias("far"))
+
+    spans_of_whole = wholes.where("n > 1").select("core", "w1", "w2", "near", "far").unionByName(single)
+    partly = (blocks.where("n = 1").select("core", "w1", "w2", "c1", "c2").join(spans_of_whole, ["core", "w1", "w2"])
+              .groupBy("c1", "c2").agg(F.collect_set(F.struct("near", "far")).alias("spans")).join(bodies.select("c1", "c2", "back"), ["c1", "c2"]))
     # Distances before the sample, as numbers of starts in the run.
-    partly = partly.select("context", F.transform("spans", lambda s: F.struct((F.col("back") - s["far"]).alias("low"), (F.col("back") - s["near"]).alias("high"))).alias("spans"))
-    all_of = named.where("n > 1").select("context", F.lit(None).cast("array<struct<low:int,high:int>>").alias("spans"))
+    partly = partly.select("c1", "c2", F.transform("spans", lambda s: F.struct((F.col("back") - s["far"]).alias("low"), (F.col("back") - s["near"]).alias("high"))).alias("spans"))
+    all_of = named.where("n > 1").select("c1", "c2", F.lit(None).cast("array<struct<low:int,high:int>>").alias("spans"))
     known = written(spark, all_of.unionByName(partly), "repeats")
 
     whole_run = F.array(F.struct(F.lit(0).alias("low"), (F.col("starts") - 1).alias("high")))
-    found = samples.join(known, "context").select("doc_id", "key", F.explode(F.transform(F.coalesce("spans", whole_run), lambda s: F.struct(
-        (F.col("start") + s["low"]).alias("low"), (F.col("start") + s["high"] + LENGTH).alias("high")))).alias("span"))
-    lists = found.groupBy(F.col("doc_id").alias("in_doc"), F.col("key").alias("in_key")).agg(F.collect_list("span").alias("found"))
+    found = samples.select("c1", "c2", "doc_id", "key", "start", "starts").join(known, ["c1", "c2"]).select("doc_id", "key", F.transform(
+        F.coalesce("spans", whole_run), lambda s: F.struct((F.col("start") + s["low"]).alias("low"), (F.col("start") + s["high"] + LENGTH).alias("high"))).alias("spans"))
+    lists = written(spark, found.groupBy(F.col("doc_id").alias("in_doc"), F.col("key").alias("in_key")).agg(F.flatten(F.collect_list("spans")).alias("found")), "found")
     match = F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("key") == F.col("in_key"))
     joined = keyed.join(lists, match, "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+
+
+SEVERAL = "a0 != b0 or a1 != b1"
+
+
+def several(*names: str) -> list:
+    """Columns for SEVERAL: whether a group has more than one name."""
+    return [f(n).alias(f"{x}{i}") for i, n in enumerate(names) for f, x in ((F.min, "a"), (F.max, "b"))]
