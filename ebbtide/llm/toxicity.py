@@ -40,7 +40,9 @@ JOINED = re.compile(r"(?<![^\W_])(?:[^\W_][.*_\-]){2,}[^\W_](?![^\W_])|[^\W\d_]+
 #: Look-alike characters and the letters they stand for.
 LOOKALIKES = str.maketrans("@$!013457|*", "asioieastl_")
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
-CAPITAL, MARK, ODD = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[^\w\s]"), re.compile(r"[#$%&*^~|<>{}]")
+#: Kind of each byte of a text: 1 capital, 2 punctuation, 3 odd sign, 4 exclamation mark, 5 digit or a sign that stands for a letter, 0 other.
+CHARACTER = np.array([1 if 65 <= b <= 90 else 4 if b == 33 else 5 if chr(b) in "0123456789@$*_-|" else 3 if chr(b) in "#%&^~<>{}"
+                      else 2 if 33 <= b < 127 and not chr(b).isalnum() else 0 for b in range(256)], dtype=np.int64)
 FEATURES = ("density", "strong_density", "strong_words", "strong_kinds", "peak", "mean_weight", "prefix_density", "near_you", "you_density", "capital_rate",
             "capital_words", "punctuation_rate", "bang_rate", "odd_rate", "obfuscated_rate", "obfuscated_hits", "words")
 
@@ -88,7 +90,7 @@ class Scorer:
         self.known[token] = found
         return found
 
-    def features(self, text: str) -> list[float]:
+    def features(self, text: str, raw: np.ndarray) -> list[float]:
         tokens, known = WORD.findall(text), self.known
         n = max(1, len(tokens))
         hits = strong = by_prefix = near = you = caps = 0
@@ -115,10 +117,13 @@ class Scorer:
                 if weight >= STRONG_ODDS:
                     strong += 1
                     kinds.add(w)
-        hidden = deobfuscated(text)
+        kinds_of = np.bincount(CHARACTER[raw], minlength=6)
+        # Hidden words need one of the look-alikes, or two full stops around one character.
+        may_hide = kinds_of[4] + kinds_of[5] > 0 or bool(np.any((raw[:-2] == 46) & (raw[2:] == 46)))
+        hidden = deobfuscated(text) if may_hide else []
         chars = max(1, len(text))
         return [hits / n, strong / n, float(strong), float(len(kinds)), peak, total / max(1, hits), by_prefix / n, near / n, you / n,
-                len(CAPITAL.findall(text)) / chars, caps / n, len(MARK.findall(text)) / chars, text.count("!") / chars, len(ODD.findall(text)) / chars,
+                kinds_of[1] / chars, caps / n, kinds_of[2:].sum() / chars, kinds_of[4] / chars, kinds_of[3] / chars,
                 len(hidden) / n, float(sum(self.weights.get(w, 0.0) >= LEAST_ODDS for w in hidden)), math.log1p(len(tokens))]
 
 
@@ -163,7 +168,8 @@ def _featured(lexicons_sent, with_fold: bool):
         scorers = [Scorer(weights) for weights in lexicons_sent.value]
         for batch in batches:
             folds = batch.column("fold").to_pylist() if with_fold else [-1] * batch.num_rows
-            rows = [scorers[fold].features(text.as_py() or "") for text, fold in zip(batch.column("text"), folds, strict=True)]
+            rows = [scorers[fold].features(text.as_py() or "", np.frombuffer(text.as_buffer() or b"", dtype=np.uint8))
+                    for text, fold in zip(batch.column("text"), folds, strict=True)]
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "features"])
     return run
