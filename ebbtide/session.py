@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,10 +37,12 @@ _FALLBACK: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
+    """The cluster's shared folder. Where none is named, a temporary one, if all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="ebbtide-"))
     return _FALLBACK[0]

@@ -8,7 +8,7 @@ from ebbtide.operators.patterns import cluster_levels, scan_features
 from ebbtide.operators.rebound import best_rebounds, rebound_stats
 from ebbtide.params import ReboundParams, ScanParams, SeriesParams
 
-from .helpers import bars, cyclical_dipper, daily, slow_pivots, slow_rsi, walk
+from .helpers import DIPS_AND_REBOUNDS, bars, daily, path, slow_pivots, slow_rsi, walk
 
 SMALL = SeriesParams(chunk_days=60, block_rows=256)
 
@@ -130,23 +130,22 @@ def test_user_filter_that_raises_does_not_match(spark):
 
 
 def slow_rebound(close, p=ReboundParams()):
-    close = pd.Series(close, dtype=float)
-    n = len(close)
-    rsi, low = slow_rsi(close), close.rolling(252, min_periods=60).min()
-    dip = ((rsi < p.dip_rsi) | (close <= low * 1.1)).to_numpy()
-    nxt = eps = wins = 0
-    total = 0.0
-    for i in range(60, n - 30):
-        if dip[i] and i >= nxt:
-            gain = close[i + 1:i + 31].max() / close[i] - 1
-            eps, wins, total, nxt = eps + 1, wins + (gain >= 0.08), total + gain, i + 10
-    return eps, wins, total
+    """Hops from one dip to the first dip at least `gap` bars on."""
+    prices, rsi = np.asarray(close, dtype=float), slow_rsi(close)
+    dips = np.array([i for i in range(p.first_bar, len(prices) - p.horizon)
+                     if rsi[i] < p.dip_rsi or prices[i] <= (1 + p.near_low) * prices[max(0, i + 1 - p.low_window):i + 1].min()], dtype=int)
+    gains, at = [], 0
+    while at < len(dips):
+        here = dips[at]
+        gains.append(prices[here + 1:here + 1 + p.horizon].max() / prices[here] - 1)
+        at = np.searchsorted(dips, here + p.gap)
+    return len(gains), sum(g >= p.min_gain for g in gains), sum(gains)
 
 
 @pytest.mark.parametrize("rows", [256, 4096])
 def test_rebound_cases(spark, rows):
-    series = {"FAKE": cyclical_dipper(), "UPUP": np.linspace(10, 30, 600), "DOWN": np.linspace(40, 8, 600),
-              "NEW": np.linspace(12, 8, 100), "LONG": walk(77, 1400, 30.0), "LONG2": walk(78, 1300, 30.0)}
+    series = {"FAKE": path(*DIPS_AND_REBOUNDS), "UPUP": path((10, 30, 600)), "DOWN": path((40, 8, 600)),
+              "NEW": path((12, 8, 100)), "LONG": walk(77, 1400, 30.0), "LONG2": walk(78, 1300, 30.0)}
     stats = rebound_stats(bars(spark, *[daily(s, c, start="2018-01-02") for s, c in series.items()]),
                           series=SeriesParams(chunk_days=90, block_rows=rows)).cache()
     got = {r["symbol"]: r for r in stats.collect()}

@@ -129,3 +129,16 @@ def test_csv_export(spark, tmp_path):
     row = {c: 1.0 for c in sinks.CSV_COLUMNS if c != "ticker"} | {"symbol": "A"}
     sinks.write_csv(spark.createDataFrame(pd.DataFrame([row])), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == list(sinks.CSV_COLUMNS)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ebbtide.session import scratch_root
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder or default), sparkContext=SimpleNamespace(master=master))
+    assert scratch_root(session("yarn", "hdfs:///shared")) == "hdfs:///shared" and scratch_root(session("local[4]"))
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_root(session(master))
