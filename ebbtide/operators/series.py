@@ -22,6 +22,8 @@ from ..params import SeriesParams
 KEYS = ("symbol",)
 CHUNK = "_chunk"
 BLOCK = "_block"
+PART = "_part"
+PART_ROWS = 4096  # weights of RSI grow by 14/13 a row and would overflow past about 9,500
 DAY = 86_400
 
 
@@ -81,66 +83,68 @@ def with_positions(bars: DataFrame, series: SeriesParams = SeriesParams(),
     """Add `pos` (0-based bar position), `n_bars`, and optionally `rsi`.
 
     RSI is the ratio of two exponentially decayed sums over the whole history.
-    Inside a chunk both are cumulative sums of weighted gains and losses; what
-    earlier chunks contribute is carried in as one decayed number per side.
+    They are cumulative sums of weighted gains and losses inside a part, which is
+    a fixed number of rows of a chunk, as the weights grow with the row; what
+    earlier parts contribute is carried in as one decayed number per side.
     """
     df = add_chunk(bars, days=series.chunk_days)
-    w = Window.partitionBy(*keys, CHUNK).orderBy("ts")
-    df = df.withColumn("_ln", F.row_number().over(w))
+    in_chunk = Window.partitionBy(*keys, CHUNK).orderBy("ts")
+    df = df.withColumn("_row", F.row_number().over(in_chunk) - 1)
+    part = F.floor(F.col("_row") / F.lit(PART_ROWS)) if rsi_period else F.lit(0)
+    df = df.withColumn(PART, part.cast("int"))
     totals = [F.count(F.lit(1)).alias("_len")]
     if rsi_period:
         q = 1.0 - 1.0 / rsi_period
-        grow = F.pow(F.lit(1.0 / q), F.col("_ln"))
-        delta = F.col("close") - F.lag("close").over(w)
-        df = df.withColumn("_d", delta)
+        w = Window.partitionBy(*keys, CHUNK, PART).orderBy("ts")
+        grow = F.pow(F.lit(1.0 / q), F.col("_row") % PART_ROWS + 1)
+        df = df.withColumn("_d", F.col("close") - F.lag("close").over(w))
         df = (df.withColumn("_g", F.when(F.col("_d") > 0, F.col("_d") * grow).otherwise(0.0))
                 .withColumn("_l", F.when(F.col("_d") < 0, -F.col("_d") * grow).otherwise(0.0)))
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumns({"_gcum": F.sum("_g").over(upto), "_lcum": F.sum("_l").over(upto)})
-        totals += [F.min_by("close", "_ln").alias("_first"), F.max_by("close", "_ln").alias("_last"),
+        totals += [F.min_by("close", "_row").alias("_first"), F.max_by("close", "_row").alias("_last"),
                    F.max("_gcum").alias("_gs"), F.max("_lcum").alias("_ls")]
-    sums = df.groupBy(*keys, CHUNK).agg(*totals)
-    ordered = Window.partitionBy(*keys).orderBy(CHUNK)
-    chunks = (sums.withColumn("_start", F.coalesce(F.sum("_len").over(_before(keys)), F.lit(0)))
-                  .withColumn("n_bars", F.sum("_len").over(Window.partitionBy(*keys))))
+    parts = df.groupBy(*keys, CHUNK, PART).agg(*totals)
+    carried = [PART]
     if rsi_period:
-        chunks = _carry_decayed(chunks, ordered, q, keys)
-    chunks = chunks.drop("_len", "_first", "_last", "_gs", "_ls")
-    out = (join_chunks(df, chunks, keys)
-           .withColumn("pos", F.col("_start") + F.col("_ln") - 1))
+        parts = _carry_decayed(parts, q, keys)
+        carried += ["_gin", "_lin"]
+    # One row per chunk, as rows are spread by chunks; its parts are few, as each stands for PART_ROWS rows.
+    chunks = parts.groupBy(*keys, CHUNK).agg(
+        F.sum("_len").alias("_len"), F.array_sort(F.collect_list(F.struct(*carried))).alias("_parts"))
+    chunks = (chunks.withColumn("_start", F.coalesce(F.sum("_len").over(_before(keys)), F.lit(0)))
+                    .withColumn("n_bars", F.sum("_len").over(Window.partitionBy(*keys))).drop("_len"))
+    out = join_chunks(df, chunks, keys).withColumn("pos", F.col("_start") + F.col("_row"))
     if rsi_period:
-        gain, loss = F.col("_gin") + F.col("_gcum"), F.col("_lin") + F.col("_lcum")
-        out = out.withColumn("_gain", gain).withColumn("_loss", loss)
+        own = F.get("_parts", F.col(PART))
+        out = out.withColumn("_gain", own["_gin"] + F.col("_gcum")).withColumn("_loss", own["_lin"] + F.col("_lcum"))
         out = out.withColumn("rsi", F.when(F.col("pos") < rsi_period, F.lit(None))
                              .when(F.col("_loss") == 0, F.lit(100.0))
                              .otherwise(100.0 - 100.0 / (1.0 + F.col("_gain") / F.col("_loss"))))
-        out = out.drop("_d", "_g", "_l", "_gcum", "_lcum", "_gin", "_lin", "_gain", "_loss")
-    return out.drop(CHUNK, "_ln", "_start")
+        out = out.drop("_d", "_g", "_l", "_gcum", "_lcum", "_gain", "_loss")
+    return out.drop(CHUNK, PART, "_parts", "_row", "_start")
 
 
-def _carry_decayed(chunks: DataFrame, ordered, q: float, keys: Sequence[str]) -> DataFrame:
-    """Per chunk: decayed gain and loss at its entry, the first delta included.
+def _carry_decayed(parts: DataFrame, q: float, keys: Sequence[str]) -> DataFrame:
+    """Per part: decayed gain and loss at its entry, the first delta included.
 
-    The number of chunks of a symbol is bounded by the calendar, so folding the
-    earlier ones is a short loop. Weights grow as q^-row inside a chunk and would
-    overflow past about 9,500 rows, hence the check.
+    A part stands for up to PART_ROWS rows, so a symbol has few and folding the
+    earlier ones is a short loop.
     """
+    ordered = Window.partitionBy(*keys).orderBy(CHUNK, PART)
     step = F.col("_first") - F.lag("_last").over(ordered)
-    chunks = (chunks.withColumn("_step", F.coalesce(step, F.lit(0.0)))
-              .withColumn("_len", F.when(F.col("_len") <= 9000, F.col("_len"))
-                          .otherwise(F.raise_error(F.lit(
-                              "a chunk holds over 9000 bars: lower SeriesParams.chunk_days")).cast("long"))))
+    parts = parts.withColumn("_step", F.coalesce(step, F.lit(0.0)))
     shrink = F.pow(F.lit(q), F.col("_len"))
     up, down = F.greatest(F.col("_step"), F.lit(0.0)) / q, F.greatest(-F.col("_step"), F.lit(0.0)) / q
-    chunks = (chunks.withColumn("_gstep", up).withColumn("_lstep", down)
-              .withColumn("_end", F.struct(shrink.alias("s"),
-                                           ((F.col("_gs") + up) * shrink).alias("g"),
-                                           ((F.col("_ls") + down) * shrink).alias("l"))))
-    earlier = F.collect_list("_end").over(_before(keys))
+    parts = (parts.withColumn("_gstep", up).withColumn("_lstep", down)
+             .withColumn("_end", F.struct(shrink.alias("s"),
+                                          ((F.col("_gs") + up) * shrink).alias("g"),
+                                          ((F.col("_ls") + down) * shrink).alias("l"))))
+    earlier = F.collect_list("_end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("l"))
     carried = F.aggregate(earlier, zero, lambda a, e: F.struct(
         (e["g"] + a["g"] * e["s"]).alias("g"), (e["l"] + a["l"] * e["s"]).alias("l")))
-    return (chunks.withColumn("_c", carried)
+    return (parts.withColumn("_c", carried)
             .withColumn("_gin", F.coalesce(F.col("_c.g"), F.lit(0.0)) + F.col("_gstep"))
             .withColumn("_lin", F.coalesce(F.col("_c.l"), F.lit(0.0)) + F.col("_lstep"))
             .drop("_step", "_gstep", "_lstep", "_end", "_c"))

@@ -17,9 +17,6 @@ class SeriesParams:
     block_rows: int = 4096  # rows of one block once positions are known
 
 
-HOURLY_SERIES = SeriesParams(chunk_days=170)
-
-
 @dataclass(frozen=True)
 class ScanParams:
     min_price: float = 2.0
@@ -45,7 +42,6 @@ class ScanParams:
     hot_cap: int = 300
     chart_bars: int = 80
     chart_min_bars: int = 25
-    memory_hours: int = 24
 
     @property
     def tail_bars(self) -> int:
@@ -151,5 +147,3 @@ class DigestParams:
 class SessionParams:
     pause_weekends_and_holidays: bool = True
     regular_hours_only: bool = True
-    rebuild_times: tuple[str, ...] = ("19:30", "16:30")
-    universe_max_age_hours: int = 24

@@ -180,7 +180,8 @@ def _(spark, d):
     back = spark.read.option("header", True).csv(path)
     return back.select("ticker", "contract_symbol", "option_type", F.col("expiry").cast("date").alias("expiry"),
                        F.col("dte").cast("int").alias("dte"),
-                       *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("strike", "spot", "iv", "delta", "theta")],
+                       *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("strike", "spot", "spread_pct", "iv", "delta", "theta")],
+                       *[F.round(F.col(c).cast("double"), 10).alias(c) for c in ("bid", "ask", "mid")],
                        F.col("volume").cast("long").alias("volume"), F.col("open_interest").cast("long").alias("open_interest"))
 
 
@@ -189,7 +190,8 @@ def _(spark, d):
     """Two versions of the qualified list; the newest is read, then judged for freshness."""
     liquid = signals.liquidity(X.bars(spark, d)).where("liquid").select("symbol")
     path = scratch_path(spark, "qualified")
-    sinks.write_snapshot(liquid.where("symbol < 'S5'"), path, "2001-11-01 10:00:00")
+    earlier = signals.liquidity(X.bars(spark, d).where("ts < '2001-06-01'")).where("liquid").select("symbol")
+    sinks.write_snapshot(earlier, path, "2001-06-01 10:00:00")
     sinks.write_snapshot(liquid, path, "2001-11-02 21:00:00")
     newest = sinks.read_snapshot(spark, path)
     how, rows = universe.cached_universe(newest, lambda: liquid, "2001-11-03 12:00:00")
@@ -297,7 +299,7 @@ def _(spark, d):
     asked = X.table(spark, d, "supplier").selectExpr("concat('S', s_suppkey) as symbol").unionByName(
         X.table(spark, d, "nation").selectExpr("concat('N', n_nationkey) as symbol"))
     failed = X.table(spark, d, "nation").where("n_regionkey = 1").selectExpr("concat('N', n_nationkey) as symbol")
-    stats = signals.scan_stats(asked, signals.score(scan_features(bars)), TWO_OF_FOUR, failed)
+    stats = signals.scan_stats(asked, signals.score(scan_features(bars)), SCAN, failed)
     return stats.withColumn("data_ratio", F.round("data_ratio", 6))
 
 
@@ -729,11 +731,14 @@ def _stream(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame
 
 @query("T10_bar_stream")
 def _(spark, d):
-    from ..streaming.ticks import bar_stream
+    """Bars as they close, and at the end of the run those still open."""
+    from ..streaming.ticks import bar_stream, open_bars
 
     out = scratch_path(spark, "bar-stream")
-    bar_stream(_stream(spark, d, "ticks", lambda: X.ticks(spark, d)), out, scratch_path(spark, "ckpt")).awaitTermination()
-    return spark.read.parquet(out).select(
+    ended = bar_stream(_stream(spark, d, "ticks", lambda: X.ticks(spark, d)), out, scratch_path(spark, "ckpt"))
+    ended.awaitTermination()
+    still_open = open_bars(spark.read.parquet(X.stored_path(spark, d, "ticks")), ended)
+    return spark.read.parquet(out).unionByName(still_open).select(
         "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("hour"), "open", "high", "low", "close", "volume")
 
 
@@ -743,8 +748,7 @@ def _(spark, d):
     from ..streaming.alerts import alert_stream
 
     gated = lambda: A.with_contract(
-        _events(spark, d), picks.best_calls(quotes.call_greeks(quotes.normalize_quotes(
-            X.contracts(spark, d).where(quotes.of_types(("call",)))))).where("not relaxed").select("symbol"))
+        _events(spark, d), picks.best_calls(picks.near_calls(X.contracts(spark, d))).select("symbol"))
     out = scratch_path(spark, "alert-stream")
     alert_stream(_stream(spark, d, "gated_alerts", gated), out, scratch_path(spark, "memory"),
                  scratch_path(spark, "ckpt")).awaitTermination()

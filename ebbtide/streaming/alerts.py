@@ -25,8 +25,12 @@ def memory_step(batch: DataFrame, memory: DataFrame, hours: int = 24) -> tuple[D
 
     What is remembered enters as the signal each symbol sent last; then the batch
     operator decides. Faded entries are dropped: a later signal of theirs is sent
-    anyway. Scan times must not run backwards between micro-batches.
+    anyway. A row that comes late, at or before its symbol's last sent signal and
+    with the same signature, is not sent again.
     """
+    sent_at = memory.select("symbol", "signature", F.col("ts").alias("_sent_at"))
+    batch = (batch.join(sent_at, ["symbol", "signature"], "left")
+             .where("_sent_at is null or ts > _sent_at").drop("_sent_at"))
     seeds = memory.select("symbol", "ts", F.lit(SEED).cast("long").alias("alert_id"), "signature")
     events = batch.select("symbol", "ts", "alert_id", "signature").unionByName(seeds)
     sent = alert_memory(events, hours)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def to_bars(ticks: DataFrame, width: str = "1 hour", lateness: str | None = None) -> DataFrame:
@@ -26,3 +27,15 @@ def bar_stream(ticks: DataFrame, out: str, checkpoint: str, width: str = "1 hour
     writer = (to_bars(ticks, width, lateness).writeStream.outputMode("append").format("parquet")
               .option("path", out).option("checkpointLocation", checkpoint))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def open_bars(ticks: DataFrame, ended: StreamingQuery, width: str = "1 hour") -> DataFrame:
+    """Bars of the windows that an ended `bar_stream` still held, from the same ticks read as a table.
+
+    Closes a bounded run: no tick of these windows was late, so together with
+    the written bars every window is there once. A stream that will be resumed
+    writes them itself later.
+    """
+    passed = (ended.lastProgress or {}).get("eventTime", {}).get("watermark", "1970-01-01T00:00:00Z")
+    after = F.lit(passed).cast("timestamp") - F.expr(f"interval {width}")
+    return to_bars(ticks.where(F.col("ts") > after), width).where(F.col("ts") > after)

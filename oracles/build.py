@@ -136,7 +136,8 @@ def oracle_sql() -> dict[str, str]:
              title || CASE WHEN publisher IS NULL THEN '' ELSE ' (' || publisher || ')' END AS body
       FROM t WHERE NOT (turn % 4 = 1 AND conv_id % 7 = 0)"""
     add("S12_csv_export", "cli", f"""
-      SELECT symbol AS ticker, contract_symbol, option_type, expiry, dte, {six('strike', 'spot', 'iv', 'delta', 'theta')},
+      SELECT symbol AS ticker, contract_symbol, option_type, expiry, dte, {six('strike', 'spot', 'spread_pct', 'iv', 'delta', 'theta')},
+             round(bid, 10) AS bid, round(ask, 10) AS ask, round(mid, 10) AS mid,
              volume, open_interest FROM cli""")
     add("S13_S14_F9_snapshots", "gate", """
       SELECT symbol, 'snapshot' AS origin, FALSE AS fresh_on_monday FROM gate WHERE last_close >= 2 AND avg_volume >= 30000""")
@@ -179,7 +180,7 @@ def oracle_sql() -> dict[str, str]:
       WITH u AS (SELECT concat('S', s_suppkey) AS symbol, FALSE AS down FROM supplier
                  UNION ALL SELECT concat('N', n_nationkey), n_regionkey = 1 FROM nation)
       SELECT count(*) AS total, count(s.symbol) AS with_data, count(*) FILTER (WHERE s.liquid) AS liquid,
-             count(*) FILTER (WHERE u.down) AS errors, count(*) FILTER (WHERE s.liquid AND score >= 2) AS matched,
+             count(*) FILTER (WHERE u.down) AS errors, count(*) FILTER (WHERE s.liquid AND score >= 3) AS matched,
              count(*) FILTER (WHERE s.liquid AND score >= 2) AS hot, round(count(s.symbol) / CAST(count(*) AS DOUBLE), 6) AS data_ratio
       FROM u LEFT JOIN scored s ON s.symbol = u.symbol""")
     add("U3_K7_hot_list", "scored", """
@@ -345,11 +346,9 @@ def oracle_sql() -> dict[str, str]:
     add("T10_bar_stream", "ticks", """
       SELECT symbol, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, arg_min(price, (ts, event_id)) AS open, max(price) AS high,
              min(price) AS low, arg_max(price, (ts, event_id)) AS close, CAST(sum(size) AS DOUBLE) AS volume
-      FROM ticks GROUP BY symbol, date_trunc('hour', ts)
-      HAVING date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
-    add("T2_T3_alert_stream", "sent priced", f"""
-      SELECT symbol, {DAY}, alert_id, signature FROM sent WHERE symbol IN (
-        SELECT symbol FROM priced WHERE option_type = 'call' AND {STRICT})""")
+      FROM ticks GROUP BY symbol, date_trunc('hour', ts)""")
+    add("T2_T3_alert_stream", "sent best", f"""
+      SELECT symbol, {DAY}, alert_id, signature FROM sent WHERE symbol IN (SELECT symbol FROM best)""")
     add("T1_T6_scan_stream", "signals1", "SELECT symbol, CAST(bar_ts AS DATE) AS day, price, score, signature FROM signals1")
     add("T5_horizon_stream", "settled_last", f"""
       SELECT alert_id, horizon_h, status, attempts, {six('alpha')} FROM settled_last WHERE status <> 'pending'""")

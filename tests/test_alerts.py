@@ -7,7 +7,7 @@ from ebbtide.operators import alerts as A
 from ebbtide.operators import performance as P
 from ebbtide.params import PerformanceParams, ScanParams, SeriesParams, SessionParams
 from ebbtide.schemas import ALERT_EVENTS
-from ebbtide.streaming.alerts import alert_stream, keyed_alert_stream
+from ebbtide.streaming.alerts import MEMORY, alert_stream, keyed_alert_stream, memory_step
 from ebbtide.streaming.horizon import horizon_stream
 from ebbtide.streaming.scan import HISTORY, hot_lane_stream, scan_step, scan_stream
 from ebbtide.streaming.ticks import bar_stream, to_bars
@@ -182,3 +182,16 @@ def test_subscribers(spark):
     assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: False}
     remaining, notices = A.lapsed(ids(2, 3, 4), approved, 100)
     assert sorted(r.chat_id for r in remaining.collect()) == [2, 4] and [r.chat_id for r in notices.collect()] == [3]
+
+
+def test_late_rows_are_not_sent_again(spark):
+    """A row of an unchanged signal that comes in a later micro-batch, at or before the sent one, stays quiet."""
+    kind = "symbol string, ts timestamp, alert_id bigint, signature string"
+    at = lambda h: (pd.Timestamp("2025-03-03") + pd.Timedelta(hours=h)).to_pydatetime()
+    memory = spark.createDataFrame([], MEMORY)
+    sent = []
+    for rows in ([("A", at(10), 1, "x"), ("B", at(10), 2, "x")], [("A", at(9), 3, "x"), ("A", at(10), 4, "x"), ("B", at(11), 5, "y")],
+                 [("A", at(35), 6, "x")]):
+        now, memory = memory_step(spark.createDataFrame(rows, kind), memory)
+        sent += [sorted(r.alert_id for r in now.collect())]
+    assert sent == [[1, 2], [5], [6]]

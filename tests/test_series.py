@@ -70,12 +70,21 @@ def test_cutting_does_not_change_results(spark, frames, cut):
         pd.testing.assert_frame_equal(g.reset_index(drop=True), cut[s], check_exact=False, rtol=1e-9)
 
 
-def test_too_long_chunk_is_refused(spark):
-    n = 9001
-    long_one = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=n, freq="s"), "open": 1.0, "high": 1.0,
-                             "low": 1.0, "close": 1.0, "volume": 1.0})
-    with pytest.raises(Exception, match="chunk_days"):
-        indicator_series(bars(spark, long_one), only=("rsi",)).collect()
+@pytest.mark.parametrize(("n", "freq"), [(26_280, "h"), (10_000, "min")])
+def test_long_chunks_of_hours_and_minutes(spark, n, freq):
+    """Three years of round-the-clock hours and a week of minutes with the default cut; a long flat stretch keeps its ratio."""
+    close = walk(8, n)
+    close[5000:9000] = close[4999]
+    one = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=n, freq=freq), "close": close, "volume": 1.0})
+    for c in ("open", "high", "low"):
+        one[c] = close
+    got = indicator_series(bars(spark, one[["symbol", "ts", "open", "high", "low", "close", "volume"]]), only=("rsi",))
+    got = got.toPandas().sort_values("pos")["rsi"].to_numpy(dtype=float)
+    gain = loss = 0.0
+    for i, move in enumerate(np.diff(close), 1):
+        gain, loss = gain * 13 / 14 + max(move, 0), loss * 13 / 14 + max(-move, 0)
+        if i >= 14:
+            assert got[i] == pytest.approx(100 * gain / (gain + loss), rel=1e-9), i
 
 
 def test_block_must_cover_the_frame(spark, frames):
