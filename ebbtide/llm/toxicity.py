@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import extended, written
+from .base import bitmap_of, extended, in_bitmap, written
 
 FOLDS = 4
 FIT_ROWS = 20_000        # labelled rows, chosen by hash, that trees and calibration are fitted on (expected number)
@@ -141,10 +142,10 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexicons(labelled: DataFrame, entries: int = LEXICON_ENTRIES) -> list[dict[str, float]]:
     """One lexicon without each fold, and one of all folds at the end.
 
-    Counted over all labelled rows. Each has at most `entries` entries: that is
+    Counted over all labelled rows, which hold a text once: many copies are one
+    piece of evidence. Each has at most `entries` entries: that is
     what reaches the driver and what is broadcast.
     """
-    labelled = labelled.dropDuplicates(["text_hash"])  # a text many times over is one piece of evidence
     counts = labelled.select("text", "fold", "toxic").mapInArrow(_terms, "term string, fold int, bad bigint, good bigint")
     per_fold = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("bad", "good")]
     table = written(labelled.sparkSession, counts.groupBy("term").agg(*per_fold).where(" + ".join(f"bad{f}" for f in range(FOLDS)) + f" >= {LEAST_TEXTS}"), "lexicon")
@@ -209,17 +210,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Learn from the labelled rows of docs whose id is not held out.
 
     Rows without id or label teach nothing; null texts count as empty; several
-    labels of one id count as toxic if one says so; repeated rows count once.
+    labels of one id or one text count as toxic if one says so; rows of equal text count once.
     With no labels, or labels of one kind, the score is that share of 1s.
     """
     spark = docs.sparkSession
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(~held_out("id"))
-    labelled = rows.join(marks, "id").withColumn("text_hash", F.xxhash64("text")).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    # Which rows teach is decided without their texts; then only those texts are moved, once.
+    chosen = rows.select("id", "text_hash").join(marks, "id").groupBy("text_hash").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"))
+    chosen = written(spark, chosen.withColumn("row_hash", F.xxhash64("id", "text_hash")), "toxic-chosen")
+    bitmap = spark.sparkContext.broadcast(bitmap_of(chosen, "row_hash"))
+    teaches = F.pandas_udf(lambda h: pd.Series(in_bitmap(bitmap.value, h.to_numpy())), "boolean")
+    labelled = rows.where(teaches(F.xxhash64("id", "text_hash"))).join(chosen.select("id", "text_hash", "toxic"), ["id", "text_hash"])
+    labelled = labelled.dropDuplicates(["id", "text_hash"]).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int"))
     labelled = written(spark, labelled, "toxic-labelled")
     known = lexicons(labelled)
     share = min(1.0, fit_rows / max(1, labelled.count()))
-    sample = labelled.dropDuplicates(["text_hash"]).where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000)) < int(share * 1_000_000))
     sent = spark.sparkContext.broadcast(known)
     kind = extended(sample.select("id", "fold", "toxic").schema, "features array<double>")
     sample = sample.select("id", "text", "fold", "toxic").mapInArrow(_featured(sent, True), kind)
