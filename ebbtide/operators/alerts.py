@@ -22,7 +22,7 @@ def fresh_against(signals: DataFrame, memory: DataFrame) -> DataFrame:
     return signals.join(memory.select("symbol", "signature"), ["symbol", "signature"], "left_anti")
 
 
-def alert_memory(events: DataFrame, hours: int = 24, order: tuple[str, ...] = ("ts", "alert_id")) -> DataFrame:
+def alert_memory(events: DataFrame, hours: int = 24, order: tuple[str, ...] = ("ts", "alert_id"), part_rows: int = 100_000) -> DataFrame:
     """Which of the time-ordered signals are sent.
 
     A signal is sent when its symbol is not remembered or is remembered with
@@ -31,10 +31,10 @@ def alert_memory(events: DataFrame, hours: int = 24, order: tuple[str, ...] = ("
     before, a change of signature is always sent, and inside an unchanged run the
     sent ones are found by stepping over at least `hours` each time.
 
-    The signal before and the run number come from calendar chunks with carried
-    values. A run is then reduced to one entry per scan time before it is walked.
+    The signal before and the run number come from chunks of about `part_rows` rows
+    with carried values. A run is then reduced to one entry per scan time before it is walked.
     """
-    runs = _numbered_runs(S.add_chunk(events, days=32), order)
+    runs = _numbered_runs(S.add_parts(events, rows=part_rows), order)
     first_at = runs.groupBy("symbol", "run", "signature", "ts").agg(F.min("alert_id").alias("alert_id"))
     walked = first_at.groupBy("symbol", "run", "signature").agg(
         F.array_sort(F.collect_list(F.struct("ts", "alert_id"))).alias("times"))

@@ -31,11 +31,12 @@ def restrict(rows: DataFrame, symbols: DataFrame, spread_by: str = "ts") -> Data
 
 
 def asof(rows: DataFrame, facts: DataFrame, value: str, out: str, rows_ts: str,
-         facts_ts: str = "ts", keys: Sequence[str] = S.KEYS, days: float = 32) -> DataFrame:
+         facts_ts: str = "ts", keys: Sequence[str] = S.KEYS, part_rows: int = 100_000) -> DataFrame:
     """Latest `value` of `facts` at or before each row's time, null if none.
 
-    Rows and facts are merged by time inside calendar chunks of each key; the
-    last fact of earlier chunks is carried in. No key is ever sorted whole.
+    Rows and facts are merged by time inside chunks of each key, of about
+    `part_rows` rows; the last fact of earlier chunks is carried in. No key is ever
+    sorted whole.
     """
     left = rows.select(*keys, F.col(rows_ts).cast("timestamp").alias("_t"), F.lit(1).alias("_side"),
                        F.struct(*rows.columns).alias("_row"),
@@ -44,7 +45,7 @@ def asof(rows: DataFrame, facts: DataFrame, value: str, out: str, rows_ts: str,
                          F.lit(0).alias("_side"),
                          F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
                          F.col(value).alias("_fact"))
-    merged = S.add_chunk(left.unionByName(right), "_t", days)
+    merged = S.add_parts(left.unionByName(right), "_t", keys, part_rows)
     known = S.last_known(merged, F.col("_fact"), out, ["_t", "_side"], keys, including_self=True)
     return known.where("_side = 1").select("_row.*", out)
 

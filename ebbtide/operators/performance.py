@@ -33,8 +33,13 @@ def with_prices(rows: DataFrame, bars: DataFrame, benchmark: str, at: str, price
 
 
 def track(alerts: DataFrame, bars: DataFrame, params: PerformanceParams) -> DataFrame:
-    """Stamp alerts with both prices; without a benchmark price they are not tracked."""
+    """Stamp alerts with both prices; without a benchmark price they are not tracked.
+
+    The `price` an alert was sent with is its price; the bars answer where it has none.
+    """
     priced = with_prices(alerts, bars, params.benchmark, "alert_ts", "alert_price", "bench_price")
+    if "price" in alerts.columns:
+        priced = priced.withColumn("alert_price", F.coalesce("price", "alert_price"))
     return priced.where("alert_price is not null and bench_price is not null")
 
 

@@ -32,6 +32,21 @@ def add_chunk(df: DataFrame, ts: str = "ts", days: float = 1024) -> DataFrame:
     return df.withColumn(CHUNK, F.floor(seconds / F.lit(int(days * DAY))).cast("long"))
 
 
+def add_parts(df: DataFrame, ts: str = "ts", keys: Sequence[str] = KEYS, rows: int = 100_000, seconds: int = 3600) -> DataFrame:
+    """Chunks in time order of about `rows` rows each, however dense a key is.
+
+    Rows are counted per key and fine span of time; the spans of a key are then
+    laid into chunks by their running count. A chunk holds `rows` and at most one span more,
+    so a key with many rows gets as many chunks as it needs.
+    """
+    span = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(seconds)).cast("long")
+    spanned = df.withColumn("_span", span)
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = spanned.groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
+    ids = sizes.select(*keys, "_span", F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / F.lit(rows)).cast("long").alias(CHUNK))
+    return spanned.join(ids, [*keys, "_span"]).drop("_span")
+
+
 def _before(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 

@@ -147,3 +147,4 @@ class DigestParams:
 class SessionParams:
     pause_weekends_and_holidays: bool = True
     regular_hours_only: bool = True
+    daily_bars: bool = False  # bars are stamped with their exchange date, at midnight

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
-from ..functions import texts as T
 from ..functions.numeric import norm_cdf, norm_pdf
 from ..functions.strings import clip_words, none_as_null, normal_symbol, price_text
 from ..operators import alerts as A
@@ -70,6 +69,17 @@ def _(spark, d):
         "symbol", day(), "open", "high", "low", "close", "volume")
 
 
+@query("S1_read_bars")
+def _(spark, d):
+    """Two intervals in one folder, delivered twice; the second delivery corrects the first."""
+    path, bars = scratch_path(spark, "bar-files"), X.bars(spark, d)
+    daily = bars.withColumn("interval", F.lit("1d"))
+    hourly = bars.select(*[c for c in bars.columns if c != "ts"], F.lit("1h").alias("interval"), (F.col("ts") + F.expr("interval 15 hours")).alias("ts"))
+    daily.withColumn("close", F.col("close") + 1).unionByName(hourly).write.parquet(path)
+    daily.write.mode("append").parquet(path)
+    return readers.read_bars(spark, path, "1d", since="1995-01-01").select("symbol", day(), "open", "high", "low", "close", "volume")
+
+
 @query("S3_latest_close")
 def _(spark, d):
     return P.latest_prices(X.bars(spark, d))
@@ -97,7 +107,12 @@ def _(spark, d):
 
 @query("P1_U1_common_stocks")
 def _(spark, d):
-    return universe.common_stocks(X.directory(spark, d))
+    """Two exchange lists that overlap, some symbols of which have a suffix."""
+    listed = X.directory(spark, d).withColumn("symbol", F.when(
+        F.endswith("symbol", F.lit("B")), F.concat("symbol", F.lit(".W"))).otherwise(F.col("symbol")))
+    nasdaq = listed.where("source = 'nasdaq'")
+    other = listed.where("source = 'other' or symbol like '%C'")
+    return universe.union_distinct(universe.common_stocks(nasdaq), universe.common_stocks(other))
 
 
 @query("P2_S5_all_listed")
@@ -107,20 +122,38 @@ def _(spark, d):
     return universe.all_listed(listed)
 
 
+def _constituents(spark: SparkSession, d: str) -> DataFrame:
+    return X.table(spark, d, "supplier").selectExpr("concat('K', s_suppkey, '.', s_nationkey) as symbol")
+
+
 @query("S6_index_members")
 def _(spark, d):
-    named = X.table(spark, d, "supplier").selectExpr("concat('K', s_suppkey, '.', s_nationkey) as symbol")
-    return universe.index_members(named)
+    return universe.index_members(_constituents(spark, d))
 
 
-@query("S7_ticker_lines")
-def _(spark, d):
+def _ticker_file(spark: SparkSession, d: str) -> str:
     lines = X.table(spark, d, "supplier").selectExpr(
         "case when s_nationkey % 4 = 0 then concat('# s', s_suppkey) when s_nationkey % 4 = 1 then concat('  s', s_suppkey, ' ') "
         "when s_nationkey % 4 = 2 then concat(' #s', s_suppkey) else '   ' end as value")
     path = scratch_path(spark, "tickers")
     lines.write.text(path)
-    return readers.ticker_file(spark, path)
+    return path
+
+
+@query("S7_ticker_lines")
+def _(spark, d):
+    return readers.ticker_file(spark, _ticker_file(spark, d))
+
+
+@query("S8_universe_forms")
+def _(spark, d):
+    """Each form in which a universe is asked for, on the same tables."""
+    forms = {"index": "SP500", "all": " all ", "list": " s1, S3 ,s5,,S7", "file": _ticker_file(spark, d), "single": " s9 "}
+    out = None
+    for form, spec in forms.items():
+        one = universe.resolve(spark, spec, _constituents(spark, d), X.directory(spark, d)).select(F.lit(form).alias("form"), "symbol")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("S8_J1_universe_bars")
@@ -135,6 +168,18 @@ def _(spark, d):
     return X.chain(spark, d)
 
 
+@query("S9_F5_read_chain")
+def _(spark, d):
+    """The chain as files, read back with an expiry window that reaches the scan."""
+    path = scratch_path(spark, "chain-files")
+    X.contracts(spark, d).select(
+        "symbol", "contract_symbol", "option_type", "expiry", "strike", "bid", "ask", "last", F.col("volume").cast("double").alias("volume"),
+        F.col("open_interest").cast("double").alias("open_interest"), "iv", "provider", F.lit(X.AS_OF).cast("timestamp").alias("as_of")
+    ).write.parquet(path)
+    return readers.read_chain(spark, path, X.AS_OF, 60).select(
+        "symbol", "contract_symbol", "option_type", "expiry", "dte", "strike", "bid", "ask", "last", "volume", "open_interest", "iv", "provider")
+
+
 def _nested_documents(spark: SparkSession, d: str) -> DataFrame:
     """One chain document per order and symbol, at most seven contracts each."""
     c = X.contracts(spark, d)
@@ -173,6 +218,18 @@ def _(spark, d):
     return readers.read_news(spark, path).where("body is not null").select("symbol", "kind", "body")
 
 
+@query("S11_social_messages")
+def _(spark, d):
+    """Message documents with all items of a symbol, written as JSON and read back."""
+    said = X.feed(spark, d).where("kind = 'social'")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "body")))
+    docs = said.groupBy("symbol").agg(ordered.alias("said")).select(
+        "symbol", F.transform("said", lambda m: F.struct(m["body"].alias("body"))).alias("messages"))
+    path = scratch_path(spark, "social")
+    docs.write.json(path)
+    return readers.read_social(spark, path).select("symbol", "kind", "rank", F.md5("body").alias("body"))
+
+
 @query("S12_csv_export")
 def _(spark, d):
     path = scratch_path(spark, "matches")
@@ -199,6 +256,40 @@ def _(spark, d):
     return rows.select("symbol", F.lit(how).alias("origin"), (fresh.scalar() > 0).alias("fresh_on_monday"))
 
 
+def _qualified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stored list of liquid symbols, and every symbol there is."""
+    path = scratch_path(spark, "qualified")
+    sinks.write_snapshot(signals.liquidity(X.bars(spark, d)).where("liquid").select("symbol"), path, "2001-11-02 21:00:00")
+    return sinks.read_snapshot(spark, path), X.bars(spark, d).select("symbol").distinct()
+
+
+@query("S14_universe_branches")
+def _(spark, d):
+    """A young list is used, an old one rebuilt; where that fails the old one stays."""
+    def fails():
+        raise OSError("no directory")
+
+    stored, everyone = _qualified(spark, d)
+    out = None
+    for rebuild, now in ((fails, "2001-11-03 12:00:00"), (lambda: everyone, "2001-11-04 12:00:00"), (fails, "2001-11-04 12:00:00")):
+        origin, rows = universe.cached_universe(stored, rebuild, now)
+        one = rows.select("symbol", F.lit(origin).alias("origin"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("T7_scan_list")
+def _(spark, d):
+    """Passes before and after a rebuild deadline: the stored list, then everything."""
+    stored, everyone = _qualified(spark, d)
+    out = None
+    for label, now in (("before", "2001-11-02 21:20:00"), ("after", "2001-11-03 12:00:00")):
+        full, rows = universe.scan_list(spark, stored, everyone, now)
+        one = rows.select("symbol", F.lit(label).alias("pass"), F.lit(full).alias("is_full"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- windows over the daily bars ----------------------------------------------
 
 def _indicator(name: str, only: tuple[str, ...], columns: Callable[[], list]):
@@ -693,6 +784,11 @@ def _(spark, d):
         "symbol", "price", "score", "signature", "liquid", "contract_symbol", "premium")
 
 
+@query("Q2_W11_symbol_chart")
+def _(spark, d):
+    return jobs.symbol_chart(X.bars(spark, d), " s7 ").select("symbol", day(), "close", "rsi_ref", *six("bb_lower", "rsi"), *ten("support_level"))
+
+
 @query("Q4_J9_bottom_rebounds")
 def _(spark, d):
     bars = X.bars(spark, d)
@@ -768,6 +864,24 @@ def _(spark, d):
     return spark.read.parquet(out).select("symbol", F.col("bar_ts").cast("date").alias("day"), "price", "score", "signature")
 
 
+@query("T4_hot_lane")
+def _(spark, d):
+    """Bars come in beside a stored history; only symbols of the newest hot list are scored again."""
+    from ..params import SessionParams
+    from ..streaming.scan import hot_lane_stream
+    from ..streaming.steps import write_version
+
+    bars, params = X.bars(spark, d), ScanParams(signal_score=1, hot_score=1)
+    history, hot, out = (scratch_path(spark, name) for name in ("history", "hot", "hot-signals"))
+    write_version(bars.where("ts < '1997-01-01'"), history, 0)
+    write_version(bars.select("symbol").distinct(), hot, 0)
+    even = X.table(spark, d, "supplier").where("s_nationkey % 2 = 0").selectExpr("concat('S', s_suppkey) as symbol")
+    write_version(signals.hot_symbols(signals.scan(bars, params), params).join(even, "symbol", "left_semi"), hot, 1)
+    hot_lane_stream(_stream(spark, d, "bars", lambda: bars), history, hot, out, scratch_path(spark, "ckpt"),
+                    SessionParams(daily_bars=True, pause_weekends_and_holidays=False), params, every=None).awaitTermination()
+    return spark.read.parquet(out).select("symbol", F.col("bar_ts").cast("date").alias("day"), "score", "signature", "is_hot")
+
+
 @query("T5_horizon_stream")
 def _(spark, d):
     from ..streaming.horizon import horizon_stream

@@ -38,6 +38,11 @@ def check_symbol(bars: DataFrame, chain: DataFrame, symbol: str, scan: ScanParam
     return scored.join(best, "symbol", "left")
 
 
+def symbol_chart(bars: DataFrame, symbol: str, scan: ScanParams = ScanParams()) -> DataFrame:
+    """The chart table that goes with the check of one symbol."""
+    return reports.chart_table(bars.where(F.col("symbol") == symbol.strip().upper()), scan)
+
+
 def cheap_contracts(bars: DataFrame, chain: DataFrame, max_contract_price: float | None = None,
                     qualified: DataFrame | None = None, scan: ScanParams = ScanParams(),
                     contracts: ContractParams = ContractParams()) -> DataFrame:

@@ -106,7 +106,7 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").selectExpr(
         "concat('U', user_id % 10) as symbol", "ts", "event_id",
         "cast(round(value) as bigint) - 50 as step")
-    walked = S.running_sum(S.add_chunk(events, days=1 / 24), "step", "walk", ["ts", "event_id"])
+    walked = S.running_sum(S.add_parts(events, seconds=60), "step", "walk", ["ts", "event_id"])
     return walked.selectExpr(
         "symbol", "ts", "event_id", "round(50 * exp(walk / cast(5000 as double)), 4) as price",
         "20000 + (event_id % 50) * 1000 as size")

@@ -12,11 +12,11 @@ from ..schemas import BARS, CHAIN, NESTED_CHAIN, NEWS, PRICE_COLUMNS, SOCIAL
 FOOTER = "File Creation"
 
 
-def clean_bars(raw: DataFrame) -> DataFrame:
+def clean_bars(raw: DataFrame, *more: str) -> DataFrame:
     """Rows with a close, missing numbers as null, one row per symbol and time."""
     numbers = {c: nan_as_null(F.col(c).cast("double")) for c in PRICE_COLUMNS}
     keys = [c for c in ("symbol", "interval", "ts") if c in raw.columns]
-    rows = raw.select(*keys, *PRICE_COLUMNS).withColumns(numbers)
+    rows = raw.select(*keys, *PRICE_COLUMNS, *more).withColumns(numbers)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).where("close is not null")
 
 
@@ -24,15 +24,24 @@ def read_bars(spark: SparkSession, path: str, interval: str, fmt: str = "parquet
               since: str | None = None, unique: bool = True) -> DataFrame:
     """Bars of one interval; the interval and the start date are cut in the scan.
 
-    `unique` drops repeated (symbol, ts) rows, which re-delivered files may hold.
+    With `unique`, of repeated (symbol, ts) rows, which re-delivered files may
+    hold, the one of the newest file counts.
     """
     reader = spark.read.schema(BARS)
     raw = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
     raw = raw.where(F.col("interval") == interval)
     if since:
         raw = raw.where(F.col("ts") >= F.lit(since).cast("timestamp"))
-    bars = clean_bars(raw).drop("interval")
-    return bars.dropDuplicates(["symbol", "ts"]) if unique else bars
+    if not unique:
+        return clean_bars(raw).drop("interval")
+    written = raw.withColumn("_delivery", F.struct("_metadata.file_modification_time", "_metadata.file_path"))
+    return newest_delivery(clean_bars(written, "_delivery").drop("interval"), "_delivery")
+
+
+def newest_delivery(bars: DataFrame, delivery: str) -> DataFrame:
+    """One bar per symbol and time: the last by `delivery`, then the one of greatest values."""
+    last = bars.groupBy("symbol", "ts").agg(F.max(F.struct(delivery, *PRICE_COLUMNS)).alias("_bar"))
+    return last.select("symbol", "ts", *[F.col("_bar")[c].alias(c) for c in PRICE_COLUMNS])
 
 
 def long_from_wide(wide: DataFrame, ts: str = "ts", separator: str = "|") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.performance import settle
 from ..params import PerformanceParams
+from ..sources.readers import newest_delivery
 from .scan import HISTORY
 from .steps import read_before, read_upto, run_batches, write_version
 
@@ -24,7 +25,7 @@ def horizon_stream(bars: DataFrame, checks: DataFrame, history: str, out: str, p
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         write_version(batch.select(*HISTORY.names), history, number)
-        known = read_upto(spark, history, number, HISTORY).dropDuplicates(["symbol", "ts"])
+        known = newest_delivery(read_upto(spark, history, number, HISTORY), "batch")
         open_ = checks if number == 0 else read_before(spark, pending, number, checks.schema)
         now = known.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
         judged = settle(open_, known, now, params)

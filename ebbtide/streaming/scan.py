@@ -2,35 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructType
 
-from ..functions.dates import scan_paused
+from ..functions.dates import is_trading_day, scan_paused
 from ..operators import alerts, signals
 from ..operators.joins import restrict
 from ..params import ScanParams, SeriesParams, SessionParams
 from ..schemas import BARS
-from .steps import read_before, read_upto, run_batches, write_version
+from ..sources.readers import newest_delivery
+from .steps import read_before, read_newest, read_upto, run_batches, write_version
 
 HOT = StructType().add("symbol", StringType())
 HISTORY = StructType([f for f in BARS.fields if f.name != "interval"])
+JUST_CAME = 2**31 - 1  # delivery number of bars that no stored version holds
+
+
+def in_session(ts: Column, session: SessionParams, at: str | None = None) -> Column:
+    """Whether the market is scanned: at the time `at` of the scan, or as of each bar in a replay.
+
+    A daily bar is stamped at midnight of its exchange date; in a replay that date decides.
+    """
+    if at is not None:
+        ts = F.lit(at).cast("timestamp")
+    elif session.daily_bars:
+        return is_trading_day(F.to_date(ts)) if session.pause_weekends_and_holidays else F.lit(True)
+    return ~scan_paused(ts, session.pause_weekends_and_holidays, session.regular_hours_only)
 
 
 def scan_step(history: DataFrame, batch: DataFrame, session: SessionParams = SessionParams(),
               scan: ScanParams = ScanParams(), series: SeriesParams = SeriesParams(),
-              only: DataFrame | None = None, best: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+              only: DataFrame | None = None, best: DataFrame | None = None, at: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signals, hot symbols, symbols looked at) for the symbols with a bar in an open session.
 
     Only those are scored again, by the batch operators over their history. With
     `only` (the hot lane) the rest is left alone; with `best` a signal needs a contract.
+    `at` is the time of the scan; without it the bars' own times are looked at. A
+    bar that the history holds in several versions (`batch`) counts as in the newest.
     """
-    open_ = batch.where(~scan_paused(F.col("ts"), session.pause_weekends_and_holidays, session.regular_hours_only))
+    open_ = batch.where(in_session(F.col("ts"), session, at))
     touched = open_.select("symbol").distinct()
     if only is not None:
         touched = touched.join(only.select("symbol").distinct(), "symbol", "left_semi")
-    mine = restrict(history, touched).dropDuplicates(["symbol", "ts"])
+    versioned = history if "batch" in history.columns else history.withColumn("batch", F.lit(0))
+    mine = newest_delivery(restrict(versioned, touched), "batch")
     scored = signals.scan(mine, scan, series)
     found = signals.signals(scored, scan)
     if best is not None:
@@ -41,17 +60,18 @@ def scan_step(history: DataFrame, batch: DataFrame, session: SessionParams = Ses
 def scan_stream(bars: DataFrame, history: str, out: str, hot: str, checkpoint: str,
                 session: SessionParams = SessionParams(), scan: ScanParams = ScanParams(),
                 series: SeriesParams = SeriesParams(), best: DataFrame | None = None,
-                every: str | None = None) -> StreamingQuery:
+                every: str | None = None, clock: Callable[[], str] | None = None) -> StreamingQuery:
     """Append the bars of each micro-batch, score the symbols they touch, write signals and hot list.
 
     While the market is paused nothing is scored and the hot list stays as it is.
+    A live scan passes a `clock`, which tells the time of each scan.
     """
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         write_version(batch.select(*HISTORY.names), history, number)
         known = read_upto(spark, history, number, HISTORY)
         new = spark.read.schema(HISTORY).parquet(f"{history}/batch={number}")
-        found, hot_now, touched = scan_step(known, new, session, scan, series, best=best)
+        found, hot_now, touched = scan_step(known, new, session, scan, series, best=best, at=clock() if clock else None)
         rows = found.select("symbol", "bar_ts", "price", "score", "signature", "matched", "reasons")
         write_version(rows, out, number)
         before = read_before(spark, hot, number, HOT).join(touched, "symbol", "left_anti")
@@ -60,15 +80,22 @@ def scan_stream(bars: DataFrame, history: str, out: str, hot: str, checkpoint: s
     return run_batches(bars, step, checkpoint, every)
 
 
-def hot_lane_stream(bars: DataFrame, history: DataFrame, hot: DataFrame, out: str, checkpoint: str,
+def hot_lane_stream(bars: DataFrame, history: str, hot: str, out: str, checkpoint: str,
                     session: SessionParams = SessionParams(), scan: ScanParams = ScanParams(),
                     series: SeriesParams = SeriesParams(), best: DataFrame | None = None,
-                    every: str | None = "120 seconds") -> StreamingQuery:
-    """Score near-signals again on a short trigger; its signals are marked hot."""
+                    every: str | None = "120 seconds", clock: Callable[[], str] | None = None) -> StreamingQuery:
+    """Score near-signals again on a short trigger; its signals are marked hot.
+
+    `history` and `hot` are the folders that the scan stream writes. Each trigger
+    looks at what they hold by then.
+    """
     def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         # The batch was appended to the stored history by the scan stream or is new here.
-        known = history.unionByName(batch.select(*HISTORY.names))
-        found, _, _ = scan_step(known, batch, session, scan, series, signals.hot_lane(hot, scan), best)
+        new = batch.select(*HISTORY.names).withColumn("batch", F.lit(JUST_CAME))
+        known = read_upto(spark, history, JUST_CAME - 1, HISTORY).unionByName(new)
+        only = signals.hot_lane(read_newest(spark, hot, HOT), scan)
+        found, _, _ = scan_step(known, batch, session, scan, series, only, best, clock() if clock else None)
         rows = found.select("symbol", "bar_ts", "price", "score", "signature", "matched", "reasons")
         write_version(rows.withColumn("is_hot", F.lit(True)), out, number)
 

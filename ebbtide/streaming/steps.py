@@ -7,12 +7,15 @@ the one before it, so replays change nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructType
 
+from ..sources.readers import path_exists
+
 
 def write_version(rows: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
@@ -26,9 +29,17 @@ def read_before(spark: SparkSession, path: str, batch: int, schema: StructType)
 
 
 def read_upto(spark: SparkSession, path: str, batch: int, schema: StructType) -> DataFrame:
-    """All versions up to and including `batch`, for tables that only grow."""
+    """All versions up to and including `batch`, for tables that only grow, with their number."""
     whole = StructType(list(schema.fields)).add("batch", IntegerType())
-    return spark.read.schema(whole).parquet(path).where(f"batch <= {batch}").drop("batch")
+    return spark.read.schema(whole).parquet(path).where(f"batch <= {batch}")
+
+
+def read_newest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest version there is now, also when it holds no row; empty without one."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    numbers = [int(m[1]) for f in spark.read.schema(schema).parquet(path).inputFiles() if (m := re.search(r"/batch=(\d+)/", f))]
+    return spark.read.schema(schema).parquet(f"{path}/batch={max(numbers)}") if numbers else spark.createDataFrame([], schema)
 
 
 def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str,

@@ -111,19 +111,30 @@ def oracle_sql() -> dict[str, str]:
         out[name] = query(needs, body)
 
     add("S1_S2_bars", "bars", f"SELECT symbol, {DAY}, open, high, low, close, volume FROM bars WHERE close IS NOT NULL")
+    add("S1_read_bars", "bars", f"""
+      SELECT symbol, {DAY}, open, high, low, close, volume FROM bars WHERE ts >= TIMESTAMP '1995-01-01 00:00:00'""")
     add("S3_latest_close", "bars", "SELECT symbol, arg_max(close, ts) AS last_close FROM bars GROUP BY symbol")
     add("S4_S5_directory_files", "directory", "SELECT symbol, test_issue, etf, source FROM directory")
     add("P1_U1_common_stocks", "directory", """
-      SELECT DISTINCT upper(trim(symbol)) AS symbol FROM directory WHERE test_issue = 'N' AND etf = 'N'
-      AND length(trim(symbol)) BETWEEN 1 AND 5""")
+      SELECT DISTINCT symbol FROM directory WHERE test_issue = 'N' AND etf = 'N' AND length(symbol) <= 5 AND symbol NOT LIKE '%B'""")
     add("P2_S5_all_listed", "directory", "SELECT DISTINCT symbol FROM directory WHERE test_issue <> 'Y' AND etf <> 'Y'")
     out["S6_index_members"] = "SELECT concat('K', s_suppkey, '-', s_nationkey) AS symbol FROM supplier"
     out["S7_ticker_lines"] = """
       SELECT CASE s_nationkey % 4 WHEN 1 THEN concat('S', s_suppkey) ELSE concat('#S', s_suppkey) END AS symbol
       FROM supplier WHERE s_nationkey % 4 IN (1, 2)"""
+    add("S8_universe_forms", "directory", """
+      SELECT 'index' AS form, concat('K', s_suppkey, '-', s_nationkey) AS symbol FROM supplier
+      UNION ALL SELECT DISTINCT 'all', symbol FROM directory WHERE test_issue <> 'Y'
+      UNION ALL SELECT 'list', concat('S', i) FROM (VALUES (1), (3), (5), (7)) v(i)
+      UNION ALL SELECT 'file', CASE s_nationkey % 4 WHEN 1 THEN concat('S', s_suppkey) ELSE concat('#S', s_suppkey) END
+                FROM supplier WHERE s_nationkey % 4 IN (1, 2)
+      UNION ALL SELECT 'single', 'S9'""")
     add("S8_J1_universe_bars", "bars", """
       SELECT symbol, count(*) AS n, max(close) AS top FROM bars WHERE symbol IN ('S1', 'S3', 'S5', 'S7') GROUP BY symbol""")
     add("S9_U2_chain", "chain", "SELECT * FROM chain")
+    add("S9_F5_read_chain", "chain", """
+      SELECT symbol, contract_symbol, option_type, expiry, dte, strike, bid, ask, last, CAST(volume AS DOUBLE) AS volume,
+             CAST(open_interest AS DOUBLE) AS open_interest, iv, provider FROM chain WHERE dte <= 60""")
     add("S10_P5_nested_chain", "chain", """
       SELECT symbol, expiry, option_type, CAST(floor(strike * 1000 + 0.5) AS BIGINT) / CAST(1000 AS DOUBLE) AS strike, count(*) AS n,
              CAST(sum(open_interest) AS BIGINT) AS oi, CAST(sum(volume) AS BIGINT) AS volume
@@ -135,6 +146,9 @@ def oracle_sql() -> dict[str, str]:
       SELECT 'S' || conv_id AS symbol, 'news' AS kind,
              title || CASE WHEN publisher IS NULL THEN '' ELSE ' (' || publisher || ')' END AS body
       FROM t WHERE NOT (turn % 4 = 1 AND conv_id % 7 = 0)"""
+    add("S11_social_messages", "feed", """
+      SELECT symbol, kind, row_number() OVER (PARTITION BY symbol ORDER BY rank, body) - 1 AS rank, md5(body) AS body
+      FROM feed WHERE kind = 'social'""")
     add("S12_csv_export", "cli", f"""
       SELECT symbol AS ticker, contract_symbol, option_type, expiry, dte, {six('strike', 'spot', 'spread_pct', 'iv', 'delta', 'theta')},
              round(bid, 10) AS bid, round(ask, 10) AS ask, round(mid, 10) AS mid,
@@ -142,6 +156,14 @@ def oracle_sql() -> dict[str, str]:
     add("S13_S14_F9_snapshots", "gate", """
       SELECT symbol, 'snapshot' AS origin, FALSE AS fresh_on_monday FROM gate WHERE last_close >= 2 AND avg_volume >= 30000""")
 
+    add("S14_universe_branches", "gate bars", """
+      WITH q AS (SELECT symbol FROM gate WHERE last_close >= 2 AND avg_volume >= 30000)
+      SELECT symbol, 'snapshot' AS origin FROM q UNION ALL SELECT symbol, 'stale' FROM q
+      UNION ALL SELECT DISTINCT symbol, 'rebuilt' FROM bars""")
+    add("T7_scan_list", "gate bars", """
+      SELECT symbol, 'before' AS "pass", FALSE AS is_full FROM gate WHERE last_close >= 2 AND avg_volume >= 30000
+      UNION ALL SELECT DISTINCT symbol, 'after', TRUE FROM bars""")
+
     add("W1_bollinger", "ind", f"SELECT symbol, {DAY}, {six('bb_lower', 'bb_mid', 'bb_upper')} FROM ind")
     add("W2_gain_loss", "rsi", f"""
       SELECT symbol, {DAY}, delta + 0.0 AS delta, CASE WHEN delta IS NOT NULL THEN greatest(delta, 0) + 0.0 END AS gain,
@@ -330,6 +352,9 @@ def oracle_sql() -> dict[str, str]:
     add("Q2_check_symbol", "scored best", """
       SELECT s.symbol, s.price, s.score, s.signature, s.liquid, b.contract_symbol, b.premium
       FROM scored s LEFT JOIN best b ON b.symbol = s.symbol WHERE s.symbol = 'S7'""")
+    add("Q2_W11_symbol_chart", "ind support", f"""
+      SELECT i.symbol, {DAY}, close, CAST(30 AS DOUBLE) AS rsi_ref, {six('bb_lower', 'rsi')}, {ten('support_level')}
+      FROM ind i LEFT JOIN support s ON s.symbol = i.symbol WHERE i.symbol = 'S7' AND pos >= n_bars - 80 AND n_bars >= 25""")
     add("Q4_J9_bottom_rebounds", "top_rebounds bottom", """
       SELECT t.symbol, t.price, t.episodes, t.rebounds, round(t.score, 6) AS score, b.contract_symbol, b.rank, b.premium, b.moneyness
       FROM top_rebounds t JOIN bottom b ON b.symbol = t.symbol""")
@@ -350,6 +375,10 @@ def oracle_sql() -> dict[str, str]:
     add("T2_T3_alert_stream", "sent best", f"""
       SELECT symbol, {DAY}, alert_id, signature FROM sent WHERE symbol IN (SELECT symbol FROM best)""")
     add("T1_T6_scan_stream", "signals1", "SELECT symbol, CAST(bar_ts AS DATE) AS day, price, score, signature FROM signals1")
+    add("T4_hot_lane", "signals1", """
+      SELECT symbol, CAST(bar_ts AS DATE) AS day, score, signature, TRUE AS is_hot FROM signals1 WHERE symbol IN (
+        SELECT symbol FROM signals1 WHERE symbol IN (SELECT concat('S', s_suppkey) FROM supplier WHERE s_nationkey % 2 = 0)
+        ORDER BY symbol LIMIT 300)""")
     add("T5_horizon_stream", "settled_last", f"""
       SELECT alert_id, horizon_h, status, attempts, {six('alpha')} FROM settled_last WHERE status <> 'pending'""")
     return out

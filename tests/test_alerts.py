@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators import alerts as A
 from ebbtide.operators import performance as P
+from ebbtide.operators.series import CHUNK, add_parts
 from ebbtide.params import PerformanceParams, ScanParams, SeriesParams, SessionParams
 from ebbtide.schemas import ALERT_EVENTS
 from ebbtide.streaming.alerts import MEMORY, alert_stream, keyed_alert_stream, memory_step
 from ebbtide.streaming.horizon import horizon_stream
-from ebbtide.streaming.scan import HISTORY, hot_lane_stream, scan_step, scan_stream
+from ebbtide.streaming.scan import HISTORY, HOT, hot_lane_stream, in_session, scan_step, scan_stream
+from ebbtide.streaming.steps import read_newest, write_version
 from ebbtide.streaming.ticks import bar_stream, to_bars
 
 from .helpers import BARS, bars, daily, walk
@@ -107,9 +109,37 @@ def test_scan_step_is_gated_and_hot_lane_looks_at_hot_symbols_only(spark, tmp_pa
     newest.coalesce(1).write.parquet(source)
     stream = spark.readStream.schema(HISTORY).parquet(source)
     only = spark.createDataFrame([("B",)], "symbol string")
-    hot_lane_stream(stream, history, only, str(tmp_path / "out"), str(tmp_path / "ckpt"), anytime, params, every=None).awaitTermination()
+    everyone = spark.createDataFrame([("A",), ("B",)], "symbol string")
+    past, hot_list = str(tmp_path / "past"), str(tmp_path / "hot")
+    write_version(history, past, 0)
+    write_version(everyone, hot_list, 0)
+    write_version(only, hot_list, 1)
+    hot_lane_stream(stream, past, hot_list, str(tmp_path / "out"), str(tmp_path / "ckpt"), anytime, params, every=None).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r["symbol"], r.is_hot) for r in rows] == [("B", True)]
+    write_version(only.limit(0), hot_list, 2)
+    assert read_newest(spark, hot_list, HOT).isEmpty() and read_newest(spark, str(tmp_path / "none"), HOT).isEmpty()
+
+
+def test_gate_looks_at_scan_time_and_at_dates_of_daily_bars(spark):
+    day = lambda d: spark.sql(f"select timestamp'{d}' as ts")
+    monday, saturday = day("2024-03-04"), day("2024-03-02")
+    is_open = lambda df, session, at=None: df.select(in_session(F.col("ts"), session, at)).first()[0]
+    dates = SessionParams(daily_bars=True)
+    assert is_open(monday, dates) and not is_open(saturday, dates)
+    assert is_open(saturday, SessionParams(), "2024-03-04 15:00:00")
+    assert not is_open(monday, SessionParams(), "2024-03-02 15:00:00")
+
+
+def test_small_parts_and_dense_keys_change_nothing(spark):
+    rng = np.random.default_rng(8)
+    n = 400
+    events = spark.createDataFrame(pd.DataFrame({"symbol": "HOT", "ts": pd.Timestamp("2024-03-01") + pd.to_timedelta(rng.integers(0, 9 * 86400, n), unit="s"),
+                                                 "alert_id": np.arange(n), "signature": rng.choice(["a", "b"], n, p=[0.97, 0.03])}))
+    key = lambda df: sorted(tuple(r) for r in df.select("symbol", "ts", "alert_id", "signature", "changed").collect())
+    assert key(A.alert_memory(events, part_rows=20)) == key(A.alert_memory(events))
+    sizes = [r["count"] for r in add_parts(events, rows=20).groupBy(CHUNK).count().collect()]
+    assert len(sizes) > 10 and sum(sizes) == n
 
 
 def test_bar_stream_over_several_files(spark, tmp_path):

@@ -115,7 +115,7 @@ def test_asof_and_recent_against_pandas(spark):
     rows = pd.DataFrame({"symbol": rng.choice(["HOT", "B", "NONE"], 300), "id": np.arange(300),
                          "at": pd.Timestamp("2023-12-25") + pd.to_timedelta(rng.integers(0, 4500, 300), unit="h")})
     r, f = spark.createDataFrame(rows), spark.createDataFrame(facts)
-    for days, got in ((None, asof(r, f, "value", "v", "at", days=20)), (5, recent(r, f, "value", "v", "at", 5))):
+    for days, got in ((None, asof(r, f, "value", "v", "at", part_rows=7)), (5, recent(r, f, "value", "v", "at", 5))):
         want = {}
         for row in rows.itertuples():
             past = facts[(facts.symbol == row.symbol) & (facts.ts <= row.at)]
