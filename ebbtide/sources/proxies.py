@@ -98,7 +98,8 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contracts(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(tune(spark), folder, "contracts", lambda: chain(spark, folder))
+    """Stored by contract, so that readers find it spread however its source files were."""
+    return stored(tune(spark), folder, "contracts", lambda: chain(spark, folder).repartition("contract_symbol"))
 
 
 def ticks(spark: SparkSession, folder: str) -> DataFrame:
