@@ -20,7 +20,7 @@ def horizon_stream(bars: DataFrame, checks: DataFrame, history: str, out: str, p
     Closed checks go to `out`, one version per batch; `checks` is where pending
     ones start from.
     """
-    columns = checks.columns
+    columns, judged_at = checks.columns, f"{pending.rstrip('/')}-judged"
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -28,7 +28,9 @@ def horizon_stream(bars: DataFrame, checks: DataFrame, history: str, out: str, p
         known = newest_delivery(read_upto(spark, history, number, HISTORY), "batch")
         open_ = checks if number == 0 else read_before(spark, pending, number, checks.schema)
         now = known.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
-        judged = settle(open_, known, now, params)
+        # Written once; both results are read from it.
+        write_version(settle(open_, known, now, params), judged_at, number)
+        judged = spark.read.parquet(f"{judged_at}/batch={number}")
         write_version(judged.where("status <> 'pending'"), out, number)
         write_version(judged.where("status = 'pending'").select(*columns), pending, number)
 

@@ -19,6 +19,7 @@ from .steps import read_before, read_newest, read_upto, run_batches, write_versi
 
 HOT = StructType().add("symbol", StringType())
 HISTORY = StructType([f for f in BARS.fields if f.name != "interval"])
+ROWS = ("symbol", "bar_ts", "price", "score", "signature", "matched", "reasons")
 JUST_CAME = 2**31 - 1  # delivery number of bars that no stored version holds
 
 
@@ -44,17 +45,24 @@ def scan_step(history: DataFrame, batch: DataFrame, session: SessionParams = Ses
     `at` is the time of the scan; without it the bars' own times are looked at. A
     bar that the history holds in several versions (`batch`) counts as in the newest.
     """
+    scored, touched = score_step(history, batch, session, scan, series, only, at)
+    return with_best(signals.signals(scored, scan), best), signals.hot_symbols(scored, scan), touched
+
+
+def with_best(found: DataFrame, best: DataFrame | None) -> DataFrame:
+    return found if best is None else alerts.with_contract(found, best)
+
+
+def score_step(history: DataFrame, batch: DataFrame, session: SessionParams, scan: ScanParams, series: SeriesParams,
+               only: DataFrame | None = None, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scores, symbols looked at), from which signals and hot list follow."""
     open_ = batch.where(in_session(F.col("ts"), session, at))
     touched = open_.select("symbol").distinct()
     if only is not None:
         touched = touched.join(only.select("symbol").distinct(), "symbol", "left_semi")
     versioned = history if "batch" in history.columns else history.withColumn("batch", F.lit(0))
     mine = newest_delivery(restrict(versioned, touched), "batch")
-    scored = signals.scan(mine, scan, series)
-    found = signals.signals(scored, scan)
-    if best is not None:
-        found = alerts.with_contract(found, best)
-    return found, signals.hot_symbols(scored, scan), touched
+    return signals.scan(mine, scan, series), touched
 
 
 def scan_stream(bars: DataFrame, history: str, out: str, hot: str, checkpoint: str,
@@ -66,14 +74,19 @@ def scan_stream(bars: DataFrame, history: str, out: str, hot: str, checkpoint: s
     While the market is paused nothing is scored and the hot list stays as it is.
     A live scan passes a `clock`, which tells the time of each scan.
     """
+    scored_at = f"{hot.rstrip('/')}-scored"
+
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         write_version(batch.select(*HISTORY.names), history, number)
         known = read_upto(spark, history, number, HISTORY)
         new = spark.read.schema(HISTORY).parquet(f"{history}/batch={number}")
-        found, hot_now, touched = scan_step(known, new, session, scan, series, best=best, at=clock() if clock else None)
-        rows = found.select("symbol", "bar_ts", "price", "score", "signature", "matched", "reasons")
-        write_version(rows, out, number)
+        scored, touched = score_step(known, new, session, scan, series, at=clock() if clock else None)
+        # Written once; signals and hot list are read from it.
+        write_version(scored.select(*ROWS), scored_at, number)
+        scored = spark.read.parquet(f"{scored_at}/batch={number}")
+        write_version(with_best(signals.signals(scored, scan), best).select(*ROWS), out, number)
+        hot_now = signals.hot_symbols(scored, scan)
         before = read_before(spark, hot, number, HOT).join(touched, "symbol", "left_anti")
         write_version(before.unionByName(hot_now).distinct(), hot, number)
 
@@ -96,7 +109,6 @@ def hot_lane_stream(bars: DataFrame, history: str, hot: str, out: str, checkpoin
         known = read_upto(spark, history, JUST_CAME - 1, HISTORY).unionByName(new)
         only = signals.hot_lane(read_newest(spark, hot, HOT), scan)
         found, _, _ = scan_step(known, batch, session, scan, series, only, best, clock() if clock else None)
-        rows = found.select("symbol", "bar_ts", "price", "score", "signature", "matched", "reasons")
-        write_version(rows.withColumn("is_hot", F.lit(True)), out, number)
+        write_version(found.select(*ROWS).withColumn("is_hot", F.lit(True)), out, number)
 
     return run_batches(bars, step, checkpoint, every)
