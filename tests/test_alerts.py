@@ -205,6 +205,14 @@ def test_horizon_stream_closes_what_the_batch_closes(spark, tmp_path, parts):
     assert key(spark.read.parquet(out)) == key(P.settle(checks, b, "2024-01-24 00:00:00", PERF).where("status <> 'pending'"))
 
 
+def test_alert_keeps_the_price_it_was_sent_with(spark):
+    b = spark.sql("select * from values ('A', timestamp'2024-01-02', 10d), ('SPY', timestamp'2024-01-02', 400d) t(symbol, ts, close)")
+    a = spark.sql("select * from values (1L, 'A', timestamp'2024-01-03', 11d), (2L, 'A', timestamp'2024-01-03', null), "
+                  "(3L, 'NEW', timestamp'2024-01-03', 7d) t(alert_id, symbol, alert_ts, price)")
+    tracked = P.track(a, b, PerformanceParams(benchmark="SPY"))
+    assert sorted((r.alert_id, r.alert_price, r.bench_price) for r in tracked.collect()) == [(1, 11.0, 400.0), (2, 10.0, 400.0), (3, 7.0, 400.0)]
+
+
 def test_subscribers(spark):
     ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "chat_id long")
     approved = spark.createDataFrame([(2, 0), (3, 50), (4, 150), (5, 150)], "chat_id long, expiry long")
