@@ -1,14 +1,14 @@
-"""Repeated passages of several lines, cut at content-defined boundaries.
+"""Repeated passages of several lines, found by windows of two lines.
 
-Every line has a 64-bit hash. A rolling hash over the last few line hashes
-decides after which lines a chunk ends, so boundaries move with the text: lines
-put in before a passage leave its inner boundaries where they were. A chunk of
-two lines or more whose bytes occur elsewhere in the corpus is kept at its first
-place (smallest document, then position) and removed at all others.
+Every two lines that follow each other (blank lines between them included) are a
+candidate, named by a digest. A window whose bytes occur elsewhere in the corpus is
+kept at its first place (smallest document, then position) and removed at all
+others. A run of lines that two places share is the union of its windows, so it
+goes line by line to both of its ends, however unlike its neighbours are.
 
-Chunk digests alone are shuffled over the whole corpus. Only documents with a
-repeated digest get a list of candidates, and only the bytes of candidates are
-then compared with the bytes at the first place, before anything is removed.
+Digests alone are shuffled over the whole corpus. Only documents with a repeated
+digest get a list of candidates, and only the bytes of candidates are then compared
+with the bytes at the first place, before anything is removed.
 """
 
 from __future__ import annotations
@@ -22,38 +22,29 @@ from pyspark.sql import functions as F
 
 from .base import extended, rest_of, row_again, text_key, written
 
-SPAN = 2        # lines in the rolling hash
-DIVISOR = 4     # a boundary after one line in so many, on average
-LEAST_LINES = 2
-
-_BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-
-
-def bounds(hashes: list[int], span: int, divisor: int) -> list[tuple[int, int]]:
-    """(first line, end line) of every chunk; together they cover all lines."""
-    out, start, rolling = [], 0, 0
-    power = pow(_BASE, span, 1 << 64)
-    for i, h in enumerate(hashes):
-        rolling = (rolling * _BASE + h) & _MASK
-        if i >= span:
-            rolling = (rolling - hashes[i - span] * power) & _MASK
-        if i >= span - 1 and (rolling >> 32) % divisor == 0:
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(hashes):
-        out.append((start, len(hashes)))
-    return out
+SPAN = 2        # lines whose hash chooses a candidate
+DIVISOR = 1     # one window in so many is a candidate; only 1 finds every repeated run
+LEAST_LINES = 2  # lines of a window, blank ones not counted
 
 
 def pieces(data: bytes, span: int, divisor: int, least: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(number, first line, lines, bytes) of every chunk long enough to be removed."""
+    """(number, first line, lines, bytes) of every candidate; windows overlap, and blank lines neither begin nor end one."""
     lines = data.split(b"\n")
-    for number, (start, end) in enumerate(bounds([xxhash.xxh3_64_intdigest(x) for x in lines], span, divisor)):
-        if end - start >= least:
-            body = b"\n".join(lines[start:end])
-            if body.strip():
-                yield number, start, end - start, body
+    filled = [i for i, x in enumerate(lines) if x.strip()]
+    for number, (start, last) in enumerate(zip(filled, filled[least - 1:], strict=False)):
+        if divisor == 1 or xxhash.xxh3_64_intdigest(b"\n".join(lines[start:start + span])) % divisor == 0:
+            yield number, start, last + 1 - start, b"\n".join(lines[start:last + 1])
+
+
+def repeated_lines(data: bytes, hits: list[dict], span: int, divisor: int, least: int) -> set[int]:
+    """Lines of the windows that have their first place elsewhere. A window that overlaps its own first place takes none of it."""
+    at = {number: (start, start + count) for number, start, count, _ in pieces(data, span, divisor, least)}
+    first = {h["digest"]: at[h["number"]] for h in hits if h["owner"]}
+    gone: set[int] = set()
+    for h in hits:
+        if not h["owner"]:
+            gone.update(set(range(*at[h["number"]])) - set(range(*first.get(h["digest"], (0, 0)))))
+    return gone
 
 
 def _digests(span: int, divisor: int, least: int):
@@ -72,7 +63,7 @@ def _digests(span: int, divisor: int, least: int):
 
 
 def _bodies(span: int, divisor: int, least: int):
-    """The bytes of listed chunks."""
+    """The bytes of listed windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "key": [], "number": [], "digest": [], "body": []}
@@ -94,18 +85,12 @@ def _removed(span: int, divisor: int, least: int):
             for hits, text in zip(batch.column("hits"), batch.column("text"), strict=True):
                 data, gone = text.as_py(), {h["number"] for h in hits.as_py() or () if not h["owner"]}
                 lines = (data or b"").split(b"\n")
-                removed = 0
-                if gone:
-                    kept: list[bytes] = []
-                    for number, (start, end) in enumerate(bounds([xxhash.xxh3_64_intdigest(x) for x in lines], span, divisor)):
-                        if number in gone:
-                            removed += end - start
-                        else:
-                            kept += lines[start:end]
-                    data = b"\n".join(kept)
+                out = repeated_lines(data, hits.as_py(), span, divisor, least) if gone else ()
+                if out:
+                    data = b"\n".join(x for i, x in enumerate(lines) if i not in out)
                 texts.append(None if data is None else data.decode("utf-8"))
                 n_lines.append(len(lines))
-                n_out.append(removed)
+                n_out.append(len(out))
                 n_chunks.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_out, pa.int64()),
                                               pa.array(n_chunks, pa.int64())], names=["rest", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
@@ -116,11 +101,13 @@ def without_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col
                             least_lines: int = LEAST_LINES) -> DataFrame:
     """Each row of docs as struct `row`, its text replaced by what is left of it, and the counts.
 
-    Columns: row, n_lines, n_removed_lines, n_removed_chunks. A null text stays
-    null and has one line, as an empty one has. Blank chunks are never removed,
-    single lines neither. Ties between equal chunks of one document go to the
-    first. Rows equal in id and text count as one document: both keep or both
-    lose a chunk. Null ids come before all others. Empty tables give no rows.
+    Columns: row, n_lines, n_removed_lines, n_removed_chunks (windows with their
+    first place elsewhere). A null text stays null and has one line, as an empty
+    one has. Single lines are never removed, nor blank ones outside a window. Ties
+    between equal windows of one document go to the first. The first place of a
+    line always stays; where a passage runs on from a repeat into new lines, only
+    the repeat goes. Rows equal in id and text count as one document: both keep or
+    both lose a line. Null ids come before all others. Empty tables give no rows.
     """
     spark, how = docs.sparkSession, (span, divisor, least_lines)
     place = F.struct("doc_id", "key", "number")
@@ -147,7 +134,7 @@ def without_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col
 
 
 def _with_hits(keyed: DataFrame, hits: DataFrame) -> DataFrame:
-    """Each document with the list of its repeated chunks: no longer than the document."""
+    """Each document with the list of its repeated windows: no longer than the document."""
     lists = hits.groupBy(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key")).agg(F.collect_set(F.struct("number", "digest", "owner")).alias("hits"))
     match = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("key") == F.col("hit_key"))
     return keyed.join(lists, match, "left").select("rest", "doc_id", "key", "hits", "text")

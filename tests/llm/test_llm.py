@@ -108,6 +108,45 @@ def test_line_chunks(spark, docs):
     assert line_chunks.without_repeated_chunks(docs.limit(0)).count() == 0
 
 
+def test_line_runs_go_to_their_ends(spark):
+    rng = random.Random(8)
+
+    def line(n=30):
+        return " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    passages = [[line() for _ in range(k)] for k in (2, 2, 3, 4, 7)]
+    source = []
+    for i in range(60):
+        lines = [line() for _ in range(rng.randint(2, 6))]
+        if i % 3 == 0:
+            at = rng.randint(0, len(lines))
+            lines[at:at] = passages[i // 3 % 5]
+        source.append(lines)
+    source += [source[4], source[9], ["same"] * 4, [line(), "alone", ""], ["alone", "", line()], [passages[0][0], "", passages[0][1]]]
+    source[50][1:1] = source[20][-1:] + source[20][:1]  # neighbours in no other document
+    gone = defaultdict(set)
+    runs = 0
+    for a, x in enumerate(source):  # all maximal common runs of two documents, line by line
+        for b in range(a + 1, len(source)):
+            y = source[b]
+            for i in range(len(x)):
+                for j in range(len(y)):
+                    if x[i] and x[i] == y[j] and (i == 0 or j == 0 or x[i - 1] != y[j - 1]):
+                        n = 0
+                        while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                            n += 1
+                        if n >= 2 and sum(map(bool, x[i:i + n])) >= 2:
+                            gone[b].update(range(j, j + n))
+                            runs += len(" ".join(x[i:i + n]).split()) > 50
+    gone[62] = {2, 3}  # of a line four times the first two are the first place
+    frame = spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(source)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in line_chunks.without_repeated_chunks(frame).select("row.*", "n_removed_lines").collect()}
+    assert runs > 30
+    for d, lines in enumerate(source):
+        assert got[d].text == "\n".join(x for i, x in enumerate(lines) if i not in gone[d]) and got[d].n_removed_lines == len(gone[d])
+    left = {x for r in got.values() for x in r.text.split("\n")}
+    assert all(x in left for lines in source for x in lines if x)
+
+
 def test_repeats(spark, docs):
     data = [(d, (t or "").encode()) for d, t in content(docs)]
     counts = Counter(b[i:i + 200] for _, b in data for i in range(len(b) - 199))
