@@ -1,12 +1,15 @@
 """Main text of web pages by consensus paths of each host.
 
-First pass: every page scores its containers by the paragraph text they hold,
-less link text, and gives its vote, one in all, to the tag-class paths of its
-containers in proportion to their scores. Digits in class names are
-generalised, so that `post-17` and `post-18` are one path. Votes are summed up
-per host and path in Spark, partially in each task, and the best paths of a
-host are ranked. Second pass: a page takes the elements at the best path that
-it has; a page that has none of them takes its own best container.
+First pass: every page looks for the container of its article, the deepest one that
+has nearly all paragraph text, less link text; it does not go below an article, nor
+below a container with a headline or paragraph of its own. The page votes for the
+tag-class path of that container. Digits in class names are generalised, so that
+`post-17` and `post-18` are one path; ids are left out. Votes are summed up per host
+and path in Spark, partially in each task, and the best paths of a host are ranked.
+Second pass: a page takes the elements at the best path that it has, or its own
+container if that is around them and has much more; sections are merged into the
+container around, and it is widened to the headline and lead outside of it. A page
+that has none of the paths takes its own container.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ VERBATIM = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div td body".split())
 BOILER = frozenset("nav footer aside form header menu dialog".split()) | RAW
+NEARLY_ALL = 0.9
+WHOLE_PAGE = frozenset(("", "body"))
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CLOSES_P = BLOCKS - {"body", "html"}
@@ -41,10 +47,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "link", "parent", "at")
+    __slots__ = ("tag", "path", "out", "link", "parent", "at", "box", "block")
 
     def __init__(self, tag: str, path: str, out: bool, link: bool, parent, at: int):
         self.tag, self.path, self.out, self.link, self.parent, self.at = tag, path, out, link, parent, at
+        self.box = self if parent is None or tag in CONTAINERS else parent.box      # the container that it is or is in
+        self.block = self if parent is None or tag in BLOCKS else parent.block
 
 
 def parsed(page: str) -> tuple[list[Node], list[tuple[Node, list[str], bool]]]:
@@ -103,18 +111,18 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[Node, list[str], bool]]]:
                 if stack[depth].tag in BLOCKS:
                     break
         parent = stack[-1]
-        names, role = "", ""
+        names, role, classes = "", "", ""
         if found[3] and "=" in found[3]:
             got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(found[3])}
             names, role = got.get("class", "") + " " + got.get("id", ""), got.get("role", "").lower()
-            names = names.strip()
+            names, classes = names.strip(), got.get("class", "")
         if found[3].endswith("/") and tag not in BLOCKS | CONTAINERS | BOILER:
             continue
         left = (tag in BOILER and not (tag == "header" and inside(parent))) or role in ROLES or (
             bool(names) and tag not in ("body", "html", "article", "main") and LEFT_OUT.search(names) is not None)
         path = parent.path
         if tag in BLOCKS and tag not in ("p", "li"):
-            label = re.sub(r"\d+", "#", ".".join(sorted(names.lower().split())))
+            label = re.sub(r"\d+", "#", ".".join(sorted(classes.lower().split())))
             path += "/" + tag + ("." + label if label else "")
         node = Node(tag, path, parent.out or left, parent.link or tag == "a", parent, len(nodes))
         nodes.append(node)
@@ -137,67 +145,118 @@ def clean(pieces: list[str]) -> str:
     return SPACE.sub(" ", html.unescape("".join(pieces))).strip()
 
 
-def container(node: Node | None) -> Node | None:
-    while node is not None and node.tag not in CONTAINERS:
-        node = node.parent
-    return node
+class Page:
+    """What the containers of a page hold, by their numbers."""
+
+    def __init__(self, page: str):
+        self.nodes, blocks = parsed(page)
+        self.blocks = [(holder, text, linked) for holder, pieces, linked in blocks if (text := clean(pieces))]
+        self.own = [0.0] * len(self.nodes)
+        self.prose = [False] * len(self.nodes)
+        for holder, text, linked in self.blocks:
+            at = holder.box.at
+            self.own[at] += (-0.5 if linked else 1.0) * len(text)
+            self.prose[at] |= not linked and holder.block.tag in PROSE
+        self.total = [max(0.0, x) for x in self.own]
+        self.inner: dict[int, list[Node]] = {}
+        for node in reversed(self.nodes[1:]):
+            if node.box is node:
+                around = node.parent.box.at
+                self.total[around] += self.total[node.at]
+                self.inner.setdefault(around, []).append(node)
+
+    def within(self, roots: list[Node]) -> list[bool]:
+        """Of each element, whether it is in one of the roots."""
+        chosen, out = {n.at for n in roots}, []
+        for node in self.nodes:
+            out.append(node.at in chosen or (node.parent is not None and out[node.parent.at]))
+        return out
+
+    def at_path(self, path: str) -> list[Node]:
+        """The outermost containers at a path that hold text."""
+        same = [n for n in self.nodes if n.box is n and n.path == path]
+        if not same:
+            return []
+        inside_ = self.within(same)
+        full = set()
+        for holder, _, _ in self.blocks:
+            node, top = holder if inside_[holder.at] else None, None
+            while node is not None and inside_[node.at]:
+                node, top = node.parent, node
+            if top is not None:
+                full.add(top.at)
+        return [n for n in same if n.at in full]
+
+    def article(self) -> list[Node]:
+        """The page's own choice: elements of one path, most often one; none if it has no text but links."""
+        if not self.total[0]:
+            return []
+        for tag in ("article", "main"):
+            groups: dict[str, float] = {}
+            outer = self.within([n for n in self.nodes if n.tag == tag])
+            for n in self.nodes:
+                if n.tag == tag and not outer[n.parent.at]:
+                    groups[n.path] = groups.get(n.path, 0.0) + self.total[n.at]
+            if groups:
+                best = max(groups, key=lambda k: (groups[k], k))
+                if groups[best] >= 0.5 * self.total[0]:
+                    return self.at_path(best)
+        node = self.nodes[0]
+        while True:
+            own = max(0.0, self.own[node.at])
+            if self.prose[node.at] and (node.tag not in WHOLE_PAGE or own > 0.5 * self.total[node.at]):
+                return [node]
+            inner = max(self.inner.get(node.at, ()), key=lambda n: (self.total[n.at], -n.at), default=None)
+            # Paragraphs of the body itself are added to any choice.
+            rest = self.total[node.at] - (own if node.tag in WHOLE_PAGE else 0.0)
+            if inner is None or not self.total[inner.at] or self.total[inner.at] < NEARLY_ALL * rest:
+                return [node]
+            if (node.tag not in WHOLE_PAGE or inner.tag == "section") and any(self.like(n, inner) and self.total[n.at] for n in self.inner[node.at] if n is not inner):
+                return [node]
+            node = inner
+
+    @staticmethod
+    def like(a: Node, b: Node) -> bool:
+        """Parts of one text, as far as their tags say."""
+        return a.path == b.path or a.tag == b.tag == "section"
+
+    def widened(self, chosen: list[Node]) -> list[Node]:
+        """Siblings merged into their container if they are nearly all of it; then the outermost container with a headline or lead of its own."""
+        size, semantic = sum(self.total[n.at] for n in chosen), chosen[0].tag in ("article", "main")
+        around, single = chosen[0].parent, len(chosen) == 1
+        while around is not None and around.box.tag not in WHOLE_PAGE:
+            box = around.box
+            if single or all(self.within([box])[n.at] for n in chosen):
+                if self.prose[box.at] or (not single and size >= NEARLY_ALL * self.total[box.at]) or (box.tag in ("article", "main") and not semantic):
+                    chosen, single, semantic = [box], True, semantic or box.tag in ("article", "main")
+            around = box.parent
+        return chosen
 
 
-def scores(blocks: list[tuple[Node, list[str], bool]]) -> dict[int, tuple[Node, float]]:
-    """Containers by what their own blocks say; half as much to the container around."""
-    found: dict[int, tuple[Node, float]] = {}
-    for holder, pieces, linked in blocks:
-        size = len(clean(pieces))
-        inner = container(holder)
-        weight = (-0.5 if linked else 1.0) * size
-        for factor in (1.0, 0.5):
-            if inner is None:
-                break
-            bonus = 1.5 if inner.tag in ("article", "main") else 0.5 if inner.tag == "body" else 1.0
-            found[inner.at] = (inner, found.get(inner.at, (inner, 0.0))[1] + weight * factor * bonus)
-            inner = container(inner.parent)
-    return {k: v for k, v in found.items() if v[1] > 0}
+def clean(pieces: list[str]) -> str:
+    return SPACE.sub(" ", html.unescape("".join(pieces))).strip()
 
 
 def votes(page: str) -> dict[str, float]:
-    """The page's one vote, shared by its paths."""
-    by_path: dict[str, float] = {}
-    for node, score in scores(parsed(page)[1]).values():
-        by_path[node.path] = by_path.get(node.path, 0.0) + score
-    total = sum(by_path.values())
-    return {k: v / total for k, v in by_path.items()}
+    """The page's one vote; half of one for the whole body."""
+    chosen = Page(page).article()
+    return {chosen[0].path: 0.5 if chosen[0].tag in WHOLE_PAGE else 1.0} if chosen else {}
 
 
 def main_text(page: str, paths: list[str]) -> str:
-    _, blocks = parsed(page)
-    above: dict[int, dict] = {}
-
-    def at_path(node: Node, path: str) -> bool:
-        known = above.setdefault(0, {}) if path is None else above.setdefault(hash(path), {})
-        trail = []
-        answer = False
-        while node is not None:
-            if node.at in known:
-                answer = known[node.at]
-                break
-            trail.append(node.at)
-            if node.path == path and node.tag in CONTAINERS:
-                answer = True
-                break
-            node = node.parent
-        for k in trail:
-            known[k] = answer
-        return answer
-
-    for path in paths:
-        texts = [clean(pieces) for holder, pieces, _ in blocks if at_path(holder, path)]
-        if any(texts):
-            return "\n\n".join(t for t in texts if t)
-    own = scores(blocks)
-    if not own:
+    seen = Page(page)
+    own = seen.article()
+    chosen = next(filter(None, map(seen.at_path, paths)), own)
+    if not chosen:
         return ""
-    best = max(own.values(), key=lambda x: (x[1], -x[0].at))[0]
-    return "\n\n".join(t for t in (clean(pieces) for holder, pieces, _ in blocks if at_path(holder, best.path)) if t)
+    if len(own) == 1 and own[0].tag not in WHOLE_PAGE:
+        inside_own = seen.within(own)
+        if all(inside_own[n.at] for n in chosen) and sum(seen.total[n.at] for n in chosen) < NEARLY_ALL * seen.total[own[0].at]:
+            chosen = own
+    region = seen.within(seen.widened(chosen))
+    headed = any(region[holder.at] and holder.block.tag == "h1" for holder, _, _ in seen.blocks)
+    return "\n\n".join(text for holder, text, linked in seen.blocks
+                       if region[holder.at] or (not linked and (holder.box.tag in WHOLE_PAGE and holder.block.tag in PROSE or not headed and holder.block.tag == "h1")))
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -195,6 +195,38 @@ def test_main_texts(spark):
     assert got[9] == got[10] == "" and html_text.main_texts(pages.limit(0)).count() == 0
 
 
+NESTED = [
+    ("headline and lead", "<nav><a href='/'>Home</a></nav><article><h1>T</h1><p>lead</p><div class=body>" + "<p>Body text of it.</p>" * 40 + "</div></article>",
+     ["T", "lead", *["Body text of it."] * 40]),
+    ("plain containers", "<div class=page><div class=post><h1>T</h1><div class=wrap><div class=body>" + "<p>Body text of it.</p>" * 40 + "</div></div></div>"
+     "<div class=more><a href=1>Other one</a> <a href=2>Other two</a></div></div>", ["T", *["Body text of it."] * 40]),
+    ("sections", "<div class=content><section id=intro><p>Short intro.</p></section><section id=methods>" + "<p>Methods used.</p>" * 30 + "</section></div>",
+     ["Short intro.", *["Methods used."] * 30]),
+    ("sections of two classes", "<div class=content><div class=wrap><section class=a><p>Short intro.</p></section></div><div class=wrap><div class=in><section class=b>"
+     + "<p>Methods used.</p>" * 30 + "</section></div></div><div class=wrap><section class=c>" + "<p>Results seen.</p>" * 9 + "</section></div></div>",
+     ["Short intro.", *["Methods used."] * 30, *["Results seen."] * 9]),
+    ("headline in body", "<h1>T</h1><p>lead</p><div class=body>" + "<div class=in><p>Body text of it.</p></div>" * 9 + "</div>", ["T", "lead", *["Body text of it."] * 9]),
+    ("headline in a container", "<div class=head><h1>T</h1></div><div class=body><p>Body text of it.</p></div>", ["T", "Body text of it."]),
+    ("headline in main", "<main><h1>T</h1><article><p>Body text of it.</p></article></main>", ["T", "Body text of it."]),
+    ("no container", "<h1>T</h1><p>Body text of it.</p>", ["T", "Body text of it."])]
+
+
+@pytest.mark.parametrize("name,body,want", NESTED, ids=[x[0] for x in NESTED])
+def test_main_text_is_whole(name, body, want):
+    page = f"<html><body>{body}</body></html>"
+    alone, voted = html_text.main_text(page, []), html_text.main_text(page, list(html_text.votes(page)))
+    assert alone.split("\n\n") == voted.split("\n\n") == want
+    assert html_text.main_text(page.replace("Body text of it.", "Other words."), list(html_text.votes(page))).split("\n\n")[0] == want[0]
+
+
+def test_main_text_takes_more_than_the_hosts_container():
+    page = "<body><div class=post><div class=body>" + "<p>Body text.</p>" * 20 + "</div>{}</div><div class=rail><p>Rail.</p></div></body>"
+    usual, long = page.format(""), page.format("<div class=appendix>" + "<p>Appendix text.</p>" * 20 + "</div>")
+    paths = list(html_text.votes(usual))
+    assert html_text.main_text(usual, paths).split("\n\n") == ["Body text."] * 20
+    assert html_text.main_text(long, paths).split("\n\n") == ["Body text."] * 20 + ["Appendix text."] * 20
+
+
 def test_mixing(spark, docs):
     many = spark.range(3000).selectExpr("id as doc_id", "case when id % 10 < 6 then 'a' when id % 10 < 9 then 'b' else 'c' end as source")
     weights = spark.createDataFrame([("a", 7), ("b", 2), ("c", 1)], "source string, parts bigint")
