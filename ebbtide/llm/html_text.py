@@ -28,31 +28,42 @@ KEPT_PATHS = 5  # paths of a host that the second pass tries in turn
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<[!?][^>]*+>?""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-RAW = frozenset("script style noscript template textarea title svg iframe object canvas math select option button".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select option button annotation annotation-xml".split())
 VERBATIM = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div td body".split())
-BOILER = frozenset("nav footer aside form header menu dialog".split()) | RAW
+BOILER = frozenset("nav form menu dialog".split()) | RAW
+UNSURE = frozenset("aside footer header".split())      # left out, but inside the article only if low in text or mostly links
 NEARLY_ALL = 0.9
 WHOLE_PAGE = frozenset(("", "body"))
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CLOSES_P = BLOCKS - {"body", "html"}
-LEFT_OUT = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|
-cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|comments?|
-disqus|replies|reactions|search|toolbar|pagination|pager)(?:$|[\s_-])""".replace("\n", ""), re.I)
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
+#: Whole class or id names, perhaps numbered, of parts of a page that are not its article; of tags that group other elements.
+LEFT_OUT = frozenset("""ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promoted banner nav navbar
+navigation menu breadcrumb breadcrumbs sidebar side footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share
+sharing social related recommended widget widgets comment comments disqus replies reactions search toolbar pagination pager ad-container ad-slot ad-banner ad-box
+ad-wrapper main-nav site-nav top-nav main-menu nav-menu nav-bar site-header page-header site-footer page-footer left-sidebar right-sidebar sidebar-left sidebar-right
+cookie-banner cookie-notice cookie-consent consent-banner newsletter-signup share-buttons social-share social-links related-posts related-articles
+comment-list comment-section comments-area promo-box search-form search-box""".split())
+NUMBER = re.compile(r"[-_]?\d+$")
+NAMED = frozenset("div section aside ul ol dl table tbody tr td header footer center fieldset details figure".split())
+LOW_TEXT = 140          # characters that a part inside the article has at least, with links in less than half of its text
+ROLES = frozenset("search dialog form menu navigation".split())
+UNSURE_ROLES = frozenset("banner contentinfo complementary alert".split())
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "link", "parent", "at", "box", "block")
+    __slots__ = ("tag", "path", "out", "link", "parent", "at", "box", "block", "unsure", "mark")
 
     def __init__(self, tag: str, path: str, out: bool, link: bool, parent, at: int):
         self.tag, self.path, self.out, self.link, self.parent, self.at = tag, path, out, link, parent, at
         self.box = self if parent is None or tag in CONTAINERS else parent.box      # the container that it is or is in
         self.block = self if parent is None or tag in BLOCKS else parent.block
+        self.unsure = parent.unsure if parent else None     # the outermost element around that is left out if it is not article text
+        self.mark = 0       # 1 if its id, 2 if its tag, role or class says so
 
 
 def parsed(page: str) -> tuple[list[Node], list[tuple[Node, list[str], bool]]]:
@@ -111,20 +122,22 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[Node, list[str], bool]]]:
                 if stack[depth].tag in BLOCKS:
                     break
         parent = stack[-1]
-        names, role, classes = "", "", ""
+        role, classes, ids = "", "", ""
         if found[3] and "=" in found[3]:
             got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(found[3])}
-            names, role = got.get("class", "") + " " + got.get("id", ""), got.get("role", "").lower()
-            names, classes = names.strip(), got.get("class", "")
+            classes, ids, role = got.get("class", ""), got.get("id", ""), got.get("role", "").lower()
         if found[3].endswith("/") and tag not in BLOCKS | CONTAINERS | BOILER:
             continue
-        left = (tag in BOILER and not (tag == "header" and inside(parent))) or role in ROLES or (
-            bool(names) and tag not in ("body", "html", "article", "main") and LEFT_OUT.search(names) is not None)
+        left = tag in BOILER or role in ROLES
+        by_class = (tag in UNSURE and not (tag == "header" and inside(parent))) or role in UNSURE_ROLES or (tag in NAMED and named(classes))
         path = parent.path
         if tag in BLOCKS and tag not in ("p", "li"):
             label = re.sub(r"\d+", "#", ".".join(sorted(classes.lower().split())))
             path += "/" + tag + ("." + label if label else "")
         node = Node(tag, path, parent.out or left, parent.link or tag == "a", parent, len(nodes))
+        node.mark = 2 if by_class else 1 if tag in NAMED and named(ids) else 0
+        if node.unsure is None and node.mark:
+            node.unsure = node
         nodes.append(node)
         if tag in VERBATIM:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -133,6 +146,10 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[Node, list[str], bool]]]:
         stack.append(node)
 
 
+def named(names: str) -> bool:
+    return any(NUMBER.sub("", x) in LEFT_OUT for x in names.lower().split())
+
+
 def inside(node: Node | None) -> bool:
     while node is not None:
         if node.tag in ("article", "main"):
@@ -150,7 +167,17 @@ class Page:
 
     def __init__(self, page: str):
         self.nodes, blocks = parsed(page)
-        self.blocks = [(holder, text, linked) for holder, pieces, linked in blocks if (text := clean(pieces))]
+        texts = [n for n in self.nodes if n.tag in ("article", "main") and not inside(n.parent)]
+        if len(texts) == 1 and texts[0].unsure is not None:     # a telling name around the only article does not count
+            for node, within in zip(self.nodes, self.within(texts), strict=True):
+                if within:
+                    node.unsure = None if node is texts[0] else node.parent.unsure or (node if node.mark else None)
+        everything = [(holder, text, linked) for holder, pieces, linked in blocks if (text := clean(pieces))]
+        self.blocks = [b for b in everything if b[0].unsure is None]
+        self.unsure = len(self.blocks) < len(everything)
+        if not any(not linked for _, _, linked in self.blocks):     # nothing else: then it is the article
+            self.blocks, self.unsure = everything, False
+        self.everything = everything
         self.own = [0.0] * len(self.nodes)
         self.prose = [False] * len(self.nodes)
         for holder, text, linked in self.blocks:
@@ -165,6 +192,24 @@ class Page:
                 self.total[around] += self.total[node.at]
                 self.inner.setdefault(around, []).append(node)
 
+    def shown(self, region: list[bool]) -> list[tuple[Node, str, bool]]:
+        """All blocks, with those of unsure parts inside the article that have text of their own."""
+        if not self.unsure:
+            return self.blocks
+        text: dict[int, int] = {}
+        links: dict[int, int] = {}
+        for holder, words, linked in self.everything:
+            if holder.unsure is not None:
+                (links if linked else text).setdefault(holder.unsure.at, 0)
+                (links if linked else text)[holder.unsure.at] += len(words)
+
+        def kept(part: Node | None) -> bool:
+            if part is None:
+                return True
+            own = text.get(part.at, 0)
+            return region[part.parent.at] and (part.mark == 1 or own >= LOW_TEXT and own > links.get(part.at, 0))
+        return [b for b in self.everything if kept(b[0].unsure)]
+
     def within(self, roots: list[Node]) -> list[bool]:
         """Of each element, whether it is in one of the roots."""
         chosen, out = {n.at for n in roots}, []
@@ -253,9 +298,11 @@ def main_text(page: str, paths: list[str]) -> str:
         inside_own = seen.within(own)
         if all(inside_own[n.at] for n in chosen) and sum(seen.total[n.at] for n in chosen) < NEARLY_ALL * seen.total[own[0].at]:
             chosen = own
-    region = seen.within(seen.widened(chosen))
-    headed = any(region[holder.at] and holder.block.tag == "h1" for holder, _, _ in seen.blocks)
-    return "\n\n".join(text for holder, text, linked in seen.blocks
+    roots = seen.widened(chosen)
+    region = seen.within(roots)
+    shown = seen.shown(region if roots[0].tag not in WHOLE_PAGE else [False] * len(region))
+    headed = any(region[holder.at] and holder.block.tag == "h1" for holder, _, _ in shown)
+    return "\n\n".join(text for holder, text, linked in shown
                        if region[holder.at] or (not linked and (holder.box.tag in WHOLE_PAGE and holder.block.tag in PROSE or not headed and holder.block.tag == "h1")))
 
 
@@ -296,7 +343,9 @@ def main_texts(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
 
     Null or empty pages give an empty text; pages without a host vote together
     under the empty name; repeated pages each vote and each get their row. An
-    empty table gives no rows. Only text of left-out parts is dropped.
+    empty table gives no rows. Left-out parts are scripts, forms, navigation and parts of
+    a telling class or id outside the article; inside it a part goes only if it is
+    low in text or mostly links.
     """
     paths = written(pages.sparkSession, consensus_paths(pages, url_col, html_col), "host-paths")
     rows = pages.select(F.struct("*").alias("row"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))

@@ -227,6 +227,29 @@ def test_main_text_takes_more_than_the_hosts_container():
     assert html_text.main_text(long, paths).split("\n\n") == ["Body text."] * 20 + ["Appendix text."] * 20
 
 
+LONG = "Words that belong to the text of the article and to nothing else. " * 4
+PARTS = [  # inside the article: kept?
+    ("<h2 id='side-effects'>Side effects</h2>", True), ("<h2 id='search-methods'>Methods</h2>", True), ("<p class='notice-period'>Notice</p>", True),
+    ("<h2 class='related'>Related</h2>", True), ("<h2 id='navier-stokes'>Flow</h2>", True), ("<div id='promotion-rules'>Rules</div>", True),
+    (f"<section id='related-work'><p>{LONG}</p></section>", True), ("<section id='comments'><p>Few</p></section>", True), ("<p>so <math><mi>x</mi><mo>=</mo></math></p>", True),
+    ("<object data=x><p>Fallback</p></object>", True), ("<canvas>Fallback</canvas>", True), (f"<aside><p>{LONG}</p></aside>", True), ("<aside>Read on</aside>", False),
+    (f"<div class='notice'>{LONG}</div>", True), ("<div class='related'><a href=1>" + LONG + "</a></div>", False), ("<div class='share'>Share</div>", False),
+    ("<div class='ad-12'>Buy</div>", False), ("<nav>Parts</nav>", False), ("<p>is <code><span class='comment'># note</span></code></p>", True)]
+
+
+@pytest.mark.parametrize("part,kept", PARTS)
+def test_parts_inside_the_article(part, kept):
+    said = " ".join(re.sub("<[^>]*>", "", part).split())
+    page = f"<html><body><div class='sidebar'><p>{LONG}</p></div><article><h1>T</h1><p>{'First one. ' * 30}</p>{part}</article></body></html>"
+    assert html_text.main_text(page, list(html_text.votes(page))).split("\n\n") == ["T", ("First one. " * 30).strip(), *[said] * kept]
+
+
+def test_names_around_the_article():
+    for wrap in ("<div class='overlay'>{}</div>", "<div id='search-results'>{}</div>", "<div class='with-sidebar'>{}</div>"):
+        page = "<body><p>Above.</p>" + wrap.format("<article><p>Article.</p><div class='share'>Share</div></article>") + "</body>"
+        assert html_text.main_text(page, []) == "Above.\n\nArticle."
+
+
 def test_mixing(spark, docs):
     many = spark.range(3000).selectExpr("id as doc_id", "case when id % 10 < 6 then 'a' when id % 10 < 9 then 'b' else 'c' end as source")
     weights = spark.createDataFrame([("a", 7), ("b", 2), ("c", 1)], "source string, parts bigint")
