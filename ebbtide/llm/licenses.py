@@ -20,6 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import license_table
 from .base import ascii_lower, text_key, written
 
 N = 5
@@ -27,7 +28,9 @@ CONTAINMENT = 0.8
 MISS = 1e-4
 BROADCAST_ROWS = 50_000  # template bands that are broadcast; more are joined by a shuffle
 
-#: License notices as their publishers word them.
+NEAR_LENGTHS = 1.5  # templates whose lengths differ by less are looked for in the same windows
+
+#: License notices as their publishers word them. The default is these and the rows of `license_table`.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
@@ -76,13 +79,25 @@ def stride(length: int) -> int:
     return max(1, length // 4)
 
 
-def least_similarity(length: int, containment: float) -> float:
+def least_similarity(shortest: int, longest: int, containment: float) -> float:
     """Jaccard of a template with a whole window around it that holds just enough of it."""
-    k = min(N, length)
-    own, window = length - k + 1, length + stride(length) - k
+    k = min(N, shortest)
+    own, window = shortest - k + 1, longest + stride(shortest) - k
     return containment * own / (window + (1 - containment) * own)
 
 
+def by_near_length(items: list[tuple[str, list[str]]]) -> list[list[tuple[str, list[str]]]]:
+    """Templates of about one length together; those below N words only with their equals, which have shingles as long."""
+    out: list[list[tuple[str, list[str]]]] = []
+    for item in sorted(items, key=lambda x: (len(x[1]), x)):
+        first = len(out[-1][0][1]) if out else 0
+        if out and (len(item[1]) == first or N <= first and len(item[1]) <= NEAR_LENGTHS * first):
+            out[-1].append(item)
+        else:
+            out.append([item])
+    return out
+
+
 def shingle_hashes(words: Column, k: int) -> Column:
     """Hash of every k consecutive words."""
     at = F.sequence(F.lit(0), F.size(words) - k)
@@ -95,11 +110,11 @@ def band_keys(grams: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform(grams, lambda g: F.xxhash64(b, g))))
 
 
-def bands_for(length: int, containment: float, miss: float) -> int:
-    return max(2, math.ceil(math.log(miss) / math.log(1 - min(0.999, least_similarity(length, containment)))))
+def bands_for(shortest: int, longest: int, containment: float, miss: float) -> int:
+    return max(2, math.ceil(math.log(miss) / math.log(1 - min(0.999, least_similarity(shortest, longest, containment)))))
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text",
+def license_matches(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text",
                     containment: float = CONTAINMENT, miss: float = MISS) -> DataFrame:
     """doc_id, key and `matches` (template, containment, start, end as word numbers) for every row.
 
@@ -107,20 +122,22 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, *,
     equal ones; a window may hold more than one template. Null, empty and
     unmatched texts have an empty list, as all texts have if there are no
     templates. Templates without words match nothing. Repeated rows are each
-    returned. Other columns are not read.
+    returned. Other columns are not read. A DataFrame of templates has the columns
+    template and text, and may have a template in several wordings.
     """
     spark = docs.sparkSession
-    templates = TEMPLATES if templates is None else templates
-    by_length: dict[int, list[tuple[str, list[str]]]] = {}
-    for name, body in templates.items():
-        if words := plain_words(body):
-            by_length.setdefault(len(words), []).append((name, words))
+    if templates is None:
+        pairs = [*TEMPLATES.items(), *license_table.rows()]
+    else:
+        pairs = list(templates.items()) if isinstance(templates, dict) else [(r.template, r.text) for r in templates.select("template", "text").collect()]
+    known_words = sorted({(name, tuple(words)) for name, body in pairs if (words := plain_words(body or ""))})
+    by_length = by_near_length([(name, list(words)) for name, words in known_words])
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(F.col(text_col)).alias("key"))
     empty = F.array().cast("array<struct<template:string,containment:double,start:int,end:int>>")
     if not by_length:
         return rows.withColumn("matches", empty)
 
-    telling = telling_words([w for group in by_length.values() for _, w in group], containment)
+    telling = telling_words([w for group in by_length for _, w in group], containment)
     text = F.coalesce(F.col(text_col), F.lit(""))
     hint = "(?<![a-zA-Z0-9])(?i:" + "|".join(sorted(map(re.escape, telling))) + ")(?![a-zA-Z0-9])"
     some = docs.where(text.rlike(hint)).select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(F.col(text_col)).alias("key"),
@@ -128,15 +145,18 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, *,
     some = written(spark, some.withColumn("tells", F.transform("words", lambda w: w.isin(telling))), "license-words")
 
     found = None
-    for length, group in sorted(by_length.items()):
-        k, size, step, bands = min(N, length), length + stride(length) - 1, stride(length), bands_for(length, containment, miss)
+    for group in by_length:
+        low, high = len(group[0][1]), len(group[-1][1])
+        k, size, step, bands = min(N, low), high + stride(low) - 1, stride(low), bands_for(low, high, containment, miss)
+        # Fewer shingles than that cannot be enough of any template of the group.
+        least = math.ceil(containment * min(len({tuple(w[i:i + k]) for i in range(len(w) - k + 1)}) for _, w in group) - 1e-9)
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - k), F.lit(step))
-        windows = some.withColumn("grams", shingle_hashes(F.col("words"), k)).select("doc_id", "key", "grams", "tells", F.explode(starts).alias("start"))
+        windows = some.where(F.size("words") - (k - 1) >= least).withColumn("grams", shingle_hashes(F.col("words"), k)).select("doc_id", "key", "grams", "tells", F.explode(starts).alias("start"))
         windows = windows.where(F.exists(F.slice("tells", F.col("start") + 1, size), lambda t: t)).select(
-            "doc_id", "key", "start", F.slice("grams", F.col("start") + 1, size - k + 1).alias("grams")).where(F.size("grams") > 0)
+            "doc_id", "key", "start", F.slice("grams", F.col("start") + 1, size - k + 1).alias("grams")).where(F.size("grams") >= least)
         windows = windows.select("doc_id", "key", "start", "grams", F.posexplode(band_keys(F.col("grams"), bands)).alias("band", "hash"))
-        known = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("template"), F.array(*map(F.lit, w)).alias("words")) for n, w in group))).alias("t"))
-        known = known.select("t.template", shingle_hashes(F.col("t.words"), k).alias("wanted"))
+        known = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("template"), F.lit(" ".join(w)).alias("words")) for n, w in group))).alias("t"))
+        known = known.select("t.template", shingle_hashes(F.split("t.words", " "), k).alias("wanted"))
         known = known.withColumn("wanted", F.array_distinct("wanted"))
         known = known.select("template", "wanted", F.posexplode(band_keys(F.col("wanted"), bands)).alias("band", "hash"))
         if len(group) * bands <= BROADCAST_ROWS:

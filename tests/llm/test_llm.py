@@ -275,6 +275,24 @@ def test_licenses(spark):
     assert licenses.license_matches(rows, {}).count() == 6 and licenses.license_matches(rows.limit(0)).count() == 0
 
 
+def test_license_table(spark):
+    filler = "word " * 50
+    full = (licenses.license_table.FULL_TEXTS / "GPL-2.txt").read_text(encoding="utf-8")
+    want = {"All rights reserved.": "All-rights-reserved", "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0-only-SPDX", "Licensed under the MIT License": "MIT-notice",
+            "This is MIT licensed": "MIT-notice", "under the GNU Lesser General Public License, version 2.1": "LGPL-2.1-notice", "GPLv2": "GPL-2.0-notice",
+            "Mozilla Public License, v. 2.0": "MPL-2.0-notice", "CC BY-SA 4.0": "CC-BY-SA-4.0-notice", "Creative Commons Attribution-NoDerivatives 4.0": "CC-BY-ND-4.0-notice",
+            "This is free software under the Unlicense": "Unlicense-notice", filler + full + filler: "GPL-2-text", "the software license of nobody": None}
+    want |= {text: name for name, text in licenses.license_table.TEXTS}
+    texts = list(want)
+    frame = spark.createDataFrame([(i, "" if len(t) > 9000 else "one two " + t + " three four", t) for i, t in enumerate(texts)], "doc_id bigint, a string, b string")
+    got = {r.doc_id: [m.template for m in r.matches] for r in licenses.license_matches(frame.selectExpr("doc_id", "if(a = '', b, a) as text")).collect()}
+    for i, t in enumerate(texts):
+        assert want[t] in got[i] if want[t] else not got[i], (t[:60], got[i])
+    templates = spark.createDataFrame([("x", "eggs and more ham"), ("x", "ham and eggs"), ("y", None)], "template string, text string")
+    rows = spark.createDataFrame([(1, "Ham and eggs!"), (2, "eggs and more ham"), (3, "eggs")], "doc_id bigint, text string")
+    assert {r.doc_id: [m.template for m in r.matches] for r in licenses.license_matches(rows, templates).collect()} == {1: ["x"], 2: ["x"], 3: []}
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     bad = ["zonk", "grub", "plonker"]
