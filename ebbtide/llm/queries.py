@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import contamination, exact_dedup, html_text, jaccard, licenses, line_chunks, mixing, personal_data, repeats, toxicity
-from .base import table
+from . import contamination, conversation_trie, exact_dedup, html_text, jaccard, licenses, line_chunks, mixing, personal_data, repeats, toxicity
+from .base import table, written
 
 SCORE_FROM = 0.3
 
@@ -78,6 +78,16 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return order.select("row.doc_id", "source", "block", "slot", "released", "due", "place")
 
 
+#: Conversations that share a head, and one more than the most turns of it.
+FAMILY, HEADS = 5, 9
+
+
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = conversation_trie.ordered_turns(table(tune(spark), folder, "conversations"))
+    rebuilt, convs = conversation_trie.spliced(written(spark, turns, "ordered"), FAMILY, HEADS)
+    return conversation_trie.prefix_trie(rebuilt, convs)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(tune(spark), folder)
@@ -85,4 +95,4 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_personal_data, op3_exact_dedup, op4_line_chunks, op5_toxicity, op6_licenses, op7_suffix_dedup,
-                            op8_jaccard_join, op9_html_text, op10_mixing, pipeline)}
+                            op8_jaccard_join, op9_html_text, op10_mixing, op12_conversation_trie, pipeline)}
