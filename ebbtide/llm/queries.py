@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import contamination, conversation_trie, exact_dedup, html_text, jaccard, licenses, line_chunks, mixing, personal_data, repeats, toxicity
+from . import contamination, conversation_trie, exact_dedup, html_text, jaccard, licenses, line_chunks, mixing, personal_data, repeats, token_files, toxicity
 from .base import table, written
 
 SCORE_FROM = 0.3
@@ -88,6 +88,13 @@ def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.prefix_trie(rebuilt, convs)
 
 
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = token_files.write_token_files(table(tune(spark), folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_token_files(manifest)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(tune(spark), folder)
@@ -95,4 +102,4 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_personal_data, op3_exact_dedup, op4_line_chunks, op5_toxicity, op6_licenses, op7_suffix_dedup,
-                            op8_jaccard_join, op9_html_text, op10_mixing, op12_conversation_trie, pipeline)}
+                            op8_jaccard_join, op9_html_text, op10_mixing, op12_conversation_trie, op13_token_files, pipeline)}
