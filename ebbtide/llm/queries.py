@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import contamination, conversation_trie, exact_dedup, html_text, jaccard, licenses, line_chunks, mixing, personal_data, repeats, token_files, toxicity
+from . import contamination, conversation_trie, exact_dedup, html_text, jaccard, licenses, line_chunks, mixing, personal_data, repeats, token_files, toxicity, vector_codes
 from .base import table, written
 
 SCORE_FROM = 0.3
@@ -78,6 +78,14 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return order.select("row.doc_id", "source", "block", "slot", "released", "due", "place")
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(table(tune(spark), folder, "embeddings"))
+    coded = written(spark, coded, "codes")
+    of_label = coded.groupBy("label").agg(F.sum("error").alias("label_error"))
+    joined = coded.alias("c").join(of_label.alias("l"), F.col("c.label").eqNullSafe(F.col("l.label")))
+    return joined.select("vec_id", vector_codes.hex_codes("codes").alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 #: Conversations that share a head, and one more than the most turns of it.
 FAMILY, HEADS = 5, 9
 
@@ -102,4 +110,4 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_personal_data, op3_exact_dedup, op4_line_chunks, op5_toxicity, op6_licenses, op7_suffix_dedup,
-                            op8_jaccard_join, op9_html_text, op10_mixing, op12_conversation_trie, op13_token_files, pipeline)}
+                            op8_jaccard_join, op9_html_text, op10_mixing, op11_vector_codes, op12_conversation_trie, op13_token_files, pipeline)}
