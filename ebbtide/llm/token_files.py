@@ -27,14 +27,17 @@ makes no files. Columns besides id and text are not read.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,23 +49,25 @@ MAGIC = b"EBBPLN01"
 FOOTER = "<6q8s"
 BLOCK_IDS = 1 << 16
 FILE_TEXT_BYTES = 32 << 20
-CACHED_PIECES = 200_000
+CACHED_PIECES = 300_000
 PIECE_CHARS = 64
+PORTION_BYTES = 1 << 20
 LEVEL = 3
 
-#: Before white space that follows one of these, a byte-level tokenizer always starts a new piece.
-CUT = re.compile("(?<=[!-~À-ÖØ-öø-ÿ])(?=[ \t\r\n])")
+#: A byte-level tokenizer always starts a new piece before white space after one of the first characters, and before . , : ; after letters and digits.
+CUT = re.compile("(?=[ \t\r\n.,:;])(?:(?<=[!-~À-ÖØ-öø-ÿ])(?=[ \t\r\n])|(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[.,:;]))")
 
 
 # -- encoding
 
-def encoder(tokenizer_json: str, end_id: int) -> Callable[[list], Iterator[bytes]]:
+def encoder(tokenizer_json: str, end_id: int) -> Callable[[list], list[bytes]]:
     """Function from texts to their ids, each as little-endian unsigned 32-bit integers, with the end id.
 
     Byte-level tokenizers without a normaliser never join what CUT parts, so the
     pieces of a text are encoded by themselves, and recent ones only once. Other
     tokenizers get whole texts.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     spec = json.loads(tokenizer_json)
@@ -72,35 +77,36 @@ def encoder(tokenizer_json: str, end_id: int) -> Callable[[list], Iterator[bytes
     before = spec.get("pre_tokenizer") or {}
     separate = (spec.get("normalizer") is None and spec.get("post_processor") is None and spec["model"]["type"] == "BPE" and before.get("type") == "ByteLevel"
                 and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-                and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", [])))
+                and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or CUT.search(t["content"]) for t in spec.get("added_tokens", [])))
     end = struct.pack("<I", end_id)
 
     def ids_of(texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of many short texts: one array is cut into all of them."""
+        ids = [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+        data, at, out = np.array(list(chain.from_iterable(ids)), dtype="<u4").tobytes(), 0, []
+        for n in map(len, ids):
+            out.append(data[at:at + 4 * n])
+            at += 4 * n
+        return out
 
     young: dict[str, bytes] = {}
     old: dict[str, bytes] = {}
 
-    def encode(texts: list) -> Iterator[bytes]:
+    def encode(texts: list) -> list[bytes]:
         nonlocal young, old
         if not separate:
-            yield from (ids + end for ids in ids_of([t or "" for t in texts]))
-            return
-        for text in texts:
-            pieces = CUT.split(text) if text else []
-            if len(young) > CACHED_PIECES:
-                young, old = {}, young
-            missing = list({p: None for p in pieces if p not in young})
-            if missing:
-                known = {p: old[p] for p in missing if p in old}
-                asked = [p for p in missing if p not in known]
-                known.update(zip(asked, ids_of(asked)))
-                long = {p: v for p, v in known.items() if len(p) > PIECE_CHARS}
-                young.update((p, v) for p, v in known.items() if p not in long)
-                if long:
-                    yield b"".join([long[p] if p in long else young[p] for p in pieces]) + end
-                    continue
-            yield b"".join([young[p] for p in pieces]) + end
+            return [ids + end for ids in ids_of([t or "" for t in texts])]
+        if len(young) > CACHED_PIECES:
+            young, old = {}, young
+        cut = [CUT.split(t) if t else [] for t in texts]
+        missing = set().union(*cut).difference(young)
+        known = {p: old[p] for p in missing if p in old}
+        asked = list(missing.difference(known))
+        known.update(zip(asked, ids_of(asked)))
+        young.update((p, v) for p, v in known.items() if len(p) <= PIECE_CHARS)
+        long = {p: v for p, v in known.items() if len(p) > PIECE_CHARS}
+        find = (lambda p: long[p] if p in long else young[p]) if long else young.__getitem__
+        return [b"".join(map(find, pieces)) + end for pieces in cut]
 
     return encode
 
@@ -216,6 +222,16 @@ class PlaneReader:
             start += n
 
 
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of about PORTION_BYTES bytes; one text may be longer."""
+    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while lo < len(texts):
+        had = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, had + PORTION_BYTES, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def _opened(uri: str):
     from pyarrow.fs import FileSystem
 
@@ -234,7 +250,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_co
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     with open(tokenizer, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())  # a tokenizer's own file: some MB, whatever the corpus
+        spec = spark.sparkContext.broadcast({"json": f.read()})  # a tokenizer's own file: some MB, whatever the corpus
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("place")]
@@ -244,7 +260,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_co
     def write(batches):
         from pyspark import TaskContext
 
-        writer, encode = None, encoder(spec.value, end_id)
+        # A worker keeps broadcast values, and so its tokenizer, from task to task.
+        encode = spec.value.get("encode") or spec.value.setdefault("encode", encoder(spec.value["json"], end_id))
+        writer = None
         for batch in batches:
             if writer is None and batch.num_rows:
                 part = TaskContext.get().partitionId()
@@ -252,9 +270,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_co
                 store, path = _opened(name)
                 store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 writer = PlaneWriter(store.open_output_stream(path), block_ids, kind)
-            texts = (t.as_py() for t in batch.column(1))
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts)):
-                writer.add(doc, ids)
+            for lo, hi in portions(batch.column(1)):
+                some = batch.slice(lo, hi - lo)
+                for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+                    writer.add(doc, ids)
         if writer is not None:
             n_ids, n_docs = writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_ids": [n_ids], "n_docs": [n_docs]})
