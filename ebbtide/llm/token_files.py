@@ -49,7 +49,7 @@ MAGIC = b"EBBPLN01"
 FOOTER = "<6q8s"
 BLOCK_IDS = 1 << 16
 FILE_TEXT_BYTES = 32 << 20
-CACHED_PIECES = 300_000
+CACHED_PIECES = 600_000
 PIECE_CHARS = 64
 PORTION_BYTES = 1 << 20
 LEVEL = 3
