@@ -51,7 +51,11 @@ def lowest_level_in_reach(levels: Column, close: Column, above: float, below: fl
 def tail_frame(bars: DataFrame, params: ScanParams = ScanParams(),
                series: SeriesParams = SeriesParams()) -> DataFrame:
     """The last rows of every symbol with bands, RSI and pivot marks."""
-    tail = S.tail(S.with_positions(bars, series, rsi_period=params.rsi_period), params.tail_bars)
+    return marked_tail(S.tail(S.with_positions(bars, series, rsi_period=params.rsi_period), params.tail_bars), params)
+
+
+def marked_tail(tail: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
+    """Bands and pivot marks for tails that have positions and RSI."""
     w = I.symbol_window()
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -78,7 +82,11 @@ def tail_frame(bars: DataFrame, params: ScanParams = ScanParams(),
 def scan_features(bars: DataFrame, params: ScanParams = ScanParams(),
                   series: SeriesParams = SeriesParams()) -> DataFrame:
     """One row per symbol: everything the filters look at."""
-    frame = tail_frame(bars, params, series)
+    return features_of(tail_frame(bars, params, series), params)
+
+
+def features_of(frame: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
+    """The same from a marked tail."""
     recent = F.col("pos") >= F.col("n_bars") - params.volume_bars
     aggregates = [
         F.max("n_bars").alias("n_bars"),

@@ -126,11 +126,11 @@ def clean_summary(text: Column, params: DigestParams = DigestParams()) -> Column
 
 def chart_table(bars: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
     """The last bars with bands, RSI, the reference line and the support level."""
-    from .patterns import scan_features, tail_frame
+    from .patterns import features_of, tail_frame
 
-    frame = tail_frame(bars, params).where(
-        (F.col("n_bars") >= params.chart_min_bars) & (F.col("pos") >= F.col("n_bars") - params.chart_bars))
-    levels = scan_features(bars, params).select("symbol", "support_level")
+    tail = tail_frame(bars, params)
+    frame = tail.where((F.col("n_bars") >= params.chart_min_bars) & (F.col("pos") >= F.col("n_bars") - params.chart_bars))
+    levels = features_of(tail, params).select("symbol", "support_level")
     return frame.select("symbol", "ts", "open", "high", "low", "close", "bb_lower", "bb_mid", "bb_upper", "rsi",
                         F.lit(params.rsi_oversold).alias("rsi_ref")).join(levels, "symbol")
 

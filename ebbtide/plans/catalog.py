@@ -825,6 +825,12 @@ def _stream(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame
     return spark.readStream.schema(table.schema).parquet(X.stored_path(spark, d, name))
 
 
+def _in_batches(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The same in micro-batches in order of time: each takes the files of one slice."""
+    path = X.stored_slices(spark, d, name, make)
+    return spark.readStream.schema(spark.read.parquet(f"{path}/*").schema).option("maxFilesPerTrigger", X.SLICE_FILES).parquet(f"{path}/*")
+
+
 @query("T10_bar_stream")
 def _(spark, d):
     """Bars as they close, and at the end of the run those still open."""
@@ -853,32 +859,32 @@ def _(spark, d):
 
 @query("T1_T6_scan_stream")
 def _(spark, d):
+    """The newest scan of every symbol, after all micro-batches."""
     from ..params import SessionParams
     from ..streaming.scan import scan_stream
 
-    out = scratch_path(spark, "scan-stream")
-    X.bars(spark, d)
-    bars = _stream(spark, d, "bars", lambda: X.bars_daily(spark, d))
-    scan_stream(bars, scratch_path(spark, "history"), out, scratch_path(spark, "hot"), scratch_path(spark, "ckpt"),
+    out, bars = scratch_path(spark, "scan-stream"), X.bars(spark, d)
+    scan_stream(_in_batches(spark, d, "bars", lambda: bars), out, scratch_path(spark, "hot"), scratch_path(spark, "ckpt"),
                 SessionParams(regular_hours_only=False), ScanParams(signal_score=1)).awaitTermination()
-    return spark.read.parquet(out).select("symbol", F.col("bar_ts").cast("date").alias("day"), "price", "score", "signature")
+    last = bars.groupBy("symbol").agg(F.max("ts").alias("bar_ts"))
+    return spark.read.parquet(out).join(last, ["symbol", "bar_ts"]).select("symbol", F.col("bar_ts").cast("date").alias("day"), "price", "score", "signature")
 
 
 @query("T4_hot_lane")
 def _(spark, d):
-    """Bars come in beside a stored history; only symbols of the newest hot list are scored again."""
+    """New bars beside the state of a scan that ended in 1996; only symbols of the newest hot list are scored again."""
     from ..params import SessionParams
-    from ..streaming.scan import hot_lane_stream
+    from ..streaming.scan import hot_lane_stream, scan_stream
     from ..streaming.steps import write_version
 
     bars, params = X.bars(spark, d), ScanParams(signal_score=1, hot_score=1)
-    history, hot, out = (scratch_path(spark, name) for name in ("history", "hot", "hot-signals"))
-    write_version(bars.where("ts < '1997-01-01'"), history, 0)
-    write_version(bars.select("symbol").distinct(), hot, 0)
+    session = SessionParams(daily_bars=True, pause_weekends_and_holidays=False)
+    state, hot, seen, out = (scratch_path(spark, name) for name in ("scan-state", "hot", "seen", "hot-signals"))
+    scan_stream(_in_batches(spark, d, "bars-before-1997", lambda: bars.where("ts < '1997-01-01'")), seen, hot, state, session, params).awaitTermination()
     even = X.table(spark, d, "supplier").where("s_nationkey % 2 = 0").selectExpr("concat('S', s_suppkey) as symbol")
-    write_version(signals.hot_symbols(signals.scan(bars, params), params).join(even, "symbol", "left_semi"), hot, 1)
-    hot_lane_stream(_stream(spark, d, "bars", lambda: bars), history, hot, out, scratch_path(spark, "ckpt"),
-                    SessionParams(daily_bars=True, pause_weekends_and_holidays=False), params, every=None).awaitTermination()
+    write_version(signals.hot_symbols(signals.scan(bars, params), params).join(even, "symbol", "left_semi"), hot, 1_000_000)
+    hot_lane_stream(_stream(spark, d, "bars-from-1997", lambda: bars.where("ts >= '1997-01-01'")), state, hot, out, scratch_path(spark, "ckpt"),
+                    session, params, every=None).awaitTermination()
     return spark.read.parquet(out).select("symbol", F.col("bar_ts").cast("date").alias("day"), "score", "signature", "is_hot")
 
 

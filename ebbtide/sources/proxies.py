@@ -93,6 +93,23 @@ def stored_path(spark: SparkSession, folder: str, name: str) -> str:
     return _STORED[(spark.sparkContext.applicationId, folder, name)]
 
 
+SLICES, SLICE_FILES = 4, 8
+
+
+def stored_slices(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame], ts: str = "ts") -> str:
+    """Path of a table stored in slices of time, written one after the other, for streams of several micro-batches."""
+    key = (spark.sparkContext.applicationId, folder, f"{name} in slices")
+    if key not in _STORED:
+        path, rows = scratch_path(spark, "slices"), make()
+        seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
+        first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
+        slice_ = F.least(F.floor((seconds - first) * SLICES / (last - first + 1)), F.lit(SLICES - 1)) if first is not None else F.lit(0)
+        for k in range(SLICES):
+            rows.where(slice_ == k).repartition(SLICE_FILES).write.parquet(f"{path}/slice={k}")
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def bars(spark: SparkSession, folder: str) -> DataFrame:
     return stored(tune(spark), folder, "bars", lambda: bars_daily(spark, folder))
 

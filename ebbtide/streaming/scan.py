@@ -11,16 +11,15 @@ from pyspark.sql.types import StringType, StructType
 
 from ..functions.dates import is_trading_day, scan_paused
 from ..operators import alerts, signals
-from ..operators.joins import restrict
-from ..params import ScanParams, SeriesParams, SessionParams
+from ..operators.patterns import features_of, marked_tail
+from ..params import ScanParams, SessionParams
 from ..schemas import BARS
-from ..sources.readers import newest_delivery
-from .steps import read_before, read_newest, read_upto, run_batches, write_version
+from .steps import read_before, read_newest, read_version, run_batches, write_version
+from .tails import as_bars, stored_tails, symbol_tails
 
 HOT = StructType().add("symbol", StringType())
 HISTORY = StructType([f for f in BARS.fields if f.name != "interval"])
 ROWS = ("symbol", "bar_ts", "price", "score", "signature", "matched", "reasons")
-JUST_CAME = 2**31 - 1  # delivery number of bars that no stored version holds
 
 
 def in_session(ts: Column, session: SessionParams, at: str | None = None) -> Column:
@@ -35,80 +34,69 @@ def in_session(ts: Column, session: SessionParams, at: str | None = None) -> Col
     return ~scan_paused(ts, session.pause_weekends_and_holidays, session.regular_hours_only)
 
 
-def scan_step(history: DataFrame, batch: DataFrame, session: SessionParams = SessionParams(),
-              scan: ScanParams = ScanParams(), series: SeriesParams = SeriesParams(),
-              only: DataFrame | None = None, best: DataFrame | None = None, at: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signals, hot symbols, symbols looked at) for the symbols with a bar in an open session.
-
-    Only those are scored again, by the batch operators over their history. With
-    `only` (the hot lane) the rest is left alone; with `best` a signal needs a contract.
-    `at` is the time of the scan; without it the bars' own times are looked at. A
-    bar that the history holds in several versions (`batch`) counts as in the newest.
-    """
-    scored, touched = score_step(history, batch, session, scan, series, only, at)
-    return with_best(signals.signals(scored, scan), best), signals.hot_symbols(scored, scan), touched
+def score_tails(tails: DataFrame, scan: ScanParams) -> DataFrame:
+    """Every liquid symbol with its score, from tails with positions and RSI."""
+    frame = tails.withColumn("ts", F.timestamp_micros("us"))
+    return signals.score(features_of(marked_tail(frame, scan), scan), scan).where("liquid")
 
 
 def with_best(found: DataFrame, best: DataFrame | None) -> DataFrame:
     return found if best is None else alerts.with_contract(found, best)
 
 
-def score_step(history: DataFrame, batch: DataFrame, session: SessionParams, scan: ScanParams, series: SeriesParams,
-               only: DataFrame | None = None, at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scores, symbols looked at), from which signals and hot list follow."""
-    open_ = batch.where(in_session(F.col("ts"), session, at))
-    touched = open_.select("symbol").distinct()
-    if only is not None:
-        touched = touched.join(only.select("symbol").distinct(), "symbol", "left_semi")
-    versioned = history if "batch" in history.columns else history.withColumn("batch", F.lit(0))
-    mine = newest_delivery(restrict(versioned, touched), "batch")
-    return signals.scan(mine, scan, series), touched
+def scan_step(batch: DataFrame, session: SessionParams, scan: ScanParams, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scores, symbols looked at) from the tails of a micro-batch.
 
+    Looked at are symbols with a bar in an open session; with the time `at` of the
+    scan, all or none of them.
+    """
+    gate = F.col("opened") if at is None else in_session(F.lit(None), session, at)
+    now = batch.where(gate)
+    return score_tails(now, scan), now.select("symbol").distinct()
 
-def scan_stream(bars: DataFrame, history: str, out: str, hot: str, checkpoint: str,
-                session: SessionParams = SessionParams(), scan: ScanParams = ScanParams(),
-                series: SeriesParams = SeriesParams(), best: DataFrame | None = None,
-                every: str | None = None, clock: Callable[[], str] | None = None) -> StreamingQuery:
-    """Append the bars of each micro-batch, score the symbols they touch, write signals and hot list.
 
-    While the market is paused nothing is scored and the hot list stays as it is.
-    A live scan passes a `clock`, which tells the time of each scan.
+def scan_stream(bars: DataFrame, out: str, hot: str, checkpoint: str, session: SessionParams = SessionParams(), scan: ScanParams = ScanParams(),
+                best: DataFrame | None = None, every: str | None = None, clock: Callable[[], str] | None = None) -> StreamingQuery:
+    """Take the bars of each micro-batch into the state, score the symbols they touch, write signals and hot list.
+
+    A batch reads its own bars and the states of their symbols, never the history.
+    While the market is paused bars are remembered, nothing is scored and the hot
+    list stays as it is. With `best` a signal needs a contract. A live scan passes a
+    `clock`, which tells the time of each scan.
     """
     scored_at = f"{hot.rstrip('/')}-scored"
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        write_version(batch.select(*HISTORY.names), history, number)
-        known = read_upto(spark, history, number, HISTORY)
-        new = spark.read.schema(HISTORY).parquet(f"{history}/batch={number}")
-        scored, touched = score_step(known, new, session, scan, series, at=clock() if clock else None)
+        batch = batch.persist()  # the state is advanced once
+        scored, touched = scan_step(batch, session, scan, clock() if clock else None)
         # Written once; signals and hot list are read from it.
         write_version(scored.select(*ROWS), scored_at, number)
-        scored = spark.read.parquet(f"{scored_at}/batch={number}")
+        scored = read_version(spark, scored_at, number)
         write_version(with_best(signals.signals(scored, scan), best).select(*ROWS), out, number)
         hot_now = signals.hot_symbols(scored, scan)
         before = read_before(spark, hot, number, HOT).join(touched, "symbol", "left_anti")
         write_version(before.unionByName(hot_now).distinct(), hot, number)
+        batch.unpersist()
 
-    return run_batches(bars, step, checkpoint, every)
+    return run_batches(symbol_tails(bars, in_session(F.col("ts"), session), scan), step, checkpoint, every)
 
 
-def hot_lane_stream(bars: DataFrame, history: str, hot: str, out: str, checkpoint: str,
-                    session: SessionParams = SessionParams(), scan: ScanParams = ScanParams(),
-                    series: SeriesParams = SeriesParams(), best: DataFrame | None = None,
-                    every: str | None = "120 seconds", clock: Callable[[], str] | None = None) -> StreamingQuery:
+def hot_lane_stream(bars: DataFrame, state: str, hot: str, out: str, checkpoint: str, session: SessionParams = SessionParams(), scan: ScanParams = ScanParams(),
+                    best: DataFrame | None = None, every: str | None = "120 seconds", clock: Callable[[], str] | None = None) -> StreamingQuery:
     """Score near-signals again on a short trigger; its signals are marked hot.
 
-    `history` and `hot` are the folders that the scan stream writes. Each trigger
-    looks at what they hold by then.
+    `state` is the checkpoint of the scan stream, whose state is read as a table,
+    and `hot` the folder of its hot list. Each trigger looks at what they hold by
+    then, and at its own bars, which the scan may have seen or not.
     """
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        # The batch was appended to the stored history by the scan stream or is new here.
-        new = batch.select(*HISTORY.names).withColumn("batch", F.lit(JUST_CAME))
-        known = read_upto(spark, history, JUST_CAME - 1, HISTORY).unionByName(new)
         only = signals.hot_lane(read_newest(spark, hot, HOT), scan)
-        found, _, _ = scan_step(known, batch, session, scan, series, only, best, clock() if clock else None)
+        new = as_bars(batch, in_session(F.col("ts"), session))
+        came = only.join(new.select("symbol").distinct(), "symbol", "left_semi")
+        scored, _ = scan_step(stored_tails(spark, state, came, new, scan), session, scan, clock() if clock else None)
+        found = with_best(signals.signals(scored, scan), best)
         write_version(found.select(*ROWS).withColumn("is_hot", F.lit(True)), out, number)
 
     return run_batches(bars, step, checkpoint, every)

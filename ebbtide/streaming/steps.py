@@ -14,11 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructType
 
-from ..sources.readers import path_exists
+
+#: Keyed state stays on disk, and a batch writes what it changed.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+DONE = "_SUCCESS"  # the last file that a finished write leaves
 
 
 def write_version(rows: DataFrame, path: str, batch: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    """A version counts once its commit marker is there, which Spark writes last."""
+    rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/batch={batch}")
+
+
+def read_version(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/batch={batch}")
 
 
 def read_before(spark: SparkSession, path: str, batch: int, schema: StructType) -> DataFrame:
@@ -34,16 +45,33 @@ def read_upto(spark: SparkSession, path: str, batch: int, schema: StructType) ->
     return spark.read.schema(whole).parquet(path).where(f"batch <= {batch}")
 
 
+def finished(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that are whole, in order; one that is being written is not among them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/{DONE}")
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop) or []
+    return sorted(int(re.search(rf"/batch=(\d+)/{DONE}$", str(f.getPath()))[1]) for f in found)
+
+
 def read_newest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The newest version there is now, also when it holds no row; empty without one."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    numbers = [int(m[1]) for f in spark.read.schema(schema).parquet(path).inputFiles() if (m := re.search(r"/batch=(\d+)/", f))]
-    return spark.read.schema(schema).parquet(f"{path}/batch={max(numbers)}") if numbers else spark.createDataFrame([], schema)
+    """The newest whole version there is now, also when it holds no row; empty without one."""
+    numbers = finished(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/batch={numbers[-1]}") if numbers else spark.createDataFrame([], schema)
 
 
 def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str,
                 every: str | None = None) -> StreamingQuery:
     """Run `step` per micro-batch: on a schedule, or over what is there and stop."""
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    writer = stream.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+    return with_state(stream.sparkSession, (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start)
+
+
+def with_state(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Start a query under the settings of STATE; it keeps them."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        return start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
