@@ -9,10 +9,6 @@ EXCHANGE_ZONE = "America/New_York"
 JUNETEENTH_SINCE = 2022
 
 
-def days_to_expiry(expiry: Column, as_of: Column) -> Column:
-    return F.datediff(expiry, as_of)
-
-
 def _weekday(day: Column) -> Column:
     """Monday 0 .. Sunday 6."""
     return F.weekday(day)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import series as S
+from .sessions import with_session
 
 SALTS = 16
 
@@ -50,26 +51,28 @@ def asof(rows: DataFrame, facts: DataFrame, value: str, out: str, rows_ts: str,
     return known.where("_side = 1").select("_row.*", out)
 
 
-def recent(rows: DataFrame, facts: DataFrame, value: str, out: str, rows_ts: str, max_age_days: int,
-           facts_ts: str = "ts", keys: Sequence[str] = S.KEYS) -> DataFrame:
-    """Latest `value` at or before each row's time, null if older than `max_age_days`.
+def boards(facts: DataFrame, value: str, sessions: int, facts_ts: str = "ts", keys: Sequence[str] = S.KEYS) -> DataFrame:
+    """What each key shows in each session: the facts of that session in order, and the last one of the sessions before.
 
-    With a maximum age only few days can answer, so each key gets one board per
-    day: its facts of that day and the last one of the days before. Rows then
-    look up a single board by key and day; nothing is ordered over rows and the
-    join neither multiplies rows nor meets a whole key in one task.
+    A fact is on the boards of its own session and of the `sessions - 1` after it.
     """
-    stamped = facts.select(*keys, F.col(facts_ts).cast("timestamp").alias("_t"), F.col(value).alias("_v"))
-    daily = stamped.groupBy(*keys, F.to_date("_t").alias("_day")).agg(
-        F.array_sort(F.collect_list(F.struct("_t", "_v"))).alias("_today"))
-    shown = daily.select(*keys, "_today", F.explode(F.sequence(F.lit(0), F.lit(max_age_days))).alias("_k"),
-                         "_day").withColumn("_board", F.date_add("_day", F.col("_k")))
-    boards = shown.groupBy(*keys, F.col("_board").alias("_day")).agg(
+    stamped = with_session(facts.select(*keys, F.col(facts_ts).cast("timestamp").alias("_t"), F.col(value).alias("_v")), "_t")
+    daily = stamped.groupBy(*keys, "_session").agg(F.array_sort(F.collect_list(F.struct("_t", "_v"))).alias("_today"))
+    shown = daily.select(*keys, "_today", F.explode(F.sequence(F.lit(0), F.lit(sessions - 1))).alias("_k"), "_session").withColumn(
+        "_session", F.col("_session") + F.col("_k"))
+    return shown.groupBy(*keys, "_session").agg(
         F.max(F.when(F.col("_k") > 0, F.element_at("_today", -1))).alias("_before"),
         F.max_by("_today", F.when(F.col("_k") == 0, F.lit(0))).alias("_today"))
+
+
+def recent(rows: DataFrame, shown: DataFrame, out: str, rows_ts: str, keys: Sequence[str] = S.KEYS) -> DataFrame:
+    """Latest value at or before each row's time, from boards; null if it is of no session that the boards keep.
+
+    Rows look up a single board by key and session; nothing is ordered over rows
+    and the join neither multiplies rows nor meets a whole key in one task.
+    """
     at = F.col(rows_ts).cast("timestamp")
-    met = rows.withColumn("_day", F.to_date(at)).join(boards, [*keys, "_day"], "left")
+    met = with_session(rows, rows_ts).join(shown, [*keys, "_session"], "left")
     passed = F.filter("_today", lambda e: e["_t"] <= at)
     fact = F.coalesce(F.get(passed, F.size(passed) - 1), F.col("_before"))
-    fresh = F.unix_micros(at) - F.unix_micros(fact["_t"]) < max_age_days * S.DAY * 1_000_000
-    return met.withColumn(out, F.when(fresh, fact["_v"])).drop("_day", "_before", "_today")
+    return met.withColumn(out, fact["_v"]).drop("_session", "_before", "_today")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts as T
 from ..functions.strings import plain_number
 from ..params import PerformanceParams
-from .joins import recent
+from ..session import written
+from .joins import boards, lookup, recent
 
-PRICE_MAX_AGE_DAYS = 5  # prices are read from the last five days of daily bars
+PRICE_SESSIONS = 5  # prices are read from the last five trading days
 
 
 def latest_prices(bars: DataFrame) -> DataFrame:
@@ -19,17 +20,22 @@ def latest_prices(bars: DataFrame) -> DataFrame:
     return valid.groupBy("symbol").agg(F.max_by("close", "ts").alias("last_close"))
 
 
-def with_prices(rows: DataFrame, bars: DataFrame, benchmark: str, at: str, price: str, bench: str) -> DataFrame:
+def price_boards(bars: DataFrame, benchmark: str) -> tuple[DataFrame, DataFrame]:
+    """Boards of all symbols and of the benchmark alone, over PRICE_SESSIONS trading days."""
+    closes = bars.where("close is not null and not isnan(close)").select("symbol", "ts", "close")
+    return boards(closes, "close", PRICE_SESSIONS), boards(closes.where(F.col("symbol") == benchmark), "close", PRICE_SESSIONS)
+
+
+def with_prices(rows: DataFrame, shown: tuple[DataFrame, DataFrame], benchmark: str, at: str, price: str, bench: str) -> DataFrame:
     """Both prices as of `at`: the symbol's and the benchmark's.
 
-    A price older than five days counts as missing.
+    A price from before the last five trading days counts as missing. The
+    benchmark is priced once for each moment, not for each row.
     """
-    closes = bars.where("close is not null and not isnan(close)").select("symbol", "ts", "close")
-    index = closes.where(F.col("symbol") == benchmark).withColumnRenamed("symbol", "_bench_symbol")
-    out = recent(rows, closes, "close", price, at, PRICE_MAX_AGE_DAYS)
-    out = recent(out.withColumn("_bench_symbol", F.lit(benchmark)), index, "close", bench, at,
-                 PRICE_MAX_AGE_DAYS, keys=("_bench_symbol",))
-    return out.drop("_bench_symbol")
+    own, index = shown
+    moments = rows.select(at).distinct().withColumn("symbol", F.lit(benchmark))
+    indexed = recent(moments, index, bench, at).select(at, bench)
+    return lookup(recent(rows, own, price, at), indexed, [at], "alert_id", "left")
 
 
 def track(alerts: DataFrame, bars: DataFrame, params: PerformanceParams) -> DataFrame:
@@ -37,7 +43,7 @@ def track(alerts: DataFrame, bars: DataFrame, params: PerformanceParams) -> Data
 
     The `price` an alert was sent with is its price; the bars answer where it has none.
     """
-    priced = with_prices(alerts, bars, params.benchmark, "alert_ts", "alert_price", "bench_price")
+    priced = with_prices(alerts, price_boards(bars, params.benchmark), params.benchmark, "alert_ts", "alert_price", "bench_price")
     if "price" in alerts.columns:
         priced = priced.withColumn("alert_price", F.coalesce("price", "alert_price"))
     return priced.where("alert_price is not null and bench_price is not null")
@@ -65,12 +71,18 @@ def settle(checks: DataFrame, bars: DataFrame, now: str, params: PerformancePara
     """
     step = params.check_seconds
     first = F.ceil(F.unix_seconds("due_ts") / F.lit(step)) * step
-    tries = F.sequence(F.lit(0), F.lit(params.max_attempts - 1))
-    runs = (checks.withColumn("attempt", F.explode(tries))
-            .withColumn("run_ts", F.timestamp_seconds(first + F.col("attempt") * step))
-            .where(F.col("run_ts") <= F.lit(now).cast("timestamp")))
-    priced = with_prices(runs.select("alert_id", "symbol", "horizon_h", "attempt", "run_ts"),
-                         bars, params.benchmark, "run_ts", "price", "bench")
+    columns = ["alert_id", "symbol", "horizon_h", "attempt", "run_ts"]
+
+    def runs(of: DataFrame, attempts: Column) -> DataFrame:
+        at = F.timestamp_seconds(first + F.col("attempt") * step)
+        return of.withColumn("attempt", attempts).withColumn("run_ts", at).where(F.col("run_ts") <= F.lit(now).cast("timestamp")).select(*columns)
+
+    # Nearly all checks find their prices in the first run; only the others are tried again.
+    shown = tuple(written(b, "boards") for b in price_boards(bars, params.benchmark))
+    once = written(with_prices(runs(checks, F.lit(0)), shown, params.benchmark, "run_ts", "price", "bench"), "first-run")
+    missed = checks.join(once.where("price is null or bench is null"), ["alert_id", "symbol", "horizon_h"], "left_semi")
+    again = runs(missed, F.explode(F.sequence(F.lit(1), F.lit(params.max_attempts - 1)))) if params.max_attempts > 1 else None
+    priced = once if again is None else once.unionByName(with_prices(again, shown, params.benchmark, "run_ts", "price", "bench"))
     good = F.col("price").isNotNull() & F.col("bench").isNotNull()
     done = priced.groupBy("alert_id", "horizon_h").agg(
         F.min_by(F.struct("attempt", "run_ts", "price", "bench"),

@@ -22,7 +22,6 @@ from ..params import SeriesParams
 KEYS = ("symbol",)
 CHUNK = "_chunk"
 BLOCK = "_block"
-PART = "_part"
 PART_ROWS = 4096  # weights of RSI grow by 14/13 a row and would overflow past about 9,500
 DAY = 86_400
 
@@ -93,76 +92,84 @@ def last_known(df: DataFrame, value: Column, out: str, order: Sequence[str],
             .withColumn(out, F.coalesce("_l", "_in")).drop("_v", "_l", "_in"))
 
 
+def bounded_days(bars: DataFrame, days: float, rows: int = PART_ROWS, keys: Sequence[str] = KEYS) -> float:
+    """A span of at most `days` for chunks of at most `rows` bars, found by counting symbols and times alone.
+
+    Daily bars need one count. Denser ones are cut finer until the fullest chunk fits; a second is not split.
+    """
+    while True:
+        fullest = add_chunk(bars.select(*keys, "ts"), days=days).groupBy(*keys, CHUNK).count().agg(F.max("count")).first()[0] or 0
+        if fullest <= rows or days * DAY <= 1:
+            return days
+        days = max(1, int(days * DAY * rows / fullest / 1.5)) / DAY
+
+
 def with_positions(bars: DataFrame, series: SeriesParams = SeriesParams(),
                    rsi_period: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Add `pos` (0-based bar position), `n_bars`, and optionally `rsi`.
 
     RSI is the ratio of two exponentially decayed sums over the whole history.
-    They are cumulative sums of weighted gains and losses inside a part, which is
-    a fixed number of rows of a chunk, as the weights grow with the row; what
-    earlier parts contribute is carried in as one decayed number per side.
+    They are cumulative sums of weighted gains and losses inside a chunk, whose
+    rows are bounded as the weights grow with the row; what earlier chunks
+    contribute is carried in as one decayed number per side.
     """
-    df = add_chunk(bars, days=series.chunk_days)
-    in_chunk = Window.partitionBy(*keys, CHUNK).orderBy("ts")
-    df = df.withColumn("_row", F.row_number().over(in_chunk) - 1)
-    part = F.floor(F.col("_row") / F.lit(PART_ROWS)) if rsi_period else F.lit(0)
-    df = df.withColumn(PART, part.cast("int"))
+    days = bounded_days(bars, series.chunk_days, keys=keys) if rsi_period else series.chunk_days
+    df = add_chunk(bars, days=days)
+    w = Window.partitionBy(*keys, CHUNK).orderBy("ts")
+    df = df.withColumn("_row", F.row_number().over(w) - 1)
     totals = [F.count(F.lit(1)).alias("_len")]
+    carried = ["_start", "n_bars"]
     if rsi_period:
         q = 1.0 - 1.0 / rsi_period
-        w = Window.partitionBy(*keys, CHUNK, PART).orderBy("ts")
-        grow = F.pow(F.lit(1.0 / q), F.col("_row") % PART_ROWS + 1)
-        df = df.withColumn("_d", F.col("close") - F.lag("close").over(w))
-        df = (df.withColumn("_g", F.when(F.col("_d") > 0, F.col("_d") * grow).otherwise(0.0))
-                .withColumn("_l", F.when(F.col("_d") < 0, -F.col("_d") * grow).otherwise(0.0)))
+        move = F.col("close") - F.lag("close").over(w)
+        df = df.withColumn("_d", move * F.pow(F.lit(1.0 / q), F.col("_row") + 1))
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumns({"_gcum": F.sum("_g").over(upto), "_lcum": F.sum("_l").over(upto)})
+        up, down = F.when(F.col("_d") > 0, F.col("_d")).otherwise(0.0), F.when(F.col("_d") < 0, -F.col("_d")).otherwise(0.0)
+        df = df.withColumns({"_gcum": F.sum(up).over(upto), "_lcum": F.sum(down).over(upto)})
         totals += [F.min_by("close", "_row").alias("_first"), F.max_by("close", "_row").alias("_last"),
                    F.max("_gcum").alias("_gs"), F.max("_lcum").alias("_ls")]
-    parts = df.groupBy(*keys, CHUNK, PART).agg(*totals)
-    carried = [PART]
+    chunks = df.groupBy(*keys, CHUNK).agg(*totals)
+    chunks = (chunks.withColumn("_start", F.coalesce(F.sum("_len").over(_before(keys)), F.lit(0)))
+                    .withColumn("n_bars", F.sum("_len").over(Window.partitionBy(*keys))))
     if rsi_period:
-        parts = _carry_decayed(parts, q, keys)
+        chunks = _carry_decayed(chunks, q, keys)
         carried += ["_gin", "_lin"]
-    # One row per chunk, as rows are spread by chunks; its parts are few, as each stands for PART_ROWS rows.
-    chunks = parts.groupBy(*keys, CHUNK).agg(
-        F.sum("_len").alias("_len"), F.array_sort(F.collect_list(F.struct(*carried))).alias("_parts"))
-    chunks = (chunks.withColumn("_start", F.coalesce(F.sum("_len").over(_before(keys)), F.lit(0)))
-                    .withColumn("n_bars", F.sum("_len").over(Window.partitionBy(*keys))).drop("_len"))
-    out = join_chunks(df, chunks, keys).withColumn("pos", F.col("_start") + F.col("_row"))
+    out = join_chunks(df, chunks.select(*keys, CHUNK, *carried), keys).withColumn("pos", F.col("_start") + F.col("_row"))
     if rsi_period:
-        own = F.get("_parts", F.col(PART))
-        out = out.withColumn("_gain", own["_gin"] + F.col("_gcum")).withColumn("_loss", own["_lin"] + F.col("_lcum"))
+        out = out.withColumn("_gain", F.col("_gin") + F.col("_gcum")).withColumn("_loss", F.col("_lin") + F.col("_lcum"))
         out = out.withColumn("rsi", F.when(F.col("pos") < rsi_period, F.lit(None))
                              .when(F.col("_loss") == 0, F.lit(100.0))
                              .otherwise(100.0 - 100.0 / (1.0 + F.col("_gain") / F.col("_loss"))))
-        out = out.drop("_d", "_g", "_l", "_gcum", "_lcum", "_gain", "_loss")
-    return out.drop(CHUNK, PART, "_parts", "_row", "_start")
+        out = out.drop("_d", "_gcum", "_lcum", "_gain", "_loss", "_gin", "_lin")
+    return out.drop(CHUNK, "_row", "_start")
 
 
-def _carry_decayed(parts: DataFrame, q: float, keys: Sequence[str]) -> DataFrame:
-    """Per part: decayed gain and loss at its entry, the first delta included.
+def _carry_decayed(chunks: DataFrame, q: float, keys: Sequence[str], width: int = 64) -> DataFrame:
+    """Per chunk: decayed gain and loss at its entry, the first delta included.
 
-    A part stands for up to PART_ROWS rows, so a symbol has few and folding the
-    earlier ones is a short loop.
+    A chunk maps a decayed sum x to (x + own) * shrink. Such maps compose to one of the
+    same form, so they are scanned in two levels: inside runs of `width` chunks,
+    then over the composed maps of whole runs. No chunk looks at all earlier ones.
     """
-    ordered = Window.partitionBy(*keys).orderBy(CHUNK, PART)
-    step = F.col("_first") - F.lag("_last").over(ordered)
-    parts = parts.withColumn("_step", F.coalesce(step, F.lit(0.0)))
+    ordered = Window.partitionBy(*keys).orderBy(CHUNK)
+    step = F.coalesce(F.col("_first") - F.lag("_last").over(ordered), F.lit(0.0))
     shrink = F.pow(F.lit(q), F.col("_len"))
     up, down = F.greatest(F.col("_step"), F.lit(0.0)) / q, F.greatest(-F.col("_step"), F.lit(0.0)) / q
-    parts = (parts.withColumn("_gstep", up).withColumn("_lstep", down)
-             .withColumn("_end", F.struct(shrink.alias("s"),
-                                          ((F.col("_gs") + up) * shrink).alias("g"),
-                                          ((F.col("_ls") + down) * shrink).alias("l"))))
-    earlier = F.collect_list("_end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("l"))
-    carried = F.aggregate(earlier, zero, lambda a, e: F.struct(
-        (e["g"] + a["g"] * e["s"]).alias("g"), (e["l"] + a["l"] * e["s"]).alias("l")))
-    return (parts.withColumn("_c", carried)
-            .withColumn("_gin", F.coalesce(F.col("_c.g"), F.lit(0.0)) + F.col("_gstep"))
-            .withColumn("_lin", F.coalesce(F.col("_c.l"), F.lit(0.0)) + F.col("_lstep"))
-            .drop("_step", "_gstep", "_lstep", "_end", "_c"))
+    chunks = chunks.withColumns({"_step": step, "_run": F.floor((F.row_number().over(ordered) - 1) / F.lit(width))})
+    chunks = chunks.withColumns({"_gstep": up, "_lstep": down, "_map": F.struct(
+        shrink.alias("s"), ((F.col("_gs") + up) * shrink).alias("g"), ((F.col("_ls") + down) * shrink).alias("l"))})
+    same = F.struct(F.lit(1.0).alias("s"), F.lit(0.0).alias("g"), F.lit(0.0).alias("l"))
+
+    def then(a: Column, e: Column) -> Column:
+        return F.struct((a["s"] * e["s"]).alias("s"), (e["g"] + a["g"] * e["s"]).alias("g"), (e["l"] + a["l"] * e["s"]).alias("l"))
+
+    earlier = lambda keys_, by: Window.partitionBy(*keys_).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_in", F.aggregate(F.collect_list("_map").over(earlier([*keys, "_run"], CHUNK)), same, then))
+    runs = chunks.groupBy(*keys, "_run").agg(F.max_by(then(F.col("_in"), F.col("_map")), CHUNK).alias("_whole"))
+    runs = runs.select(*keys, "_run", F.aggregate(F.collect_list("_whole").over(earlier(keys, "_run")), same, then).alias("_base"))
+    joined = chunks.join(runs, [*keys, "_run"])
+    into = then(F.col("_base"), F.col("_in"))
+    return joined.withColumn("_gin", into["g"] + F.col("_gstep")).withColumn("_lin", into["l"] + F.col("_lstep"))
 
 
 def in_blocks(positioned: DataFrame, back: int, ahead: int = 0,

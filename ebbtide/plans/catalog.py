@@ -833,14 +833,12 @@ def _in_batches(spark: SparkSession, d: str, name: str, make: Callable[[], DataF
 
 @query("T10_bar_stream")
 def _(spark, d):
-    """Bars as they close, and at the end of the run those still open."""
+    """Bars as they close, and at the end of the run those still open, from the state."""
     from ..streaming.ticks import bar_stream, open_bars
 
-    out = scratch_path(spark, "bar-stream")
-    ended = bar_stream(_stream(spark, d, "ticks", lambda: X.ticks(spark, d)), out, scratch_path(spark, "ckpt"))
-    ended.awaitTermination()
-    still_open = open_bars(spark.read.parquet(X.stored_path(spark, d, "ticks")), ended)
-    return spark.read.parquet(out).unionByName(still_open).select(
+    out, state = scratch_path(spark, "bar-stream"), scratch_path(spark, "ckpt")
+    bar_stream(_in_batches(spark, d, "ticks", lambda: X.stored(spark, d, "ticks", lambda: X.ticks(spark, d))), out, state).awaitTermination()
+    return spark.read.parquet(out).unionByName(open_bars(spark, state)).select(
         "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("hour"), "open", "high", "low", "close", "volume")
 
 
@@ -852,7 +850,7 @@ def _(spark, d):
     gated = lambda: A.with_contract(
         _events(spark, d), picks.best_calls(picks.near_calls(X.contracts(spark, d))).select("symbol"))
     out = scratch_path(spark, "alert-stream")
-    alert_stream(_stream(spark, d, "gated_alerts", gated), out, scratch_path(spark, "memory"),
+    alert_stream(_in_batches(spark, d, "gated_alerts", gated), out, scratch_path(spark, "memory"),
                  scratch_path(spark, "ckpt")).awaitTermination()
     return spark.read.parquet(out).select("symbol", day(), "alert_id", "signature")
 
@@ -895,6 +893,6 @@ def _(spark, d):
     bars = X.bars(spark, d)
     checks = P.horizon_checks(P.track(X.alerts(spark, d), bars, PERF), PERF)
     out = scratch_path(spark, "horizon-stream")
-    horizon_stream(_stream(spark, d, "bars", lambda: bars), checks, scratch_path(spark, "history"), out,
+    horizon_stream(_in_batches(spark, d, "bars", lambda: bars), checks, scratch_path(spark, "prices"), out,
                    scratch_path(spark, "pending"), scratch_path(spark, "ckpt"), PERF).awaitTermination()
     return spark.read.parquet(out).select("alert_id", "horizon_h", "status", "attempts", *six("alpha"))

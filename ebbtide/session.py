@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the jobs count on. Broadcast sides are chosen by Spark from
 # measured shuffle sizes (adaptive execution), never by an unchecked hint; the
@@ -53,6 +53,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a table in the shared folder."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("ebbtide")
                .config("spark.ui.enabled", "false")

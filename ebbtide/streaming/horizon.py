@@ -6,32 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.performance import settle
+from ..operators.performance import PRICE_SESSIONS, fold, merge_folds, settle
+from ..operators.sessions import with_session
 from ..params import PerformanceParams
 from ..sources.readers import newest_delivery
 from .scan import HISTORY
-from .steps import read_before, read_upto, run_batches, write_version
+from .steps import read_before, read_version, run_batches, write_version
 
+CLOCK = "now timestamp"
+SUMMARY = "horizon_h int, n bigint, wins bigint, sum_alpha double"
 
-def horizon_stream(bars: DataFrame, checks: DataFrame, history: str, out: str, pending: str, checkpoint: str,
+
+def horizon_stream(bars: DataFrame, checks: DataFrame, prices: str, out: str, pending: str, checkpoint: str,
                    params: PerformanceParams = PerformanceParams(), every: str | None = None) -> StreamingQuery:
     """Close what is due at the time of the newest bar; the rest stays pending.
 
     Closed checks go to `out`, one version per batch; `checks` is where pending
-    ones start from.
+    ones start from. Bars come in order of time from batch to batch; a later
+    check can be priced only by the last sessions, so a batch leaves those bars
+    in `prices` for the next and nothing older is read again. The newest time is
+    carried as one number. Beside the pending checks lies their summary so far:
+    each batch adds its own to the one before.
     """
-    columns, judged_at = checks.columns, f"{pending.rstrip('/')}-judged"
+    columns, beside = checks.columns, pending.rstrip("/")
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        write_version(batch.select(*HISTORY.names), history, number)
-        known = newest_delivery(read_upto(spark, history, number, HISTORY), "batch")
+        before = read_before(spark, f"{beside}-clock", number, spark.createDataFrame([], CLOCK).schema)
+        clock = batch.agg(F.max("ts").alias("now")).unionByName(before).agg(F.max("now").alias("now"))
+        write_version(clock, f"{beside}-clock", number)
+        now = read_version(spark, f"{beside}-clock", number).select(F.date_format("now", "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        late = read_before(spark, prices, number, HISTORY).withColumn("batch", F.lit(0))
+        write_version(newest_delivery(batch.select(*HISTORY.names).withColumn("batch", F.lit(1)).unionByName(late), "batch"), f"{beside}-bars", number)
+        known = read_version(spark, f"{beside}-bars", number)
         open_ = checks if number == 0 else read_before(spark, pending, number, checks.schema)
-        now = known.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
-        # Written once; both results are read from it.
-        write_version(settle(open_, known, now, params), judged_at, number)
-        judged = spark.read.parquet(f"{judged_at}/batch={number}")
+        # Written once; all results are read from it.
+        write_version(settle(open_, known, now, params), f"{beside}-judged", number)
+        judged = read_version(spark, f"{beside}-judged", number)
         write_version(judged.where("status <> 'pending'"), out, number)
         write_version(judged.where("status = 'pending'").select(*columns), pending, number)
+        had = read_before(spark, f"{beside}-summary", number, spark.createDataFrame([], SUMMARY).schema)
+        write_version(merge_folds(had, fold(judged)), f"{beside}-summary", number)
+        last = with_session(spark.createDataFrame([(now,)], "now string"), "now").first()["_session"]
+        write_version(with_session(known, "ts").where(F.col("_session") > F.lit(last) - PRICE_SESSIONS).drop("_session"), prices, number)
 
     return run_batches(bars, step, checkpoint, every)

@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from ..params import ScanParams
 from ..schemas import PRICE_COLUMNS
@@ -30,7 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 VALUES = tuple(PRICE_COLUMNS)
 BASE = "n bigint, last double, gain double, loss double, through bigint"
 BAR = "us bigint, " + ", ".join(f"{c} double" for c in VALUES)
-TAIL = StructType.fromDDL(f"symbol string, {BAR}, pos bigint, n_bars bigint, rsi double, opened boolean")
+TAIL = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("us", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in VALUES),
+                     T.StructField("pos", T.LongType()), T.StructField("n_bars", T.LongType()), T.StructField("rsi", T.DoubleType()), T.StructField("opened", T.BooleanType())])
 
 
 class Base(NamedTuple):

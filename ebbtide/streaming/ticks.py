@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+
+from ..schemas import BARS
+from ..sources.readers import path_exists
+from .steps import with_state
 
 
 def to_bars(ticks: DataFrame, width: str = "1 hour", lateness: str | None = None) -> DataFrame:
@@ -26,16 +29,20 @@ def bar_stream(ticks: DataFrame, out: str, checkpoint: str, width: str = "1 hour
     """Write final bars as they close; ticks later than the watermark are dropped."""
     writer = (to_bars(ticks, width, lateness).writeStream.outputMode("append").format("parquet")
               .option("path", out).option("checkpointLocation", checkpoint))
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    return with_state(ticks.sparkSession, (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start)
 
 
-def open_bars(ticks: DataFrame, ended: StreamingQuery, width: str = "1 hour") -> DataFrame:
-    """Bars of the windows that an ended `bar_stream` still held, from the same ticks read as a table.
+def open_bars(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Bars of the windows that an ended `bar_stream` still held, from its own state.
 
-    Closes a bounded run: no tick of these windows was late, so together with
-    the written bars every window is there once. A stream that will be resumed
-    writes them itself later.
+    Closes a bounded run: together with the written bars every window is there
+    once, and no tick is read again. A stream that will be resumed writes them
+    itself later.
     """
-    passed = (ended.lastProgress or {}).get("eventTime", {}).get("watermark", "1970-01-01T00:00:00Z")
-    after = F.lit(passed).cast("timestamp") - F.expr(f"interval {width}")
-    return to_bars(ticks.where(F.col("ts") > after), width).where(F.col("ts") > after)
+    if not path_exists(spark, f"{checkpoint}/state/0/_metadata"):
+        return spark.createDataFrame([], BARS).drop("interval")
+    # In the order of the sums of to_bars, whose own names repeat; a first and a last price come with the place they were found at.
+    place = "struct<ts: timestamp, event_id: bigint>"
+    held = F.col("value").cast(f"struct<open: double, first: {place}, high: double, low: double, close: double, last: {place}, size: bigint>")
+    state = spark.read.format("statestore").load(checkpoint).select("key.symbol", F.col("key.window.start").alias("ts"), held.alias("v"))
+    return state.select("symbol", "ts", "v.open", "v.high", "v.low", "v.close", F.col("v.size").cast("double").alias("volume"))

@@ -39,7 +39,7 @@ view("local", "moments holidays", f"""
   SELECT m.*, CAST(nyt AS DATE) AS day, isodow(nyt) >= 6 AS weekend, h.holiday IS NOT NULL AS is_holiday,
          CAST(nyt AS TIME) AS clock FROM (SELECT ts, {new_york('ts')} AS nyt FROM moments) m
   LEFT JOIN holidays h ON h.day = CAST(m.nyt AS DATE)""")
-view("settled_last", "checks bars bench", VIEWS["settled"][1].replace(NOW, "(SELECT max(ts) FROM bars)"))
+view("settled_last", "checks bars bench sessions", VIEWS["settled"][1].replace(NOW, "(SELECT max(ts) FROM bars)"))
 view("signals1", "scored", "SELECT * FROM scored WHERE liquid AND score >= 1")
 
 GREEK_TAIL = (f"COALESCE(' • IV=' || {fixed('iv * 100', 0)} || '%', '') || COALESCE(' • {T.DELTA}' || {fixed('delta', 2)}, '') "

@@ -388,20 +388,27 @@ def new_york(ts: str) -> str:
 
 NOW = "TIMESTAMP '2001-07-31 00:00:00'"
 view("bench", "bars", "SELECT ts, close FROM bars WHERE symbol = 'S0'")
-view("tracked", "alerts bars bench", """
+view("sessions", "holidays", """
+  SELECT day, count(*) FILTER (WHERE isodow(day) < 6 AND holiday IS NULL) OVER (ORDER BY day) AS session
+  FROM (SELECT CAST(range AS DATE) AS day FROM range(TIMESTAMP '1990-01-01', TIMESTAMP '2031-01-01', INTERVAL 1 DAY)) d
+  LEFT JOIN (SELECT DISTINCT * FROM holidays) h USING (day)""")
+view("tracked", "alerts bars bench sessions", """
   WITH a AS (SELECT a.*, b.close AS alert_price, b.ts AS pts FROM alerts a ASOF LEFT JOIN bars b ON b.symbol = a.symbol AND b.ts <= a.alert_ts),
   c AS (SELECT a.*, s.close AS bench_price, s.ts AS bts FROM a ASOF LEFT JOIN bench s ON s.ts <= a.alert_ts)
-  SELECT * FROM c WHERE pts > alert_ts - INTERVAL 5 DAY AND bts > alert_ts - INTERVAL 5 DAY""")
+  SELECT c.* FROM c JOIN sessions x ON x.day = CAST(alert_ts AS DATE) JOIN sessions p ON p.day = CAST(pts AS DATE)
+  JOIN sessions b ON b.day = CAST(bts AS DATE) WHERE x.session - p.session < 5 AND x.session - b.session < 5""")
 view("checks", "tracked", """
   SELECT t.*, CAST(h AS INT) AS horizon_h, alert_ts + to_hours(CAST(h AS INT)) AS due_ts FROM tracked t, (VALUES (24), (72)) v(h)""")
-view("settled", "checks bars bench", f"""
+view("settled", "checks bars bench sessions", f"""
   WITH r AS (SELECT c.*, k.k AS attempt,
                make_timestamp(CAST(ceil(epoch(due_ts) / 1800) AS BIGINT) * 1800000000 + k.k * 1800000000) AS run_ts
              FROM checks c, range(8) k(k)),
   p AS (SELECT r.*, b.close AS price, b.ts AS b_ts FROM (SELECT * FROM r WHERE run_ts <= {NOW}) r
         ASOF LEFT JOIN bars b ON b.symbol = r.symbol AND b.ts <= r.run_ts),
   q AS (SELECT p.*, s.close AS bench, s.ts AS s_ts FROM p ASOF LEFT JOIN bench s ON s.ts <= p.run_ts),
-  g AS (SELECT *, (b_ts > run_ts - INTERVAL 5 DAY AND s_ts > run_ts - INTERVAL 5 DAY) IS TRUE AS good FROM q),
+  g AS (SELECT q.*, (x.session - u.session < 5 AND x.session - v.session < 5) IS TRUE AS good FROM q
+        LEFT JOIN sessions x ON x.day = CAST(run_ts AS DATE) LEFT JOIN sessions u ON u.day = CAST(b_ts AS DATE)
+        LEFT JOIN sessions v ON v.day = CAST(s_ts AS DATE)),
   a AS (SELECT alert_id, horizon_h, count(*) AS tried, bool_or(good) AS any_good, min(attempt) FILTER (WHERE good) AS att,
                arg_min(run_ts, attempt) FILTER (WHERE good) AS settled_ts, arg_min(price, attempt) FILTER (WHERE good) AS price_now,
                arg_min(bench, attempt) FILTER (WHERE good) AS bench_now FROM g GROUP BY alert_id, horizon_h)

@@ -11,8 +11,9 @@ from ebbtide.schemas import ALERT_EVENTS
 from ebbtide.streaming.alerts import MEMORY, alert_stream, keyed_alert_stream, memory_step
 from ebbtide.streaming.horizon import horizon_stream
 from ebbtide.streaming.scan import HISTORY, HOT, hot_lane_stream, in_session, scan_step, scan_stream
-from ebbtide.streaming.steps import read_newest, write_version
-from ebbtide.streaming.ticks import bar_stream, to_bars
+from ebbtide.streaming.tails import TAIL, as_bars, stored_tails
+from ebbtide.streaming.steps import finished, read_newest, write_version
+from ebbtide.streaming.ticks import bar_stream, open_bars, to_bars
 
 from .helpers import BARS, bars, daily, walk
 
@@ -78,49 +79,66 @@ def test_keyed_alert_stream_replays_like_the_batch(spark, events, tmp_path):
 
 @pytest.mark.parametrize("parts", [1, 3])
 def test_scan_stream_ends_like_the_batch_scan(spark, tmp_path, parts):
-    frame = pd.concat([daily(f"R{k}", walk(500 + k, 120)) for k in range(6)]).sort_values("ts")
+    """Over several micro-batches, each redelivering the last bar of the one before with other values."""
+    frame = pd.concat([daily(f"R{k}", walk(500 + k, 400)) for k in range(6)]).sort_values("ts")
     cuts = np.array_split(np.sort(frame["ts"].unique()), parts)
-    source, out, params = str(tmp_path / "in"), str(tmp_path / "out"), ScanParams(signal_score=1)
+    source, out, state, params = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), ScanParams(signal_score=1)
     anytime = SessionParams(pause_weekends_and_holidays=False)
-    series = SeriesParams(chunk_days=30, block_rows=256)
     for k, days in enumerate(cuts):
-        _write(spark, frame[frame["ts"].isin(days)], source, f"part={k}", BARS)
+        rows = frame[frame["ts"].isin(days)]
+        if k + 1 < parts:
+            early = frame[frame["ts"] == cuts[k + 1][0]].assign(close=1.0, low=1.0)
+            rows = pd.concat([rows, early])
+        _write(spark, rows, source, f"part={k}", BARS)
         stream = spark.readStream.schema(HISTORY).parquet(f"{source}/*")
-        scan_stream(stream, str(tmp_path / "history"), out, str(tmp_path / "hot"), str(tmp_path / "ckpt"), anytime, params,
-                    series).awaitTermination()
+        scan_stream(stream, out, str(tmp_path / "hot"), state, anytime, params).awaitTermination()
     from ebbtide.operators import signals
-    want = signals.signals(signals.scan(bars(spark, frame), params, series), params)
+    want = signals.signals(signals.scan(bars(spark, frame), params, SeriesParams(chunk_days=30, block_rows=256)), params)
     last = spark.read.parquet(f"{out}/batch={parts - 1}")
-    key = lambda df: sorted((r["symbol"], r.signature, r.bar_ts) for r in df.collect())
+    key = lambda df: sorted((r["symbol"], r.signature, r.bar_ts, r.reasons["rsi"]) for r in df.collect())
     assert key(last) == key(want) and key(want)
+    # The state as a table gives the same tails, with or without the last bars delivered again.
+    again = frame[frame["ts"] == frame["ts"].max()]
+    tails = stored_tails(spark, state, spark.createDataFrame([("R1",), ("R2",)], "symbol string"), as_bars(spark.createDataFrame(again, BARS), F.lit(True)), params)
+    assert tails.columns == TAIL.names and tails.count() == 2 * params.tail_bars and tails.agg(F.max("n_bars")).first()[0] == 400
 
 
 def test_scan_step_is_gated_and_hot_lane_looks_at_hot_symbols_only(spark, tmp_path):
     falling = np.concatenate([np.full(30, 50.0), 50 - np.cumsum(np.linspace(0.2, 1.5, 20))])
     history = bars(spark, daily("A", falling), daily("B", falling))
     newest = history.orderBy(F.desc("ts")).limit(2)
-    params = ScanParams(signal_score=2)
-    found, _, touched = scan_step(history, newest, SessionParams(), params)  # midnight UTC is outside the session
-    assert touched.count() == 0 and found.count() == 0
-    anytime = SessionParams(pause_weekends_and_holidays=False)
-    found, hot, _ = scan_step(history, newest, anytime, params)
-    assert found.count() == 2 and hot.count() == 2
-    source = str(tmp_path / "in")
+    params, anytime = ScanParams(signal_score=2), SessionParams(pause_weekends_and_holidays=False)
+    both = spark.createDataFrame([("A",), ("B",)], "symbol string")
+    tails = lambda session: stored_tails(spark, str(tmp_path / "none"), both, as_bars(history, in_session(F.col("ts"), session)), params)
+    scored, touched = scan_step(tails(SessionParams()), SessionParams(), params)  # midnight UTC is outside the session
+    assert touched.count() == 0 and scored.count() == 0
+    scored, touched = scan_step(tails(SessionParams()), SessionParams(), params, at="2024-03-04 15:00:00")
+    assert touched.count() == 2 and scored.where("score >= 2").count() == 2
+    scored, touched = scan_step(tails(anytime), anytime, params)
+    assert touched.count() == 2 and scored.where("score >= 2").count() == 2
+    source, early, state, hot_list = (str(tmp_path / x) for x in ("in", "early", "state", "hot"))
     newest.coalesce(1).write.parquet(source)
+    history.join(newest, ["symbol", "ts"], "left_anti").coalesce(1).write.parquet(early)
+    scan_stream(spark.readStream.schema(HISTORY).parquet(early), str(tmp_path / "seen"), hot_list, state, anytime, params).awaitTermination()
+    only = both.where("symbol = 'B'")
+    write_version(both, hot_list, 1)
+    write_version(only, hot_list, 2)
     stream = spark.readStream.schema(HISTORY).parquet(source)
-    only = spark.createDataFrame([("B",)], "symbol string")
-    everyone = spark.createDataFrame([("A",), ("B",)], "symbol string")
-    past, hot_list = str(tmp_path / "past"), str(tmp_path / "hot")
-    write_version(history, past, 0)
-    write_version(everyone, hot_list, 0)
-    write_version(only, hot_list, 1)
-    hot_lane_stream(stream, past, hot_list, str(tmp_path / "out"), str(tmp_path / "ckpt"), anytime, params, every=None).awaitTermination()
+    hot_lane_stream(stream, state, hot_list, str(tmp_path / "out"), str(tmp_path / "ckpt"), anytime, params, every=None).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert [(r["symbol"], r.is_hot) for r in rows] == [("B", True)]
-    write_version(only.limit(0), hot_list, 2)
+    assert [(r["symbol"], r.is_hot) for r in rows] == [("B", True)] and rows[0].bar_ts == newest.first().ts
+    write_version(only.limit(0), hot_list, 3)
     assert read_newest(spark, hot_list, HOT).isEmpty() and read_newest(spark, str(tmp_path / "none"), HOT).isEmpty()
 
 
+def test_half_written_version_does_not_count(spark, tmp_path):
+    path, a = str(tmp_path / "hot"), spark.createDataFrame([("A",)], "symbol string")
+    write_version(a, path, 0)
+    write_version(a.union(a), path, 1)
+    (tmp_path / "hot" / "batch=1" / "_SUCCESS").unlink()  # as while its write goes on
+    assert read_newest(spark, path, HOT).count() == 1 and finished(spark, path) == [0]
+
+
 def test_gate_looks_at_scan_time_and_at_dates_of_daily_bars(spark):
     day = lambda d: spark.sql(f"select timestamp'{d}' as ts")
     monday, saturday = day("2024-03-04"), day("2024-03-02")
@@ -155,6 +173,9 @@ def test_bar_stream_over_several_files(spark, tmp_path):
     key = lambda df: sorted(tuple(r) for r in df.select("symbol", "ts", "open", "high", "low", "close", "volume").collect())
     have = [r for r in key(spark.read.parquet(out)) if r[1] < ticks["ts"].max() - pd.Timedelta(hours=2)]
     assert have == key(want)
+    # Together with the windows in the state, every window is there once.
+    whole = spark.read.parquet(out).select("symbol", "ts", "open", "high", "low", "close", "volume").unionByName(open_bars(spark, str(tmp_path / "ckpt")))
+    assert key(whole) == key(to_bars(spark.createDataFrame(ticks, kind)))
 
 
 PERF = PerformanceParams(benchmark="SPY")
@@ -166,8 +187,8 @@ def _checks(spark):
 
     b = bars(spark, at("SPY", *[(f"2024-01-{d:02d}", 100.0 + d) for d in range(1, 25)]),
              at("A", ("2024-01-01", 10.0), ("2024-01-02", 11.0), ("2024-01-04", 9.0)),
-             at("GONE", ("2024-01-01", 5.0)), at("LATE", ("2024-01-01", 5.0), ("2024-01-09 01:10:00", 6.0)))
-    a = spark.createDataFrame([(1, "A", "2024-01-01 00:00:00", "x"), (2, "GONE", "2024-01-05 12:00:00", "x"), (3, "A", "2024-01-05 00:00:00", "x"),
+             at("GONE", ("2023-12-28", 5.0)), at("LATE", ("2024-01-01", 5.0), ("2024-01-09 01:10:00", 6.0)))
+    a = spark.createDataFrame([(1, "A", "2024-01-01 00:00:00", "x"), (2, "GONE", "2024-01-04 12:00:00", "x"), (3, "A", "2024-01-05 00:00:00", "x"),
                                (4, "LATE", "2024-01-05 23:30:00", "x")],
                               "alert_id long, symbol string, alert_ts string, signature string").withColumn("alert_ts", F.to_timestamp("alert_ts"))
     return b, P.horizon_checks(P.track(a, b, PERF), PERF)
@@ -175,18 +196,18 @@ def _checks(spark):
 
 def test_checks_settle_give_up_or_wait(spark):
     b, checks = _checks(spark)
-    got = {(r.alert_id, r.horizon_h): r for r in P.settle(checks, b, "2024-01-06 13:00:00", PERF).collect()}
+    got = {(r.alert_id, r.horizon_h): r for r in P.settle(checks, b, "2024-01-05 13:00:00", PERF).collect()}
     assert (got[1, 24].status, got[1, 24].attempts) == ("settled", 0)
     assert got[1, 24].alpha == pytest.approx((11 / 10 - 1) - (102 / 101 - 1))
     assert got[1, 72].alpha == pytest.approx((9 / 10 - 1) - (104 / 101 - 1))
-    assert (got[2, 24].status, got[2, 24].attempts) == ("pending", 3)  # runs at 12:00, 12:30, 13:00
+    assert (got[2, 24].status, got[2, 24].attempts) == ("pending", 3)  # runs at 12:00, 12:30, 13:00; the price is of the sixth session back
     assert got[3, 72].status == "pending" and got[3, 72].attempts == 0
     later = {(r.alert_id, r.horizon_h): r for r in P.settle(checks, b, "2024-01-12 00:00:00", PERF).collect()}
     assert (later[2, 24].status, later[2, 24].attempts, later[2, 24].alpha) == ("gave_up", 8, None)
     # Due 23:30, price back at 01:10 of the next day: found at the fifth run.
     assert (later[4, 72].status, later[4, 72].attempts) == ("settled", 4)
     fold = {r.horizon_h: r.n for r in P.fold(P.settle(checks, b, "2024-01-12 00:00:00", PERF)).collect()}
-    assert fold == {24: 2, 72: 3}
+    assert fold == {24: 3, 72: 3}  # 2024-01-01 is a holiday, so its bar is of the session before, and five sessions old on Saturday the 6th
     text = P.report_text(P.settle(checks, b, "2024-01-06 13:00:00", PERF)).first().text
     assert text.count("\n") == 3
     assert P.compact_line(P.fold(P.settle(checks, b, "2024-01-12 00:00:00", PERF))).count() == 0
@@ -202,7 +223,12 @@ def test_horizon_stream_closes_what_the_batch_closes(spark, tmp_path, parts):
         horizon_stream(spark.readStream.schema(HISTORY).parquet(f"{source}/*"), checks, str(tmp_path / "history"), out,
                        str(tmp_path / "pending"), str(tmp_path / "ckpt"), PERF).awaitTermination()
     key = lambda df: sorted((r.alert_id, r.horizon_h, r.status, r.attempts, r.alpha) for r in df.collect())
-    assert key(spark.read.parquet(out)) == key(P.settle(checks, b, "2024-01-24 00:00:00", PERF).where("status <> 'pending'"))
+    closed = P.settle(checks, b, "2024-01-24 00:00:00", PERF)
+    assert key(spark.read.parquet(out)) == key(closed.where("status <> 'pending'"))
+    summary = lambda df: {r.horizon_h: (r.n, r.wins, round(r.sum_alpha, 9)) for r in df.collect()}
+    assert summary(spark.read.parquet(str(tmp_path / "pending-summary") + f"/batch={parts - 1}")) == summary(P.fold(closed))
+    if parts > 1:  # five sessions of prices are left, not the history
+        assert spark.read.parquet(str(tmp_path / "history") + f"/batch={parts - 1}").agg(F.min("ts")).first()[0] > pd.Timestamp("2024-01-16")
 
 
 def test_alert_keeps_the_price_it_was_sent_with(spark):

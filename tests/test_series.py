@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators import series as S
 from ebbtide.operators.indicators import indicator_series
-from ebbtide.operators.joins import asof, lookup, recent, restrict
+from ebbtide.operators.joins import boards, asof, lookup, recent, restrict
 from ebbtide.params import SeriesParams
 
 from .helpers import bars, daily, slow_pivots, slow_rsi, walk
@@ -115,12 +115,16 @@ def test_asof_and_recent_against_pandas(spark):
     rows = pd.DataFrame({"symbol": rng.choice(["HOT", "B", "NONE"], 300), "id": np.arange(300),
                          "at": pd.Timestamp("2023-12-25") + pd.to_timedelta(rng.integers(0, 4500, 300), unit="h")})
     r, f = spark.createDataFrame(rows), spark.createDataFrame(facts)
-    for days, got in ((None, asof(r, f, "value", "v", "at", part_rows=7)), (5, recent(r, f, "value", "v", "at", 5))):
+    closed = pd.to_datetime(["2023-12-25", "2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29", "2024-05-27", "2024-06-19", "2024-07-04"])
+    calendar = pd.date_range("2023-12-01", "2024-08-01")
+    session = pd.Series(((calendar.dayofweek < 5) & ~calendar.isin(closed)).cumsum(), index=calendar)
+    age = lambda at, ts: session[at.normalize()] - session[ts.normalize()]
+    for days, got in ((None, asof(r, f, "value", "v", "at", part_rows=7)), (5, recent(r, boards(f, "value", 5), "v", "at"))):
         want = {}
         for row in rows.itertuples():
             past = facts[(facts.symbol == row.symbol) & (facts.ts <= row.at)]
             if days:
-                past = past[past.ts > row.at - pd.Timedelta(days=days)]
+                past = past[[age(row.at, t) < days for t in past.ts]]
             want[row.id] = past.sort_values("ts")["value"].iloc[-1] if len(past) else None
         have = {x.id: x.v for x in got.collect()}
         assert have == want
@@ -133,3 +137,16 @@ def test_lookup_and_restrict_keep_every_row(spark):
     assert joined.count() == rows.join(small, "symbol").count()
     assert lookup(rows, small, ["symbol"], "id", "left").count() == 1000
     assert restrict(rows, small, "id").select("id").distinct().count() == joined.count()
+
+
+def test_carry_over_many_chunks_and_dense_keys(spark):
+    """One bar in most chunks, hundreds in others: more chunks than a run of composed maps has, and chunks cut finer."""
+    rng = np.random.default_rng(3)
+    n = 900
+    close = np.round(50 * np.exp(np.cumsum(rng.normal(0, 0.02, n))), 2)
+    days = np.concatenate([np.arange(300) * 3, 900 + np.arange(600) / 1000])
+    frame = pd.DataFrame({"symbol": "A", "ts": pd.Timestamp("2020-01-01") + pd.to_timedelta(days, unit="D"), "open": close, "high": close, "low": close, "close": close, "volume": 1.0})
+    df = bars(spark, frame)
+    got = S.with_positions(df, SeriesParams(chunk_days=3), rsi_period=14).toPandas().sort_values("pos")
+    assert got["rsi"].to_numpy()[14:] == pytest.approx(slow_rsi(close)[14:], rel=1e-9)
+    assert S.bounded_days(df, 1024, rows=100) < 1 and S.bounded_days(df, 1024, rows=1000) == 1024 and S.bounded_days(df.limit(0), 7) == 7
