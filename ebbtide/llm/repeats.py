@@ -41,37 +41,79 @@ GRAM = 8
 CORE = LENGTH - WINDOW + 1      # bytes from a sample on that all its strings hold
 BLOCK = 8                       # starts refined together
 PIECE = 1 << 20                 # starts of one text looked at at once
+BUNDLE = 1 << 17                # bytes of short texts looked at together
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.random.default_rng(17).integers(0, 2**64, CORE // GRAM + 1, dtype=np.uint64)
 
 
-def runs(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first start, starts, sample, name of its core) of every run: all starts of LENGTH bytes, in order."""
-    total = len(data) - LENGTH + 1
-    for low in range(0, max(0, total), PIECE):
-        high = min(total, low + PIECE)
-        raw = data[low:high + LENGTH - 1]
-        grams = np.empty(len(raw) - GRAM + 1, dtype=np.uint64)
-        for o in range(GRAM):
-            grams[o::GRAM] = np.frombuffer(raw, dtype="<u8", offset=o, count=(len(raw) - o) // GRAM)
-        least = (grams ^ (grams >> np.uint64(31))) * _ODD
-        least &= np.uint64(0xFFFFFFFF00000000)
-        least |= np.arange(len(grams), dtype=np.uint64)
-        size = 1
-        while size * 2 <= WINDOW:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        if size < WINDOW:
-            least = np.minimum(least[:size - WINDOW], least[WINDOW - size:])
-        sample = (least[:high - low] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, sample[1:] != sample[:-1]])
-        at = sample[first]
-        # The core in words of eight bytes, the last one overlapping.
-        core = np.zeros(len(at), dtype=np.uint64)
-        for k, offset in enumerate([*range(0, CORE - GRAM, GRAM), CORE - GRAM]):
-            core += mixed(grams[at + offset] + _SALT[k])
-        yield first + low, np.diff(np.r_[first, len(sample)]), at + low, mixed(core).view(np.int64)
+def _sampled(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed eight bytes at each position, and the sample of each start of LENGTH bytes."""
+    grams = np.empty(len(raw) - GRAM + 1, dtype=np.uint64)
+    for o in range(GRAM):
+        grams[o::GRAM] = np.frombuffer(raw, dtype="<u8", offset=o, count=(len(raw) - o) // GRAM)
+    least = (grams ^ (grams >> np.uint64(31))) * _ODD
+    least &= np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(len(grams), dtype=np.uint64)
+    size = 1
+    while size * 2 <= WINDOW:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if size < WINDOW:
+        least = np.minimum(least[:size - WINDOW], least[WINDOW - size:])
+    return grams, (least[:len(raw) - LENGTH + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _core_names(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the core in words of eight bytes, the last one overlapping."""
+    core = np.zeros(len(at), dtype=np.uint64)
+    for k, offset in enumerate([*range(0, CORE - GRAM, GRAM), CORE - GRAM]):
+        core += mixed(grams[at + offset] + _SALT[k])
+    return mixed(core).view(np.int64)
+
+
+def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, first start, starts, sample, name of its core) of every run: all starts of LENGTH bytes, in order.
+
+    Short texts are looked at in bundles; strings that would cross from one into
+    the next are no starts. A long text is looked at by pieces.
+    """
+    waiting: list[int] = []
+    size = 0
+    for i, data in enumerate(texts):
+        if len(data) < LENGTH:
+            continue
+        if len(data) >= BUNDLE:
+            for low in range(0, len(data) - LENGTH + 1, PIECE):
+                raw = data[low:low + PIECE + LENGTH - 1]
+                grams, sample = _sampled(raw)
+                first = np.flatnonzero(np.r_[True, sample[1:] != sample[:-1]])
+                at = sample[first]
+                yield np.full(len(first), i), first + low, np.diff(np.r_[first, len(sample)]), at + low, _core_names(grams, at)
+            continue
+        if size + len(data) > BUNDLE:
+            yield _bundled(texts, waiting)
+            waiting, size = [], 0
+        waiting.append(i)
+        size += len(data)
+    if waiting:
+        yield _bundled(texts, waiting)
+
+
+def _bundled(texts: list[bytes], numbers: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(texts[i]) for i in numbers])
+    offsets = np.cumsum(sizes) - sizes
+    grams, sample = _sampled(b"".join([texts[i] for i in numbers]))
+    edge = np.r_[True, sample[1:] != sample[:-1], True]
+    edge[offsets] = True
+    edge[offsets + sizes - LENGTH + 1] = True       # from here on strings would cross
+    bounds = np.flatnonzero(edge)
+    first, count = bounds[:-1], np.diff(bounds)
+    owner = np.searchsorted(offsets, first, side="right") - 1
+    good = first <= offsets[owner] + sizes[owner] - LENGTH
+    first, count, owner = first[good], count[good], owner[good]
+    at = sample[first]
+    return np.array(numbers)[owner], first - offsets[owner], count, at - offsets[owner], _core_names(grams, at)
 
 
 def name64(data: bytes) -> int:
@@ -86,13 +128,13 @@ def name128(data: bytes) -> tuple[int, int]:
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [core for text in batch.column("text") for *_, core in runs(text.as_py() or b"")]
+        found = [core for *_, core in runs([t or b"" for t in batch.column("text").to_pylist()])]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, dtype=np.int64))], names=["core"])
 
 
-def identities(seed: int, starts: np.ndarray) -> np.ndarray:
-    """A number for each start of a text, `seed` standing for the text's row."""
-    return mixed(np.uint64(seed & (2**64 - 1)) + starts.astype(np.uint64) * _ODD).view(np.int64)
+def identities(seeds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number for each start of a text, its seed standing for the text's row."""
+    return mixed(seeds + starts.astype(np.uint64) * _ODD).view(np.int64)
 
 
 def table_of(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -112,22 +154,23 @@ def _samples(sent):
         bitmap = sent.value
         for batch in batches:
             out: dict[str, list] = {k: [] for k in kinds}
-            for doc, key, seed, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("seed").to_pylist(), batch.column("text"), strict=True):
-                data = text.as_py() or b""
-                for first, count, _, core in runs(data):
-                    some = np.flatnonzero(in_bitmap(bitmap, core))
-                    if not len(some):
-                        continue
-                    first, count = first[some], count[some]
-                    names = [name128(data[a:e]) for a, e in zip(first.tolist(), (first + count + (LENGTH - 1)).tolist(), strict=True)]
-                    out["core"].append(core[some])
-                    out["c1"] += [x for x, _ in names]
-                    out["c2"] += [y for _, y in names]
-                    out["ident"].append(identities(seed, first))
-                    out["doc_id"] += [doc] * len(some)
-                    out["key"] += [key] * len(some)
-                    out["start"].append(first.astype(np.int32))
-                    out["starts"].append(count.astype(np.int32))
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            seeds = batch.column("seed").to_numpy().view(np.uint64)
+            docs, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_numpy()
+            for which, first, count, _, core in runs(texts):
+                some = np.flatnonzero(in_bitmap(bitmap, core))
+                if not len(some):
+                    continue
+                which, first, count = which[some], first[some], count[some]
+                names = [name128(texts[i][a:e]) for i, a, e in zip(which.tolist(), first.tolist(), (first + count + (LENGTH - 1)).tolist(), strict=True)]
+                out["core"].append(core[some])
+                out["c1"] += [x for x, _ in names]
+                out["c2"] += [y for _, y in names]
+                out["ident"].append(identities(seeds[which], first))
+                out["doc_id"] += [docs[i] for i in which.tolist()]
+                out["key"].append(keys[which])
+                out["start"].append(first.astype(np.int32))
+                out["starts"].append(count.astype(np.int32))
             yield table_of(out, kinds)
     return run
 
@@ -140,17 +183,17 @@ def _bytes(sent):
         bitmap = sent.value
         for batch in batches:
             out: dict[str, list] = {k: [] for k in kinds}
-            for seed, text in zip(batch.column("seed").to_pylist(), batch.column("text"), strict=True):
-                data = text.as_py() or b""
-                for first, count, sample, _ in runs(data):
-                    ident = identities(seed, first)
-                    some = np.flatnonzero(in_bitmap(bitmap, ident))
-                    if len(some):
-                        a, n = first[some], count[some]
-                        out["ident"].append(ident[some])
-                        out["back"].append((sample[some] - a).astype(np.int32))
-                        out["starts"].append(n.astype(np.int32))
-                        out["body"] += [data[x:y] for x, y in zip(a.tolist(), (a + n + (LENGTH - 1)).tolist(), strict=True)]
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            seeds = batch.column("seed").to_numpy().view(np.uint64)
+            for which, first, count, sample, _ in runs(texts):
+                ident = identities(seeds[which], first)
+                some = np.flatnonzero(in_bitmap(bitmap, ident))
+                if len(some):
+                    w, a, n = which[some], first[some], count[some]
+                    out["ident"].append(ident[some])
+                    out["back"].append((sample[some] - a).astype(np.int32))
+                    out["starts"].append(n.astype(np.int32))
+                    out["body"] += [texts[i][x:y] for i, x, y in zip(w.tolist(), a.tolist(), (a + n + (LENGTH - 1)).tolist(), strict=True)]
             yield table_of(out, kinds)
     return run
 
@@ -253,7 +296,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     whole_run = F.array(F.struct(F.lit(0).alias("low"), (F.col("starts") - 1).alias("high")))
     found = samples.select("c1", "c2", "doc_id", "key", "start", "starts").join(known, ["c1", "c2"]).select("doc_id", "key", F.transform(
         F.coalesce("spans", whole_run), lambda s: F.struct((F.col("start") + s["low"]).alias("low"), (F.col("start") + s["high"] + LENGTH).alias("high"))).alias("spans"))
-    lists = written(spark, found.groupBy(F.col("doc_id").alias("in_doc"), F.col("key").alias("in_key")).agg(F.flatten(F.collect_list("spans")).alias("found")), "found")
+    # As a set: a row delivered many times has its spans once.
+    lists = written(spark, found.groupBy(F.col("doc_id").alias("in_doc"), F.col("key").alias("in_key")).agg(F.flatten(F.collect_set("spans")).alias("found")), "found")
     match = F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("key") == F.col("in_key"))
     joined = keyed.join(lists, match, "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
