@@ -8,8 +8,10 @@ so that such a window is missed with a probability of at most MISS. What the
 bands retrieve is verified by exact containment: the share of the template's
 five-word shingles that the window has.
 
-Only windows with a telling word are hashed. The telling words are chosen so
-that a window that lacks them lacks too much of every template to match.
+Only windows with a telling word are hashed. Templates of about one length have
+telling words of their own, chosen so that a window that lacks them lacks too much
+of each of these templates to match. Texts without any of them are left out before
+their words are hashed. Templates of one shingle are their own only band.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from .base import ascii_lower, text_key, written
 N = 5
 CONTAINMENT = 0.8
 MISS = 1e-4
-BROADCAST_ROWS = 50_000  # template bands that are broadcast; more are joined by a shuffle
+
+BROADCAST_NUMBERS = 1 << 20  # hashes of templates that are broadcast, 8 MB; more are joined by a shuffle
 
 NEAR_LENGTHS = 1.5  # templates whose lengths differ by less are looked for in the same windows
 
@@ -79,11 +82,10 @@ def stride(length: int) -> int:
     return max(1, length // 4)
 
 
-def least_similarity(shortest: int, longest: int, containment: float) -> float:
-    """Jaccard of a template with a whole window around it that holds just enough of it."""
-    k = min(N, shortest)
-    own, window = shortest - k + 1, longest + stride(shortest) - k
-    return containment * own / (window + (1 - containment) * own)
+def least_similarity(shingles: list[int], window: int, containment: float) -> float:
+    """Smallest Jaccard of one of the templates with a window of so many shingles that holds just enough of it."""
+    need = [math.ceil(containment * own - 1e-9) for own in shingles]
+    return min(n / (window + own - n) for n, own in zip(need, shingles, strict=True))
 
 
 def by_near_length(items: list[tuple[str, list[str]]]) -> list[list[tuple[str, list[str]]]]:
@@ -110,8 +112,9 @@ def band_keys(grams: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform(grams, lambda g: F.xxhash64(b, g))))
 
 
-def bands_for(shortest: int, longest: int, containment: float, miss: float) -> int:
-    return max(2, math.ceil(math.log(miss) / math.log(1 - min(0.999, least_similarity(shortest, longest, containment)))))
+def bands_for(similarity: float, miss: float) -> int:
+    """Bands of one row, so that a window of this similarity is missed with a probability of at most `miss`."""
+    return 1 if similarity >= 1 else max(2, math.ceil(math.log(miss) / math.log(1 - similarity)))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text",
@@ -122,7 +125,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | DataFrame | Non
     equal ones; a window may hold more than one template. Null, empty and
     unmatched texts have an empty list, as all texts have if there are no
     templates. Templates without words match nothing. Repeated rows are each
-    returned. Other columns are not read. A DataFrame of templates has the columns
+    returned, each with the same list. Other columns are not read. `end` is at most the
+    number of words. A DataFrame of templates has the columns
     template and text, and may have a template in several wordings.
     """
     spark = docs.sparkSession
@@ -137,36 +141,51 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | DataFrame | Non
     if not by_length:
         return rows.withColumn("matches", empty)
 
-    telling = telling_words([w for group in by_length for _, w in group], containment)
+    telling = [telling_words([w for _, w in group], containment) for group in by_length]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hint = "(?<![a-zA-Z0-9])(?i:" + "|".join(sorted(map(re.escape, telling))) + ")(?![a-zA-Z0-9])"
+    hint = "(?<![a-zA-Z0-9])(?i:" + "|".join(sorted(map(re.escape, {w for words in telling for w in words}))) + ")(?![a-zA-Z0-9])"
     some = docs.where(text.rlike(hint)).select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(F.col(text_col)).alias("key"),
                                                F.filter(F.split(ascii_lower(text), SPLIT), lambda w: w != "").alias("words"))
-    some = written(spark, some.withColumn("tells", F.transform("words", lambda w: w.isin(telling))), "license-words")
+    some = written(spark, some, "license-words")
 
-    found = None
-    for group in by_length:
+    known = None
+    found, sizes = [], []
+    for number, (group, tells) in enumerate(zip(by_length, telling, strict=True)):
         low, high = len(group[0][1]), len(group[-1][1])
-        k, size, step, bands = min(N, low), high + stride(low) - 1, stride(low), bands_for(low, high, containment, miss)
+        k, step = min(N, low), stride(low)
+        size = high + step - 1
+        shingles = [len({tuple(w[i:i + k]) for i in range(len(w) - k + 1)}) for _, w in group]
+        bands = bands_for(least_similarity(shingles, size - k + 1, containment), miss)
         # Fewer shingles than that cannot be enough of any template of the group.
-        least = math.ceil(containment * min(len({tuple(w[i:i + k]) for i in range(len(w) - k + 1)}) for _, w in group) - 1e-9)
+        least = math.ceil(containment * min(shingles) - 1e-9)
+        told = F.array(*map(F.lit, tells))
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - k), F.lit(step))
-        windows = some.where(F.size("words") - (k - 1) >= least).withColumn("grams", shingle_hashes(F.col("words"), k)).select("doc_id", "key", "grams", "tells", F.explode(starts).alias("start"))
-        windows = windows.where(F.exists(F.slice("tells", F.col("start") + 1, size), lambda t: t)).select(
-            "doc_id", "key", "start", F.slice("grams", F.col("start") + 1, size - k + 1).alias("grams")).where(F.size("grams") >= least)
-        windows = windows.select("doc_id", "key", "start", "grams", F.posexplode(band_keys(F.col("grams"), bands)).alias("band", "hash"))
-        known = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("template"), F.lit(" ".join(w)).alias("words")) for n, w in group))).alias("t"))
-        known = known.select("t.template", shingle_hashes(F.split("t.words", " "), k).alias("wanted"))
-        known = known.withColumn("wanted", F.array_distinct("wanted"))
-        known = known.select("template", "wanted", F.posexplode(band_keys(F.col("wanted"), bands)).alias("band", "hash"))
-        if len(group) * bands <= BROADCAST_ROWS:
-            known = F.broadcast(known)
-        share = F.size(F.array_intersect("wanted", "grams")) / F.size("wanted")
-        hits = windows.join(known, ["band", "hash"]).withColumn("share", share).where(F.col("share") >= containment)
-        hits = hits.select("doc_id", "key", "template", "share", "start", F.lit(size).alias("size"))
-        found = hits if found is None else found.unionByName(hits)
-    best = found.groupBy("doc_id", "key", "template").agg(F.max(F.struct("share", (-F.col("start")).alias("back"), "size")).alias("b"))
+        own = some.where((F.size("words") - (k - 1) >= least) & F.arrays_overlap("words", told))
+        # Below the generator, so that a text is hashed once and not for each of its windows.
+        hashed = own.withColumns({"grams": shingle_hashes(F.col("words"), k), "tells": F.transform("words", lambda w: w.isin(tells)), "starts": starts})
+        windows = hashed.select("doc_id", "key", "grams", "tells", F.explode("starts").alias("start"))
+        windows = windows.where(F.exists(F.slice("tells", F.col("start") + 1, size), lambda t: t))
+        windows = windows.select("doc_id", "key", "start", F.slice("grams", F.col("start") + 1, size - k + 1).alias("grams")).where(F.size("grams") >= least)
+        keys = F.transform("grams", lambda g: F.xxhash64(F.lit(0), g)) if size == k else band_keys(F.col("grams"), bands)
+        banded = windows.select("doc_id", "key", "start", "grams", F.lit(size).alias("size"), F.posexplode(keys).alias("band", "hash"))
+        found.append(banded)
+        sizes.append((sum(shingles) + 2 * bands * len(group), bands))
+        rows_of = spark.createDataFrame([(number, n, w) for n, w in group], "group int, template string, words array<string>").repartition(len(group))
+        wanted = rows_of.select("group", "template", F.array_distinct(shingle_hashes(F.col("words"), k)).alias("wanted"))
+        known = wanted if known is None else known.unionByName(wanted)
+    known = written(spark, known, "license-templates")
+    share = F.size(F.array_intersect("wanted", "grams")) / F.size("wanted")
+    hits = None
+    for number, banded in enumerate(found):
+        own = known.where(F.col("group") == number)
+        keys, wanted = own.select("template", F.posexplode(band_keys(F.col("wanted"), sizes[number][1])).alias("band", "hash")), own.select("template", "wanted")
+        if sizes[number][0] <= BROADCAST_NUMBERS:
+            keys, wanted = F.broadcast(keys), F.broadcast(wanted)
+        met = banded.join(keys, ["band", "hash"]).join(wanted, "template").withColumn("share", share).where(F.col("share") >= containment)
+        met = met.select("doc_id", "key", "template", "share", "start", (F.col("start") + F.least("size", F.size("grams") + min(N, len(by_length[number][0][1])) - 1)).alias("end"))
+        hits = met if hits is None else hits.unionByName(met)
+    best = hits.groupBy("doc_id", "key", "template").agg(F.max(F.struct("share", (-F.col("start")).alias("back"), "end")).alias("b"))
     lists = best.groupBy(F.col("doc_id").alias("in_doc"), F.col("key").alias("in_key")).agg(F.array_sort(F.collect_list(F.struct(
-        "template", F.round("b.share", 6).alias("containment"), (-F.col("b.back")).alias("start"), (F.col("b.size") - F.col("b.back")).alias("end")))).alias("matches"))
+        "template", F.round("b.share", 6).alias("containment"), (-F.col("b.back")).alias("start"), F.col("b.end").alias("end")))).alias("matches"))
     match = F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("key") == F.col("in_key"))
     return rows.join(written(spark, lists, "license-matches"), match, "left").select("doc_id", "key", F.coalesce("matches", empty).alias("matches"))
