@@ -33,7 +33,7 @@ VERBATIM = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div td body".split())
 BOILER = frozenset("nav form menu dialog".split()) | RAW
-UNSURE = frozenset("aside footer header".split())      # left out, but inside the article only if low in text or mostly links
+UNSURE = frozenset("aside footer header".split())      # left out, but inside the article an aside or header only if low in text or mostly links
 NEARLY_ALL = 0.9
 WHOLE_PAGE = frozenset(("", "body"))
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
@@ -48,6 +48,14 @@ ad-wrapper main-nav site-nav top-nav main-menu nav-menu nav-bar site-header page
 cookie-banner cookie-notice cookie-consent consent-banner newsletter-signup share-buttons social-share social-links related-posts related-articles
 comment-list comment-section comments-area promo-box search-form search-box""".split())
 NUMBER = re.compile(r"[-_]?\d+$")
+#: Of those, and with more words around, names that no part of an article has: they go at any length, by class or id, wherever they are.
+NEVER = frozenset("""ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promoted nav navbar navigation breadcrumb
+breadcrumbs sidebar footer cookie cookies consent gdpr newsletter signup share sharing comments disqus ad-container ad-slot ad-banner ad-box ad-wrapper main-nav site-nav
+top-nav main-menu nav-menu nav-bar site-footer page-footer left-sidebar right-sidebar sidebar-left sidebar-right cookie-banner cookie-notice cookie-consent consent-banner
+newsletter-signup share-buttons social-share social-links comment-list comment-section comments-area promo-box search-form search-box""".split())
+NEVER_BY_CLASS = NEVER | frozenset("notice comment replies reactions subscribe toolbar pagination pager social login menu search".split())
+COMMENTS = re.compile(r"(?!(?:with|has|no|without|show|hide|see|view)[-_])(?:[a-z]+[-_])?comments(?:[-_](?:list|area|section|wrapper|container|box|thread|block))?"
+                      r"|comment[-_](?:list|area|section|wrapper|container|box|thread|block|form)|(?:[a-z]+[-_])?newsletter(?:[-_](?:signup|box|form|block|wrapper|container))?")
 NAMED = frozenset("div section aside ul ol dl table tbody tr td header footer center fieldset details figure".split())
 LOW_TEXT = 140          # characters that a part inside the article has at least, with links in less than half of its text
 ROLES = frozenset("search dialog form menu navigation".split())
@@ -63,7 +71,7 @@ class Node:
         self.box = self if parent is None or tag in CONTAINERS else parent.box      # the container that it is or is in
         self.block = self if parent is None or tag in BLOCKS else parent.block
         self.unsure = parent.unsure if parent else None     # the outermost element around that is left out if it is not article text
-        self.mark = 0       # 1 if its id, 2 if its tag, role or class says so
+        self.mark = 0       # 1 if its id, 2 if its tag, role or class says so, 3 if it is never article text
 
 
 def parsed(page: str) -> tuple[list[Node], list[tuple[Node, list[str], bool]]]:
@@ -135,9 +143,10 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[Node, list[str], bool]]]:
             label = re.sub(r"\d+", "#", ".".join(sorted(classes.lower().split())))
             path += "/" + tag + ("." + label if label else "")
         node = Node(tag, path, parent.out or left, parent.link or tag == "a", parent, len(nodes))
-        node.mark = 2 if by_class else 1 if tag in NAMED and named(ids) else 0
-        if node.unsure is None and node.mark:
-            node.unsure = node
+        never = (tag == "footer" or role == "contentinfo" or tag in NAMED and (named(classes, NEVER_BY_CLASS) or named(ids, NEVER) or
+                 any(COMMENTS.fullmatch(x) for x in f"{classes} {ids}".lower().split())))
+        node.mark = 3 if never else 2 if by_class else 1 if tag in NAMED and named(ids) else 0
+        node.unsure = part_of(node)
         nodes.append(node)
         if tag in VERBATIM:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -146,8 +155,14 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[Node, list[str], bool]]]:
         stack.append(node)
 
 
-def named(names: str) -> bool:
-    return any(NUMBER.sub("", x) in LEFT_OUT for x in names.lower().split())
+def named(names: str, known: frozenset[str] = LEFT_OUT) -> bool:
+    return any(NUMBER.sub("", x) in known for x in names.lower().split())
+
+
+def part_of(node: Node) -> Node | None:
+    """The outermost part around an element that is left out if it is not article text; one that is never article text goes first."""
+    up = node.parent.unsure
+    return node if node.mark == 3 and (up is None or up.mark != 3) or node.mark and up is None else up
 
 
 def inside(node: Node | None) -> bool:
@@ -171,7 +186,7 @@ class Page:
         if len(texts) == 1 and texts[0].unsure is not None:     # a telling name around the only article does not count
             for node, within in zip(self.nodes, self.within(texts), strict=True):
                 if within:
-                    node.unsure = None if node is texts[0] else node.parent.unsure or (node if node.mark else None)
+                    node.unsure = None if node is texts[0] else part_of(node)
         everything = [(holder, text, linked) for holder, pieces, linked in blocks if (text := clean(pieces))]
         self.blocks = [b for b in everything if b[0].unsure is None]
         self.unsure = len(self.blocks) < len(everything)
@@ -207,6 +222,8 @@ class Page:
             if part is None:
                 return True
             own = text.get(part.at, 0)
+            if part.mark == 3:
+                return False
             return region[part.parent.at] and (part.mark == 1 or own >= LOW_TEXT and own > links.get(part.at, 0))
         return [b for b in self.everything if kept(b[0].unsure)]
 
@@ -278,10 +295,6 @@ class Page:
         return chosen
 
 
-def clean(pieces: list[str]) -> str:
-    return SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-
-
 def votes(page: str) -> dict[str, float]:
     """The page's one vote; half of one for the whole body."""
     chosen = Page(page).article()
@@ -344,8 +357,9 @@ def main_texts(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     Null or empty pages give an empty text; pages without a host vote together
     under the empty name; repeated pages each vote and each get their row. An
     empty table gives no rows. Left-out parts are scripts, forms, navigation and parts of
-    a telling class or id outside the article; inside it a part goes only if it is
-    low in text or mostly links.
+    a telling class or id outside the article; inside it comments, adverts, navigation,
+    newsletters, notices, share boxes, sidebars and footers go at any length, and an
+    aside, header or related part only if it is low in text or mostly links.
     """
     paths = written(pages.sparkSession, consensus_paths(pages, url_col, html_col), "host-paths")
     rows = pages.select(F.struct("*").alias("row"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))

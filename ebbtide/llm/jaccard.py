@@ -213,12 +213,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group, and rows without words; same columns.
+    """One row of each group, the one with the smallest id, and rows without words; same columns.
 
-    Of rows equal in id and text all stay or go together.
+    Of rows of one group that share this id the one with the smallest hash of its text
+    stays. Rows equal in all columns are one row, whether they have words or not;
+    rows equal in id and text that differ elsewhere stay or go together.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where("group_size > 1 and not (doc_id <=> group_id)").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    found = written(docs.sparkSession, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    heads = found.where("group_size > 1 and doc_id <=> group_id").groupBy("group_id").agg(F.min("key").alias("head_key"))
+    here = found.where("group_size > 1").join(heads.withColumnRenamed("group_id", "head_id"), F.col("group_id").eqNullSafe(F.col("head_id")))
+    gone = here.where("not (doc_id <=> group_id) or key != head_key").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"))
     match = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key"))
-    return rows.join(gone, match, "left_anti").select("row.*")
+    kept = rows.join(gone, match, "left_anti")
+    # Only keys that are there more than once are compared in full; the others pass with their hash alone.
+    again = kept.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("key").alias("again_key"))
+    again = written(docs.sparkSession, again, "repeated-rows")
+    if again.isEmpty():
+        return kept.select("row.*")
+    twice = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("key") == F.col("again_key"))
+    once = kept.join(again, twice, "left_anti").select("row.*")
+    return once.unionByName(kept.join(again, twice, "left_semi").select("row.*").dropDuplicates())

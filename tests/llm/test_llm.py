@@ -231,10 +231,14 @@ LONG = "Words that belong to the text of the article and to nothing else. " * 4
 PARTS = [  # inside the article: kept?
     ("<h2 id='side-effects'>Side effects</h2>", True), ("<h2 id='search-methods'>Methods</h2>", True), ("<p class='notice-period'>Notice</p>", True),
     ("<h2 class='related'>Related</h2>", True), ("<h2 id='navier-stokes'>Flow</h2>", True), ("<div id='promotion-rules'>Rules</div>", True),
-    (f"<section id='related-work'><p>{LONG}</p></section>", True), ("<section id='comments'><p>Few</p></section>", True), ("<p>so <math><mi>x</mi><mo>=</mo></math></p>", True),
+    (f"<section id='related-work'><p>{LONG}</p></section>", True), ("<section id='comments'><p>Few</p></section>", False), ("<p>so <math><mi>x</mi><mo>=</mo></math></p>", True),
     ("<object data=x><p>Fallback</p></object>", True), ("<canvas>Fallback</canvas>", True), (f"<aside><p>{LONG}</p></aside>", True), ("<aside>Read on</aside>", False),
-    (f"<div class='notice'>{LONG}</div>", True), ("<div class='related'><a href=1>" + LONG + "</a></div>", False), ("<div class='share'>Share</div>", False),
-    ("<div class='ad-12'>Buy</div>", False), ("<nav>Parts</nav>", False), ("<p>is <code><span class='comment'># note</span></code></p>", True)]
+    (f"<div class='notice'>{LONG}</div>", False), ("<div class='related'><a href=1>" + LONG + "</a></div>", False), ("<div class='share'>Share</div>", False),
+    ("<div class='ad-12'>Buy</div>", False), ("<nav>Parts</nav>", False), *((part.format(LONG), False) for part in (
+        "<div class='comments'>{}</div>", "<section id='comments'><p>{}</p></section>", "<ol class='comment-list'><li>{}</li></ol>", "<div class='newsletter'>{}</div>",
+        "<aside class='sidebar'><p>{}</p></aside>", "<div class='advert'>{}</div>", "<footer>{}</footer>", "<div class='user-comments'><p>{}</p></div>", "<div id='sidebar'>{}</div>",
+        "<aside><div class='reader-comments'>{}</div></aside>")), (f"<div class='with-comments'><p>{LONG}</p></div>", True),
+    (f"<section id='search'><p>{LONG}</p></section>", True), ("<p>is <code><span class='comment'># note</span></code></p>", True)]
 
 
 @pytest.mark.parametrize("part,kept", PARTS)
