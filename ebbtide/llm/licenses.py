@@ -79,11 +79,10 @@ def stride(length: int) -> int:
     return max(1, length // 4)
 
 
-def least_similarity(shortest: int, longest: int, containment: float) -> float:
-    """Jaccard of a template with a whole window around it that holds just enough of it."""
-    k = min(N, shortest)
-    own, window = shortest - k + 1, longest + stride(shortest) - k
-    return containment * own / (window + (1 - containment) * own)
+def least_similarity(shingles: list[int], window: int, containment: float) -> float:
+    """Smallest Jaccard of one of the templates with a window of so many shingles that holds just enough of it."""
+    need = [math.ceil(containment * own - 1e-9) for own in shingles]
+    return min(n / (window + own - n) for n, own in zip(need, shingles, strict=True))
 
 
 def by_near_length(items: list[tuple[str, list[str]]]) -> list[list[tuple[str, list[str]]]]:
@@ -110,8 +109,9 @@ def band_keys(grams: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform(grams, lambda g: F.xxhash64(b, g))))
 
 
-def bands_for(shortest: int, longest: int, containment: float, miss: float) -> int:
-    return max(2, math.ceil(math.log(miss) / math.log(1 - min(0.999, least_similarity(shortest, longest, containment)))))
+def bands_for(similarity: float, miss: float) -> int:
+    """Bands of one row, so that a window of this similarity is missed with a probability of at most `miss`; one where only equality matches."""
+    return 1 if similarity >= 1 else max(2, math.ceil(math.log(miss) / math.log(1 - similarity)))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text",
@@ -147,9 +147,11 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | DataFrame | Non
     found = None
     for group in by_length:
         low, high = len(group[0][1]), len(group[-1][1])
-        k, size, step, bands = min(N, low), high + stride(low) - 1, stride(low), bands_for(low, high, containment, miss)
+        k, size, step = min(N, low), high + stride(low) - 1, stride(low)
+        shingles = [len({tuple(w[i:i + k]) for i in range(len(w) - k + 1)}) for _, w in group]
+        bands = bands_for(least_similarity(shingles, size - k + 1, containment), miss)
         # Fewer shingles than that cannot be enough of any template of the group.
-        least = math.ceil(containment * min(len({tuple(w[i:i + k]) for i in range(len(w) - k + 1)}) for _, w in group) - 1e-9)
+        least = math.ceil(containment * min(shingles) - 1e-9)
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - k), F.lit(step))
         windows = some.where(F.size("words") - (k - 1) >= least).withColumn("grams", shingle_hashes(F.col("words"), k)).select("doc_id", "key", "grams", "tells", F.explode(starts).alias("start"))
         windows = windows.where(F.exists(F.slice("tells", F.col("start") + 1, size), lambda t: t)).select(
