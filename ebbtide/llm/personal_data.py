@@ -1,15 +1,23 @@
 """Personal data by fixed formats, extended by bootstrapped contexts; DataFrame functions only.
 
 Base entities are the matches of four formats. They are the seeds. The words
-right before and after a seed are lexical patterns; other tokens with a digit or
-an @ in the same contexts are instances that may be identifiers of an unknown
-format. Pattern and instance scores depend on each other and are computed in
-turns over the graph of both: a pattern is as good as the share of all its
-occurrences in the corpus, ordinary words included, that are seeds or scored
-instances; an instance is as good as its patterns together. Patterns over the
-threshold, met with enough different seeds, yield the added spans.
-
-Texts are never shuffled: each row becomes spans and tokens with their context.
+around them are lexical patterns: one or two words before, one after. Other tokens
+with a digit or an @ are candidates, taken together by shape (alphabet and length).
+Patterns and shapes are the two sides of a graph that is scored in rounds:
+
+* A pattern is trusted as far as the different candidates met in it are seeds or
+  of accepted shapes. It needs several of these, so one name alone teaches nothing.
+* A shape is accepted when the patterns before or after its candidates are trusted
+  on average. From the next round on its candidates are instances as seeds are, so
+  the patterns that they alone occur in are induced too, and lead to further shapes.
+
+Only shapes of identifiers can be accepted: of several signs, and nearly as many
+different bodies as different surroundings. Years, prices and versions recur in
+ever new surroundings and fail this. What looks like a base format but fails its
+check (a card number's last digit) counts against a pattern and is never accepted.
+Candidates of accepted shapes in a trusted pattern are the added spans.
+
+Texts are never shuffled: each row becomes spans with their context.
 """
 
 from __future__ import annotations
@@ -20,10 +28,12 @@ from pyspark.sql import functions as F
 from .base import text_key, written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-LEAST_SEEDS = 5       # different seed instances that a pattern needs
-PATTERN_SCORE = 0.6   # share of a pattern's occurrences from which it is trusted
-INSTANCE_SCORE = 0.8
+ROUNDS = 4
+LEAST_INSTANCES = 3   # different known instances that a pattern needs, and bodies that a shape needs
+PATTERN_SCORE = 0.5   # share of the candidates in a pattern that must be known
+SHAPE_SCORE = 0.5     # mean trust of the patterns on one side of a shape's candidates, of those met with as many candidates
+LEAST_SIGNS = 8       # letters and digits of an identifier
+UNLIKE = 0.5          # different bodies of an identifier's shape to its different surroundings
 
 #: The formats, with possessive quantifiers and run starts so that no text takes
 #: more than linear time or deep recursion. \\G lets a match start where one ended.
@@ -35,9 +45,12 @@ FORMATS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Signs that part tokens and words as blanks do.
+APART = "\t\n\x0b\f\r\"'`=<>(){}[],;|"
+_IN = r"[^\s\"'`=<>(){}\[\],;|]"
+TOKEN = rf"(?<!{_IN})(?:(?![0-9@]){_IN})*+[0-9@]{_IN}*+"
 
-SPAN = "array<struct<start:int,end:int,body:string,left:string,right:string>>"
+SPAN = "array<struct<start:int,end:int,body:string,left:string,left2:string,right:string>>"
 
 
 def found(text: Column, pattern: str, hint: str) -> Column:
@@ -48,20 +61,36 @@ def found(text: Column, pattern: str, hint: str) -> Column:
     def add(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["body"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["body"].alias("body"), word_at_end(x["gap"]).alias("left"), word_at_start(x["after"]).alias("right"))
+        before = blanks(x["gap"])
+        left = last_word(before)
+        left2 = last_word(F.substring(F.rtrim(before), F.lit(1), F.length(F.rtrim(before)) - F.length(left)))
+        right = F.substring_index(F.ltrim(blanks(x["after"])), " ", 1)
+        span = F.struct(start.alias("start"), end.alias("end"), x["body"].alias("body"), name_of(left).alias("left"),
+                        name_of(F.when((left != "") & (left2 != ""), F.concat_ws(" ", left2, left)).otherwise("")).alias("left2"), name_of(right).alias("right"))
         return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
 
     spans = F.aggregate(step, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), add, lambda s: s["out"])
     return F.when(text.rlike(hint), spans).otherwise(F.array().cast(SPAN))
 
 
-def word_at_end(gap: Column) -> Column:
-    """The last word before a match, lowered, from at most 64 characters: longer ones are no pattern."""
-    return F.lower(F.regexp_extract(F.substring(gap, -64, 64), r"(?:^|\s)(\S{1,48})\s+$", 1))
+def blanks(gap: Column) -> Column:
+    return F.translate(gap, APART, " " * len(APART))
 
 
-def word_at_start(gap: Column) -> Column:
-    return F.lower(F.regexp_extract(F.substring(gap, 1, 64), r"^\s+(\S{1,48})(?:\s|$)", 1))
+def last_word(gap: Column) -> Column:
+    return F.substring_index(F.rtrim(gap), " ", -1)
+
+
+def name_of(words: Column) -> Column:
+    """Lowered; long ones by their digest."""
+    return F.when(F.length(words) <= 64, F.lower(words)).otherwise(F.sha2(F.lower(words), 256))
+
+
+def shape_of(body: Column) -> Column:
+    """Digits only, letters and digits, or these between other signs; and the length."""
+    low = F.lower(body)
+    kind = F.when(low.rlike("^[0-9]++$"), "0").otherwise(F.regexp_replace(low, "[a-z0-9]++", "a"))
+    return F.concat_ws(":", name_of(kind), F.length(body).cast("string"))
 
 
 def digits(body: Column) -> Column:
@@ -84,10 +113,20 @@ def holds(kind: str, body: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.lit(True)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    def of(kind: str) -> Column:
-        return F.filter(found(text, FORMATS[kind], HINTS[kind]), lambda s: holds(kind, s["body"]))
-    return {kind: of(kind) for kind in KINDS}
+def checked(kind: str, text: Column) -> Column:
+    """All matches of a format, with `ok` where they pass its check."""
+    return F.transform(found(text, FORMATS[kind], HINTS[kind]), lambda s: s.withField("ok", holds(kind, s["body"])))
+
+
+def tokens(text: Column) -> Column:
+    """Candidates without the signs around them, with their shape."""
+    def bare(s: Column) -> Column:
+        tail = F.regexp_replace(s["body"], r"^[^\p{L}\p{N}@]++", "")
+        core = F.regexp_replace(tail, r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+        start = s["start"] + F.length(s["body"]) - F.length(tail)
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), F.xxhash64(F.lower(core)).alias("body"), shape_of(core).alias("shape"),
+                        F.length(F.regexp_replace(core, r"[^\p{L}\p{N}]++", "")).alias("signs"), s["left"].alias("left"), s["left2"].alias("left2"), s["right"].alias("right"))
+    return F.transform(found(text, TOKEN, "[0-9@]"), bare)
 
 
 def listed(*parts: tuple[str, str]) -> Column:
@@ -97,54 +136,76 @@ def listed(*parts: tuple[str, str]) -> Column:
     return F.array_join(F.concat(*(of(*p) for p in parts)), ",")
 
 
-def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS,
-                  pattern_score: float = PATTERN_SCORE, instance_score: float = INSTANCE_SCORE) -> DataFrame:
+SIDES = {"left": "<", "left2": "<<", "right": ">"}
+
+
+def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, least_instances: int = LEAST_INSTANCES,
+                  pattern_score: float = PATTERN_SCORE, shape_score: float = SHAPE_SCORE) -> DataFrame:
     """doc_id, key and arrays email, ip, card, phone, context of spans for every row.
 
     Null texts count as empty, empty ones have no spans. `context` holds what
     the patterns added; base spans always stay, and an added span overlaps none.
-    Repeated rows are each returned with the same spans, and are one seed or
-    instance. Other columns are not read. An empty table gives no rows.
+    Repeated rows are each returned with the same spans, and count once as evidence,
+    as all copies of a candidate in the same words do. Other columns are not read.
+    An empty table gives no rows.
     """
+    rows, known, _ = bootstrapped(docs, id_col, text_col, rounds, least_instances, pattern_score, shape_score)
+    lists = known.groupBy(F.col("doc_id").alias("in_doc"), F.col("key").alias("in_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context"))
+    match = F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("key") == F.col("in_key"))
+    out = rows.join(written(docs.sparkSession, lists, "personal-added"), match, "left")
+    return out.select("doc_id", "key", *KINDS, F.coalesce("context", F.array().cast("array<struct<start:int,end:int>>")).alias("context"))
+
+
+def bootstrapped(docs: DataFrame, id_col: str, text_col: str, rounds: int, least_instances: int, pattern_score: float, shape_score: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their base spans; the added spans with their shape; the scores of shapes."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = base_spans(text)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text).alias("key"), *(c.alias(k) for k, c in spans.items()), found(text, TOKEN, "[0-9@]").alias("token"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text).alias("key"), *(checked(k, text).alias(f"all_{k}") for k in KINDS), tokens(text).alias("token"))
     rows = written(spark, rows, "personal-spans")
-
-    def contexts(column: str, seed: bool) -> DataFrame:
-        return rows.select("doc_id", "key", F.explode(column).alias("s")).select("doc_id", "key", "s.start", "s.end", F.col("s.body").alias("instance"), F.lit(seed).alias("seed"),
-                           F.explode(F.array(F.concat(F.lit("< "), "s.left"), F.concat(F.lit("> "), "s.right"))).alias("pattern")).where(F.length("pattern") > 2)
-
-    seeds = contexts("email", True)
-    for kind in KINDS[1:]:
-        seeds = seeds.unionByName(contexts(kind, True))
-    support = seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    support = written(spark, support, "personal-patterns")
-    # Base entities as tokens are not instances again.
-    base = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
-    free = F.filter("token", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    rows_free = rows.withColumn("token", free)
-    tokens = rows_free.select("doc_id", "key", F.explode("token").alias("s")).select("doc_id", "key", "s.start", "s.end", F.col("s.body").alias("instance"), F.lit(False).alias("seed"),
-                              F.explode(F.array(F.concat(F.lit("< "), "s.left"), F.concat(F.lit("> "), "s.right"))).alias("pattern"))
-    seen = written(spark, seeds.unionByName(tokens).join(support.select("pattern"), "pattern", "left_semi"), "personal-contexts")
-    graph = seen.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-
-    # How often a pattern's word occurs at all. Only words of patterns are counted.
-    said = docs.select(F.explode(F.split(F.lower(text), r"\s+")).alias("word"))
-    all_words = said.join(support.select(F.substring("pattern", 3, 64).alias("word")).distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    uses = support.select("pattern", F.substring("pattern", 3, 64).alias("word")).join(all_words, "word").select("pattern", "uses")
-    graph = written(spark, graph.join(uses, "pattern"), "personal-graph")
-
-    scores = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    passed = {k: F.filter(f"all_{k}", lambda s: s["ok"]) for k in KINDS}
+    places = {k: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k, c in passed.items()}
+    # A number that fails a check is no instance of an unknown format. Short or long digit runs are none of cards.
+    def counted(kind: str) -> Column:
+        spans = F.filter(f"all_{kind}", lambda s: s["ok"] | F.length(digits(s["body"])).between(16, 19)) if kind == "card" else F.col(f"all_{kind}")
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["ok"].alias("ok")))
+
+    looks = F.concat(*map(counted, KINDS))
+
+    def overlaps(t: Column, spans: Column) -> Column:
+        return F.exists(spans, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+
+    some = rows.where(F.size("token") > 0)
+    marked = F.transform(F.filter("token", lambda t: ~overlaps(t, F.filter(looks, lambda b: b["ok"]))), lambda t: t.withField("failed", overlaps(t, looks)))
+    free = some.select("doc_id", "key", F.explode(marked).alias("s")).select("doc_id", "key", "s.*")
+    seeds = None
+    for kind, spans in passed.items():
+        one = some.select(F.explode(spans).alias("s")).select(F.lit(kind).alias("shape"), F.xxhash64(F.lower("s.body")).alias("body"), "s.left", "s.left2", "s.right", F.lit(True).alias("seed"))
+        seeds = one if seeds is None else seeds.unionByName(one)
+    # Failed ones have a shape of their own, which nothing accepts.
+    others = free.select(F.when(F.col("failed"), F.concat(F.lit("failed "), "shape")).otherwise(F.col("shape")).alias("shape"), "body", "left", "left2", "right",
+                         F.lit(False).alias("seed"), F.when(F.col("failed"), 0).otherwise(F.col("signs")).alias("signs"))
+    seen = seeds.withColumn("signs", F.lit(0)).unionByName(others)
+    seen = written(spark, seen.groupBy("shape", "body", "left", "left2", "right").agg(F.max("seed").alias("seed"), F.min("signs").alias("signs")), "personal-candidates")
+
+    bodies = seen.groupBy("shape", "body").agg(F.count(F.lit(1)).alias("n"), F.min("signs").alias("signs"))
+    shapes = bodies.groupBy("shape").agg(F.count(F.lit(1)).alias("bodies"), F.sum("n").alias("surroundings"), F.min("signs").alias("signs"))
+    able = shapes.where((F.col("bodies") >= least_instances) & (F.col("signs") >= LEAST_SIGNS) & (F.col("bodies") >= UNLIKE * F.col("surroundings"))).select("shape")
+    edges = seen.select("shape", "body", "seed", F.explode(F.array(*(F.struct(F.lit(mark).alias("side"), F.col(c).alias("words")) for c, mark in SIDES.items()))).alias("p"))
+    edges = edges.where(F.col("p.words") != "").groupBy("p.side", "p.words", "shape", "body").agg(F.max("seed").alias("seed"))
+    graph = written(spark, edges.groupBy("side", "words", "shape").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
+                    .join(able.withColumn("able", F.lit(True)), "shape", "left").withColumn("able", F.coalesce("able", F.lit(False))), "personal-graph")
+
+    scores = able.withColumn("score", F.lit(0.0))
     for _ in range(rounds):
-        pattern = graph.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.greatest(F.max("uses"), F.sum("n"))).alias("trust"))
-        trusted = pattern.where(F.col("trust") >= pattern_score)
-        doubt = graph.join(trusted, "pattern").groupBy("instance").agg(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))).alias("doubt"), F.max("seed").alias("seed"))
-        scores = written(spark, doubt.select("instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score")), "personal-scores")
-    kept = scores.where(F.col("score") >= instance_score).select("instance")
-    added = (seen.where("not seed").join(trusted.select("pattern"), "pattern", "left_semi").join(kept, "instance", "left_semi")
-             .groupBy(F.col("doc_id").alias("in_doc"), F.col("key").alias("in_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context")))
-    match = F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("key") == F.col("in_key"))
-    out = rows.join(written(spark, added, "personal-added"), match, "left")
-    return out.select("doc_id", "key", *KINDS, F.coalesce("context", F.array().cast("array<struct<start:int,end:int>>")).alias("context"))
+        instance = F.col("seed") | (F.coalesce("score", F.lit(0.0)) >= shape_score)
+        met = graph.join(scores, "shape", "left").groupBy("side", "words").agg(F.sum("n").alias("all"), F.sum(F.when(instance, F.col("n")).otherwise(0)).alias("instances"))
+        share = F.col("instances") / F.col("all")
+        met = written(spark, met.where(F.col("all") >= least_instances).select("side", "words", share.alias("trust"), ((F.col("instances") >= least_instances) & (share >= pattern_score)).alias("good")), "personal-patterns")
+        sides = graph.where("able").join(met, ["side", "words"]).groupBy("shape", "side").agg((F.sum(F.col("trust") * F.col("n")) / F.sum("n")).alias("score"), F.sum("n").alias("n"))
+        scores = written(spark, sides.where(F.col("n") >= least_instances).groupBy("shape").agg(F.max("score").alias("score")), "personal-scores")
+    trusted = met.where("good")
+    accepted = scores.where(F.col("score") >= shape_score).select("shape")
+    patterns = F.explode(F.array(*(F.struct(F.lit(mark).alias("side"), F.col(c).alias("words")) for c, mark in SIDES.items())))
+    kept = free.where("not failed").join(accepted, "shape", "left_semi").select("doc_id", "key", "start", "end", "shape", patterns.alias("p"))
+    kept = kept.select("doc_id", "key", "start", "end", "shape", "p.side", "p.words").join(trusted.select("side", "words"), ["side", "words"], "left_semi")
+    return rows.select("doc_id", "key", *(c.alias(k) for k, c in places.items())), kept.select("doc_id", "key", "start", "end", "shape"), scores
