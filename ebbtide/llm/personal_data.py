@@ -15,7 +15,9 @@ Only shapes of identifiers can be accepted: of several signs, and nearly as many
 different bodies as different surroundings. Years, prices and versions recur in
 ever new surroundings and fail this. What looks like a base format but fails its
 check (a card number's last digit) counts against a pattern and is never accepted.
-Candidates of accepted shapes in a trusted pattern are the added spans.
+Candidates of accepted shapes in a trusted pattern are the added spans. So is a
+candidate of any shape, met even once, next to words that hardly ever occur without
+a known instance.
 
 Texts are never shuffled: each row becomes spans with their context.
 """
@@ -32,6 +34,8 @@ ROUNDS = 4
 LEAST_INSTANCES = 3   # different known instances that a pattern needs, and bodies that a shape needs
 PATTERN_SCORE = 0.5   # share of the candidates in a pattern that must be known
 SHAPE_SCORE = 0.5     # mean trust of the patterns on one side of a shape's candidates, of those met with as many candidates
+STRICT_SCORE = 0.6    # share of all uses of a word that a pattern needs to tell by itself
+INSTANCE_SCORE = 0.8  # what such patterns of a candidate must give together
 LEAST_SIGNS = 8       # letters and digits of an identifier
 UNLIKE = 0.5          # different bodies of an identifier's shape to its different surroundings
 
@@ -163,7 +167,7 @@ def bootstrapped(docs: DataFrame, id_col: str, text_col: str, rounds: int, least
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text).alias("key"), *(checked(k, text).alias(f"all_{k}") for k in KINDS), tokens(text).alias("token"))
     rows = written(spark, rows, "personal-spans")
     passed = {k: F.filter(f"all_{k}", lambda s: s["ok"]) for k in KINDS}
-    places = {k: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k, c in passed.items()}
+    places = {k: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["body"].alias("body"))) for k, c in passed.items()}
     # A number that fails a check is no instance of an unknown format. Short or long digit runs are none of cards.
     def counted(kind: str) -> Column:
         spans = F.filter(f"all_{kind}", lambda s: s["ok"] | F.length(digits(s["body"])).between(16, 19)) if kind == "card" else F.col(f"all_{kind}")
@@ -185,27 +189,37 @@ def bootstrapped(docs: DataFrame, id_col: str, text_col: str, rounds: int, least
     others = free.select(F.when(F.col("failed"), F.concat(F.lit("failed "), "shape")).otherwise(F.col("shape")).alias("shape"), "body", "left", "left2", "right",
                          F.lit(False).alias("seed"), F.when(F.col("failed"), 0).otherwise(F.col("signs")).alias("signs"))
     seen = seeds.withColumn("signs", F.lit(0)).unionByName(others)
-    seen = written(spark, seen.groupBy("shape", "body", "left", "left2", "right").agg(F.max("seed").alias("seed"), F.min("signs").alias("signs")), "personal-candidates")
+    seen = written(spark, seen.groupBy("shape", "body", "left", "left2", "right").agg(F.max("seed").alias("seed"), F.min("signs").alias("signs"), F.count(F.lit(1)).alias("times")), "personal-candidates")
 
     bodies = seen.groupBy("shape", "body").agg(F.count(F.lit(1)).alias("n"), F.min("signs").alias("signs"))
     shapes = bodies.groupBy("shape").agg(F.count(F.lit(1)).alias("bodies"), F.sum("n").alias("surroundings"), F.min("signs").alias("signs"))
     able = shapes.where((F.col("bodies") >= least_instances) & (F.col("signs") >= LEAST_SIGNS) & (F.col("bodies") >= UNLIKE * F.col("surroundings"))).select("shape")
-    edges = seen.select("shape", "body", "seed", F.explode(F.array(*(F.struct(F.lit(mark).alias("side"), F.col(c).alias("words")) for c, mark in SIDES.items()))).alias("p"))
-    edges = edges.where(F.col("p.words") != "").groupBy("p.side", "p.words", "shape", "body").agg(F.max("seed").alias("seed"))
-    graph = written(spark, edges.groupBy("side", "words", "shape").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
+    edges = seen.select("shape", "body", "seed", "times", F.explode(F.array(*(F.struct(F.lit(mark).alias("side"), F.col(c).alias("words")) for c, mark in SIDES.items()))).alias("p"))
+    edges = edges.where(F.col("p.words") != "").groupBy("p.side", "p.words", "shape", "body").agg(F.max("seed").alias("seed"), F.sum("times").alias("times"))
+    graph = written(spark, edges.groupBy("side", "words", "shape").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"), F.sum("times").alias("times"))
                     .join(able.withColumn("able", F.lit(True)), "shape", "left").withColumn("able", F.coalesce("able", F.lit(False))), "personal-graph")
 
     scores = able.withColumn("score", F.lit(0.0))
     for _ in range(rounds):
         instance = F.col("seed") | (F.coalesce("score", F.lit(0.0)) >= shape_score)
-        met = graph.join(scores, "shape", "left").groupBy("side", "words").agg(F.sum("n").alias("all"), F.sum(F.when(instance, F.col("n")).otherwise(0)).alias("instances"))
+        met = graph.join(scores, "shape", "left").groupBy("side", "words").agg(F.sum("n").alias("all"), F.sum(F.when(instance, F.col("n")).otherwise(0)).alias("instances"),
+                                                                                             F.sum("times").alias("times"), F.sum(F.when(instance, F.col("times")).otherwise(0)).alias("known"))
         share = F.col("instances") / F.col("all")
-        met = written(spark, met.where(F.col("all") >= least_instances).select("side", "words", share.alias("trust"), ((F.col("instances") >= least_instances) & (share >= pattern_score)).alias("good")), "personal-patterns")
+        met = written(spark, met.where(F.col("all") >= least_instances).select("side", "words", "times", "known", share.alias("trust"), ((F.col("instances") >= least_instances) & (share >= pattern_score)).alias("good")), "personal-patterns")
         sides = graph.where("able").join(met, ["side", "words"]).groupBy("shape", "side").agg((F.sum(F.col("trust") * F.col("n")) / F.sum("n")).alias("score"), F.sum("n").alias("n"))
         scores = written(spark, sides.where(F.col("n") >= least_instances).groupBy("shape").agg(F.max("score").alias("score")), "personal-scores")
     trusted = met.where("good")
     accepted = scores.where(F.col("score") >= shape_score).select("shape")
-    patterns = F.explode(F.array(*(F.struct(F.lit(mark).alias("side"), F.col(c).alias("words")) for c, mark in SIDES.items())))
-    kept = free.where("not failed").join(accepted, "shape", "left_semi").select("doc_id", "key", "start", "end", "shape", patterns.alias("p"))
-    kept = kept.select("doc_id", "key", "start", "end", "shape", "p.side", "p.words").join(trusted.select("side", "words"), ["side", "words"], "left_semi")
+    # How often the words of a pattern occur at all. Only these words are counted.
+    alone = trusted.where("side != '<<'")
+    said = docs.select(F.explode(F.split(blanks(text), " +")).alias("word")).select(name_of(F.col("word")).alias("words")).join(alone.select("words").distinct(), "words", "left_semi")
+    strict = F.col("known") / F.greatest("times", "uses")
+    telling = alone.join(said.groupBy("words").agg(F.count(F.lit(1)).alias("uses")), "words").select("side", "words", strict.alias("strict")).where(F.col("strict") >= STRICT_SCORE)
+    rules = written(spark, trusted.select("side", "words").join(telling, ["side", "words"], "left"), "personal-rules")
+
+    sides = F.explode(F.array(*(F.struct(F.lit(mark).alias("side"), F.col(c).alias("words")) for c, mark in SIDES.items())))
+    met_by = free.where("not failed").select("doc_id", "key", "start", "end", "shape", sides.alias("p")).select("doc_id", "key", "start", "end", "shape", "p.side", "p.words")
+    doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("strict", F.lit(0.0)))))
+    hits = met_by.join(rules, ["side", "words"]).groupBy("doc_id", "key", "start", "end", "shape").agg((1 - F.exp(doubt)).alias("score"))
+    kept = hits.join(accepted.withColumn("accepted", F.lit(True)), "shape", "left").where(F.col("accepted") | (F.col("score") >= INSTANCE_SCORE))
     return rows.select("doc_id", "key", *(c.alias(k) for k, c in places.items())), kept.select("doc_id", "key", "start", "end", "shape"), scores

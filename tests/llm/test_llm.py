@@ -78,6 +78,56 @@ def test_personal_data(spark):
     assert personal_data.personal_data(rows.limit(0)).count() == 0
 
 
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[ -]?[0-9])+",
+         "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+
+
+def passes(kind, body):
+    number = [int(x) for x in body if x.isascii() and x.isdigit()]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in body.split("."))
+    if kind == "card":
+        doubled = [x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(reversed(number))]
+        return 16 <= len(number) <= 19 and sum(doubled) % 10 == 0
+    return 8 <= len(number) <= 15 if kind == "phone" else True
+
+
+def test_base_formats_on_random_text(spark):
+    """The four formats equal their plain patterns, leftmost and non-overlapping."""
+    rng = random.Random(11)
+    pieces = ["a", "Z", "7", "0", "25", "255.", "1.", "@", ".", "-", " ", "+", "(", ")", "_", "%", "é", "😀", "\n", "x@y.z", "+1 (17", "4111 1111 1111 1111", "10.0.0.25", "4111-1111"]
+    seen = ["".join(rng.choices(pieces, k=rng.randint(1, 60))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(seen)), "doc_id bigint, text string")
+    count = Counter()
+    for r in personal_data.personal_data(rows).collect():
+        for kind, pattern in PLAIN.items():
+            want = [m.span() for m in re.finditer(pattern, seen[r.doc_id]) if passes(kind, m[0])]
+            assert [(s.start, s.end) for s in r[kind]] == want, (kind, seen[r.doc_id])
+            count[kind] += len(want)
+    assert min(count[k] for k in PLAIN) > 20
+
+
+def test_bootstrapped_shapes(spark):
+    """Seeds lead to keys by the words after both, keys to a pattern of their own, and that to a second shape; nothing else is added."""
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choices("0123456789abcdef", k=n - 1)) + "7"
+    seen = [f"we wrote a{i}@b.example.org {w} it" for i in range(12) for w in ("soon", "twice")]
+    seen += [f'the secret = "{key(40)}" {w} it' for _ in range(6) for w in ("soon", "twice")]
+    seen += [f'old secret="{key(24)}" zzz{i} it' for i in range(6)]
+    plain = [f"in version 4.0.12345678 zzz{i} and 20{i} too" for i in range(10)] + [f"code {key(30)} of {i}" for i in range(8)]
+    odd = [None, "", "5" * 3000, "secret", 'secret = "', "w" * 300 + " x9@ " + "v" * 300]
+    rows = [(i, t, "c", "s") for i, t in enumerate([*seen, *plain, *odd])] + [(None, seen[24], "c", "s")]
+    docs = spark.createDataFrame([*rows, rows[25]], "doc_id bigint, text string, key string, shape string")
+    got = personal_data.personal_data(docs).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        text = seen[24] if r.doc_id is None else [*seen, *plain, *odd][r.doc_id]
+        want = [m.span() for m in re.finditer("[0-9a-f]{24,40}", text)] if r.doc_id is None or 24 <= r.doc_id < len(seen) else []
+        assert [(s.start, s.end) for s in r.context] == want, text
+    again = personal_data.personal_data(docs, rounds=1).collect()
+    assert not any(r.context for r in again if r.doc_id is not None and 36 <= r.doc_id < len(seen))
+
+
 @pytest.mark.parametrize("bits", [256, 4])
 def test_exact_groups(spark, docs, tmp_path, bits):
     docs.repartition(3).write.parquet(str(tmp_path / "d"))
