@@ -104,6 +104,15 @@ def shingle_hashes(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, one).otherwise(F.array().cast("array<bigint>"))
 
 
+def windows_with(tells: Column, grams: Column, size: int, step: int, k: int) -> Column:
+    """The windows, a step apart, that have one of the words numbered in `tells`, each with its shingles: only they leave the document's row."""
+    def around(i: Column) -> Column:
+        first = F.ceil(F.greatest(F.lit(0), i - (size - 1)) / step).cast("int") * step
+        return F.sequence(first, F.floor(i / step).cast("int") * step, F.lit(step))
+    starts = F.filter(F.array_distinct(F.flatten(F.transform(tells, around))), lambda s: s < F.size(grams))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(grams, s + 1, size - k + 1).alias("grams")))
+
+
 def band_keys(grams: Column, bands: int) -> Column:
     """Bands of one row each: the smallest hash under each seed."""
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform(grams, lambda g: F.xxhash64(b, g))))
@@ -142,7 +151,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | DataFrame | Non
     hint = "(?<![a-zA-Z0-9])(?i:" + "|".join(sorted(map(re.escape, telling))) + ")(?![a-zA-Z0-9])"
     some = docs.where(text.rlike(hint)).select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(F.col(text_col)).alias("key"),
                                                F.filter(F.split(ascii_lower(text), SPLIT), lambda w: w != "").alias("words"))
-    some = written(spark, some.withColumn("tells", F.transform("words", lambda w: w.isin(telling))), "license-words")
+    at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(telling), i)), lambda i: i.isNotNull())
+    some = written(spark, some.select("doc_id", "key", "words", at.alias("tells"), shingle_hashes(F.col("words"), N).alias("grams")), "license-words")
 
     found = None
     for group in by_length:
@@ -152,10 +162,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | DataFrame | Non
         bands = bands_for(least_similarity(shingles, size - k + 1, containment), miss)
         # Fewer shingles than that cannot be enough of any template of the group.
         least = math.ceil(containment * min(shingles) - 1e-9)
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - k), F.lit(step))
-        windows = some.where(F.size("words") - (k - 1) >= least).withColumn("grams", shingle_hashes(F.col("words"), k)).select("doc_id", "key", "grams", "tells", F.explode(starts).alias("start"))
-        windows = windows.where(F.exists(F.slice("tells", F.col("start") + 1, size), lambda t: t)).select(
-            "doc_id", "key", "start", F.slice("grams", F.col("start") + 1, size - k + 1).alias("grams")).where(F.size("grams") >= least)
+        grams = F.col("grams") if k == N else shingle_hashes(F.col("words"), k)
+        windows = some.where(F.size("words") - (k - 1) >= least).select("doc_id", "key", F.explode(windows_with(F.col("tells"), grams, size, step, k)).alias("w"))
+        windows = windows.select("doc_id", "key", "w.start", "w.grams").where(F.size("grams") >= least)
         windows = windows.select("doc_id", "key", "start", "grams", F.posexplode(band_keys(F.col("grams"), bands)).alias("band", "hash"))
         known = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("template"), F.lit(" ".join(w)).alias("words")) for n, w in group))).alias("t"))
         known = known.select("t.template", shingle_hashes(F.split("t.words", " "), k).alias("wanted"))
