@@ -28,6 +28,7 @@ CONTAINMENT = 0.8
 MISS = 1e-4
 BROADCAST_ROWS = 50_000  # template bands that are broadcast; more are joined by a shuffle
 
+SHARED_FROM = 5  # stride from which a document's shingles are hashed for all windows together; both ways give the same keys
 NEAR_LENGTHS = 1.5  # templates whose lengths differ by less are looked for in the same windows
 
 #: License notices as their publishers word them. The default is these and the rows of `license_table`.
@@ -104,13 +105,34 @@ def shingle_hashes(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, one).otherwise(F.array().cast("array<bigint>"))
 
 
-def windows_with(tells: Column, grams: Column, size: int, step: int, k: int) -> Column:
-    """The windows, a step apart, that have one of the words numbered in `tells`, each with its shingles: only they leave the document's row."""
+def once(value: Column, use) -> Column:
+    """`use` of a value that is computed a single time."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def windows_with(tells: Column, grams: Column, size: int, step: int, k: int, least: int, bands: int) -> Column:
+    """Windows, a step apart, that have one of the words numbered in `tells` and at least so many shingles: only they leave the document's row.
+
+    Long windows share most of their shingles, so these are hashed once for each band and document.
+    """
     def around(i: Column) -> Column:
         first = F.ceil(F.greatest(F.lit(0), i - (size - 1)) / step).cast("int") * step
         return F.sequence(first, F.floor(i / step).cast("int") * step, F.lit(step))
-    starts = F.filter(F.array_distinct(F.flatten(F.transform(tells, around))), lambda s: s < F.size(grams))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(grams, s + 1, size - k + 1).alias("grams")))
+
+    def part(of: Column, s: Column) -> Column:
+        return F.slice(of, s + 1, size - k + 1)
+
+    def apart(starts: Column) -> Column:
+        return F.transform(starts, lambda s: once(part(grams, s), lambda g: F.struct(s.alias("start"), g.alias("grams"), band_keys(g, bands).alias("keys"))))
+
+    def together(starts: Column) -> Column:
+        def smallest(band: Column) -> Column:
+            return once(F.transform(grams, lambda g: F.xxhash64(band, g)), lambda hashes: F.transform(starts, lambda s: F.array_min(part(hashes, s))))
+        keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), smallest)
+        return once(keys, lambda by_band: F.transform(starts, lambda s, i: F.struct(s.alias("start"), part(grams, s).alias("grams"), F.transform(by_band, lambda m: F.get(m, i)).alias("keys"))))
+
+    starts = F.filter(F.array_distinct(F.flatten(F.transform(tells, around))), lambda s: s <= F.size(grams) - least)
+    return once(starts, together if step >= SHARED_FROM else apart)
 
 
 def band_keys(grams: Column, bands: int) -> Column:
@@ -163,9 +185,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | DataFrame | Non
         # Fewer shingles than that cannot be enough of any template of the group.
         least = math.ceil(containment * min(shingles) - 1e-9)
         grams = F.col("grams") if k == N else shingle_hashes(F.col("words"), k)
-        windows = some.where(F.size("words") - (k - 1) >= least).select("doc_id", "key", F.explode(windows_with(F.col("tells"), grams, size, step, k)).alias("w"))
-        windows = windows.select("doc_id", "key", "w.start", "w.grams").where(F.size("grams") >= least)
-        windows = windows.select("doc_id", "key", "start", "grams", F.posexplode(band_keys(F.col("grams"), bands)).alias("band", "hash"))
+        windows = some.where(F.size("words") - (k - 1) >= least).select("doc_id", "key", F.explode(windows_with(F.col("tells"), grams, size, step, k, least, bands)).alias("w"))
+        windows = windows.select("doc_id", "key", "w.start", "w.grams", F.posexplode("w.keys").alias("band", "hash"))
         known = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("template"), F.lit(" ".join(w)).alias("words")) for n, w in group))).alias("t"))
         known = known.select("t.template", shingle_hashes(F.split("t.words", " "), k).alias("wanted"))
         known = known.withColumn("wanted", F.array_distinct("wanted"))
