@@ -9,7 +9,7 @@ from ..functions import texts as T
 from ..functions.strings import plain_number
 from ..params import PerformanceParams
 from ..session import written
-from .joins import boards, lookup, recent
+from .joins import boards, recent
 
 PRICE_SESSIONS = 5  # prices are read from the last five trading days
 
@@ -20,22 +20,25 @@ def latest_prices(bars: DataFrame) -> DataFrame:
     return valid.groupBy("symbol").agg(F.max_by("close", "ts").alias("last_close"))
 
 
-def price_boards(bars: DataFrame, benchmark: str) -> tuple[DataFrame, DataFrame]:
-    """Boards of all symbols and of the benchmark alone, over PRICE_SESSIONS trading days."""
+def price_boards(bars: DataFrame, symbols: DataFrame, benchmark: str) -> tuple[DataFrame, DataFrame]:
+    """Boards of the `symbols` asked for and of the benchmark alone, over PRICE_SESSIONS trading days.
+
+    Both are written, so that Spark knows how small they are.
+    """
     closes = bars.where("close is not null and not isnan(close)").select("symbol", "ts", "close")
-    return boards(closes, "close", PRICE_SESSIONS), boards(closes.where(F.col("symbol") == benchmark), "close", PRICE_SESSIONS)
+    asked = closes.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    index = boards(closes.where(F.col("symbol") == benchmark), "close", PRICE_SESSIONS)
+    return written(boards(asked, "close", PRICE_SESSIONS), "boards"), written(index.drop("symbol"), "index-boards")
 
 
-def with_prices(rows: DataFrame, shown: tuple[DataFrame, DataFrame], benchmark: str, at: str, price: str, bench: str) -> DataFrame:
+def with_prices(rows: DataFrame, shown: tuple[DataFrame, DataFrame], at: str, price: str, bench: str) -> DataFrame:
     """Both prices as of `at`: the symbol's and the benchmark's.
 
     A price from before the last five trading days counts as missing. The
-    benchmark is priced once for each moment, not for each row.
+    benchmark has one board a session, whatever the symbols.
     """
     own, index = shown
-    moments = rows.select(at).distinct().withColumn("symbol", F.lit(benchmark))
-    indexed = recent(moments, index, bench, at).select(at, bench)
-    return lookup(recent(rows, own, price, at), indexed, [at], "alert_id", "left")
+    return recent(recent(rows, own, price, at), index, bench, at, keys=(), spread_by="alert_id")
 
 
 def track(alerts: DataFrame, bars: DataFrame, params: PerformanceParams) -> DataFrame:
@@ -43,7 +46,7 @@ def track(alerts: DataFrame, bars: DataFrame, params: PerformanceParams) -> Data
 
     The `price` an alert was sent with is its price; the bars answer where it has none.
     """
-    priced = with_prices(alerts, price_boards(bars, params.benchmark), params.benchmark, "alert_ts", "alert_price", "bench_price")
+    priced = with_prices(alerts, price_boards(bars, alerts, params.benchmark), "alert_ts", "alert_price", "bench_price")
     if "price" in alerts.columns:
         priced = priced.withColumn("alert_price", F.coalesce("price", "alert_price"))
     return priced.where("alert_price is not null and bench_price is not null")
@@ -71,30 +74,34 @@ def settle(checks: DataFrame, bars: DataFrame, now: str, params: PerformancePara
     """
     step = params.check_seconds
     first = F.ceil(F.unix_seconds("due_ts") / F.lit(step)) * step
-    columns = ["alert_id", "symbol", "horizon_h", "attempt", "run_ts"]
+    in_time = F.col("run_ts") <= F.lit(now).cast("timestamp")
+    good = F.col("price").isNotNull() & F.col("bench").isNotNull()
 
     def runs(of: DataFrame, attempts: Column) -> DataFrame:
-        at = F.timestamp_seconds(first + F.col("attempt") * step)
-        return of.withColumn("attempt", attempts).withColumn("run_ts", at).where(F.col("run_ts") <= F.lit(now).cast("timestamp")).select(*columns)
-
-    # Nearly all checks find their prices in the first run; only the others are tried again.
-    shown = tuple(written(b, "boards") for b in price_boards(bars, params.benchmark))
-    once = written(with_prices(runs(checks, F.lit(0)), shown, params.benchmark, "run_ts", "price", "bench"), "first-run")
-    missed = checks.join(once.where("price is null or bench is null"), ["alert_id", "symbol", "horizon_h"], "left_semi")
-    again = runs(missed, F.explode(F.sequence(F.lit(1), F.lit(params.max_attempts - 1)))) if params.max_attempts > 1 else None
-    priced = once if again is None else once.unionByName(with_prices(again, shown, params.benchmark, "run_ts", "price", "bench"))
-    good = F.col("price").isNotNull() & F.col("bench").isNotNull()
-    done = priced.groupBy("alert_id", "horizon_h").agg(
-        F.min_by(F.struct("attempt", "run_ts", "price", "bench"),
-                 F.when(good, F.col("attempt"))).alias("hit"),
-        F.count(F.lit(1)).alias("tried"))
-    joined = checks.join(done, ["alert_id", "horizon_h"], "left")
+        return of.withColumn("attempt", attempts).withColumn("run_ts", F.timestamp_seconds(first + F.col("attempt") * step))
+
+    # Nearly all checks find their prices in the first run and end there, in their own row; only the others are tried again.
+    checks = written(checks, "checks")
+    shown = price_boards(bars, checks, params.benchmark)
+    once = with_prices(runs(checks, F.lit(0)), shown, "run_ts", "price", "bench")
+    hit = F.when(in_time & good, F.struct("attempt", "run_ts", "price", "bench"))
+    once = written(once.withColumns({"hit": hit, "tried": F.when(in_time, 1).otherwise(0)}).drop("attempt", "run_ts", "price", "bench"), "first-run")
+    missed = (F.col("tried") == 1) & F.col("hit").isNull()
+    ended = once
+    if params.max_attempts > 1:
+        key = ["alert_id", "symbol", "horizon_h"]
+        again = runs(once.where(missed).select(*key, "due_ts"), F.explode(F.sequence(F.lit(1), F.lit(params.max_attempts - 1)))).where(in_time)
+        done = with_prices(again, shown, "run_ts", "price", "bench").groupBy(*key).agg(
+            F.min_by(F.struct("attempt", "run_ts", "price", "bench"), F.when(good, F.col("attempt"))).alias("hit"),
+            (F.max("attempt") + 1).alias("tried"))
+        later = once.where(missed).drop("hit", "tried").join(done, key, "left").withColumn("tried", F.coalesce("tried", F.lit(1)))
+        ended = once.where(~missed).unionByName(later)
     hit = F.col("hit").isNotNull()
     alpha = ((F.col("hit.price") / F.col("alert_price") - 1.0)
              - (F.col("hit.bench") / F.col("bench_price") - 1.0))
-    return joined.withColumns({
+    return ended.withColumns({
         "status": F.when(hit, "settled").when(F.col("tried") >= params.max_attempts, "gave_up").otherwise("pending"),
-        "attempts": F.when(hit, F.col("hit.attempt")).otherwise(F.coalesce("tried", F.lit(0))).cast("int"),
+        "attempts": F.when(hit, F.col("hit.attempt")).otherwise(F.col("tried")).cast("int"),
         "settled_ts": F.col("hit.run_ts"), "price_now": F.col("hit.price"), "bench_now": F.col("hit.bench"),
         "alpha": F.when(hit, alpha)}).drop("hit", "tried")
 
