@@ -1,13 +1,18 @@
 """What must not grow with the whole tables: rows kept, moved or looked at once more."""
 
+import os
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.operators import joins
+from ebbtide.operators import joins, picks
 from ebbtide.operators import performance as P
 from ebbtide.operators.sessions import with_session
 from ebbtide.params import PerformanceParams
+from ebbtide.plans import jobs
+from ebbtide.sources import proxies
 from tests.helpers import bars, daily
 
 PERF = PerformanceParams(benchmark="SPY")
@@ -47,3 +52,21 @@ def test_settled_rows_are_not_joined_again(spark):
     ended, later = plan.split("\n+- ", 1)
     assert plan.startswith("Union") and "Join" not in ended and "Join" in later
     assert settled.where("status = 'settled'").count() == 6
+
+
+def test_the_chain_is_not_moved_whole(spark):
+    """Listed expiries are nearly as many as contracts: they are written once and not repeated for a salt."""
+    chain = spark.sql("select 'A' as symbol, concat('c', id) as contract_symbol, 'call' as option_type, cast(30 + id % 3 as int) as dte, 100d as strike, 99d as spot, "
+                      "0.3d as bid, 0.32d as ask, 0.31d as last, 100L as volume, 900L as open_interest, 0.3d as iv, 'primary' as provider from range(6)")
+    b = bars(spark, daily("A", [10.0] * 30))
+    for found in (picks.near_calls(chain), jobs.cheap_contracts(b, chain)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode" not in plan.split("Join LeftSemi")[-1] and "_salt" not in plan and "bool_or" not in plan.split("Join LeftSemi")[0]
+    assert picks.near_calls(chain).count() == 6 and jobs.cheap_contracts(b, chain).count() == 3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables are not here")
+def test_contracts_are_spread_while_lines_are_narrow(spark):
+    plan = proxies.chain(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("RepartitionByExpression"):]
+    assert "AS contract_symbol" in plan and "AS contract_symbol" not in moved and "_salt" not in plan
