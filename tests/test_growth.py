@@ -70,3 +70,11 @@ def test_contracts_are_spread_while_lines_are_narrow(spark):
     plan = proxies.chain(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     moved = plan[plan.index("RepartitionByExpression"):]
     assert "AS contract_symbol" in plan and "AS contract_symbol" not in moved and "_salt" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables are not here")
+def test_nested_documents_are_stored_compressed(spark):
+    from ebbtide.plans.catalog import QUERIES
+
+    files = QUERIES["S10_P5_nested_chain"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all(f.endswith(".json.gz") for f in files)
