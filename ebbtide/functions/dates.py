@@ -47,22 +47,24 @@ def holiday(day: Column) -> Column:
     A fixed-date holiday is looked up within the year of `day` only, so a New
     Year's Day observed on 31 December of the year before is not found.
     """
-    year = F.year(day)
+    year, month = F.year(day), F.month(day)
     fixed = lambda m, d: _observed(F.make_date(year, F.lit(m), F.lit(d)))
+    # The cheap half of a rule comes first: a day looks at the formulas of its own month, and only a spring Friday at Easter.
     rules = [
-        ("new_year", fixed(1, 1)),
-        ("mlk_day", _nth(year, 1, "Mon", 3)),
-        ("washington", _nth(year, 2, "Mon", 3)),
-        ("good_friday", F.date_sub(easter(year), 2)),
-        ("memorial_day", _last(year, 5, "Mon")),
-        ("independence_day", fixed(7, 4)),
-        ("labor_day", _nth(year, 9, "Mon", 1)),
-        ("thanksgiving", _nth(year, 11, "Thu", 4)),
-        ("christmas", fixed(12, 25)),
+        ("juneteenth", (month == 6) & (year >= JUNETEENTH_SINCE), fixed(6, 19)),
+        ("new_year", month == 1, fixed(1, 1)),
+        ("mlk_day", month == 1, _nth(year, 1, "Mon", 3)),
+        ("washington", month == 2, _nth(year, 2, "Mon", 3)),
+        ("good_friday", month.between(3, 4) & (_weekday(day) == 4), F.date_sub(easter(year), 2)),
+        ("memorial_day", month == 5, _last(year, 5, "Mon")),
+        ("independence_day", month == 7, fixed(7, 4)),
+        ("labor_day", month == 9, _nth(year, 9, "Mon", 1)),
+        ("thanksgiving", month == 11, _nth(year, 11, "Thu", 4)),
+        ("christmas", month == 12, fixed(12, 25)),
     ]
-    found = F.when((year >= JUNETEENTH_SINCE) & (day == fixed(6, 19)), "juneteenth")
-    for name, when in rules:
-        found = found.when(day == when, name)
+    found = F
+    for name, near, when in rules:
+        found = found.when(near & (day == when), name)
     return found
 
 

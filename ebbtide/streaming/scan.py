@@ -15,7 +15,7 @@ from ..operators.patterns import features_of, marked_tail
 from ..params import ScanParams, SessionParams
 from ..schemas import BARS
 from .steps import read_before, read_newest, read_version, run_batches, write_version
-from .tails import as_bars, stored_tails, symbol_tails
+from .tails import as_bars, as_tails, stored_tails, symbol_tails
 
 HOT = StructType().add("symbol", StringType())
 HISTORY = StructType([f for f in BARS.fields if f.name != "interval"])
@@ -44,14 +44,17 @@ def with_best(found: DataFrame, best: DataFrame | None) -> DataFrame:
     return found if best is None else alerts.with_contract(found, best)
 
 
+def looked_at(batch: DataFrame, session: SessionParams, at: str | None = None) -> DataFrame:
+    return batch.where(F.col("opened") if at is None else in_session(F.lit(None), session, at))
+
+
 def scan_step(batch: DataFrame, session: SessionParams, scan: ScanParams, at: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(scores, symbols looked at) from the tails of a micro-batch.
 
     Looked at are symbols with a bar in an open session; with the time `at` of the
     scan, all or none of them.
     """
-    gate = F.col("opened") if at is None else in_session(F.lit(None), session, at)
-    now = batch.where(gate)
+    now = looked_at(batch, session, at)
     return score_tails(now, scan), now.select("symbol").distinct()
 
 
@@ -69,7 +72,8 @@ def scan_stream(bars: DataFrame, out: str, hot: str, checkpoint: str, session: S
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()  # the state is advanced once
-        scored, touched = scan_step(batch, session, scan, clock() if clock else None)
+        at = clock() if clock else None
+        scored, touched = scan_step(as_tails(batch), session, scan, at)[0], looked_at(batch, session, at).select("symbol")
         # Written once; signals and hot list are read from it.
         write_version(scored.select(*ROWS), scored_at, number)
         scored = read_version(spark, scored_at, number)

@@ -4,7 +4,7 @@ The state of a symbol is bounded: the last bars of its history, and for all bars
 before them their number, the last close and the decayed sums of gains and
 losses. A new bar costs one step of the sums, whatever the length of the
 history, and nothing older is ever read again. The state lives in RocksDB; the
-`statestore` source reads it as two tables, so that other jobs can score symbols
+`statestore` source reads it as a table, so that other jobs can score symbols
 without the scan.
 """
 
@@ -14,11 +14,13 @@ import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..params import ScanParams
@@ -28,8 +30,12 @@ from ..sources.readers import path_exists
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
 
 VALUES = tuple(PRICE_COLUMNS)
-BASE = "n bigint, last double, gain double, loss double, through bigint"
-BAR = "us bigint, " + ", ".join(f"{c} double" for c in VALUES)
+NAN = float("nan")
+BUNDLE_ROWS = 250_000
+ROW = np.dtype([("us", "<i8"), *((c, "<f8") for c in VALUES)])  # a bar in the state; a missing value is NaN
+STATE = "n bigint, last double, gain double, loss double, through bigint, bars binary"
+FOUND = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("first", T.LongType()), T.StructField("opened", T.BooleanType()),
+                      T.StructField("us", T.ArrayType(T.LongType())), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in (*VALUES, "rsi"))])
 TAIL = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("us", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in VALUES),
                      T.StructField("pos", T.LongType()), T.StructField("n_bars", T.LongType()), T.StructField("rsi", T.DoubleType()), T.StructField("opened", T.BooleanType())])
 
@@ -43,68 +49,80 @@ class Base(NamedTuple):
     loss: float = 0.0
     through: int | None = None
 
-    def after(self, us: int, close: float, keep: float) -> Base:
-        move = 0.0 if self.last is None else close - self.last
-        return Base(self.n + 1, close, self.gain * keep + max(move, 0.0), self.loss * keep + max(-move, 0.0), us)
 
-    def rsi(self, period: int) -> float | None:
-        if self.n <= period:
-            return None
-        return 100.0 if self.loss == 0 else 100.0 - 100.0 / (1.0 + self.gain / self.loss)
-
-
-def merged(base: Base, bars: dict[int, tuple], frames: Iterator[pd.DataFrame]) -> tuple[dict[int, tuple], bool]:
-    """Bars by time after some more came, and whether one came in an open session.
+def merged(base: Base, known: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Bars in order of time after some more came.
 
     A bar of a known time replaces the one before; among those that came together the one of greatest values stays.
     Bars from before the tail come too late: their weight in an RSI is below 1e-7.
     """
-    came: dict[int, tuple] = {}
-    opened = False
-    for frame in frames:
-        opened = opened or bool(frame["opened"].any())
-        for us, *values in frame[["us", *VALUES]].itertuples(index=False, name=None):
-            if base.through is None or us > base.through:
-                came[us] = max(came.get(us, ()), tuple(values))
-    return {**bars, **came}, opened
-
-
-def folded(base: Base, bars: dict[int, tuple], most: int, keep: float) -> tuple[Base, list[tuple]]:
-    """The base after the oldest bars beyond `most`, and the rest in order of time."""
-    rows = [(us, *bars[us]) for us in sorted(bars)]
-    for us, *values in rows[:max(0, len(rows) - most)]:
-        base = base.after(us, values[3], keep)
-    return base, rows[max(0, len(rows) - most):]
-
-
-def shown(symbol: str, base: Base, rows: list[tuple], period: int, opened: bool) -> pd.DataFrame:
-    """The tail with positions and RSI, as TAIL."""
-    out, now, keep = [], base, 1 - 1 / period
-    for row in rows:
-        now = now.after(row[0], row[4], keep)
-        out.append((symbol, *row, now.n - 1, base.n + len(rows), now.rsi(period), opened))
-    return pd.DataFrame(out, columns=TAIL.names).astype({"rsi": "float64"})
+    if base.through is not None:
+        new = new[new["us"] > base.through]
+    if not len(new):
+        return known
+    new = new[np.lexsort([new[c] for c in reversed(ROW.names)])]
+    new = new[np.append(new["us"][1:] != new["us"][:-1], True)]
+    if not len(known) or known["us"][-1] < new["us"][0]:
+        return np.concatenate([known, new])
+    both = np.concatenate([known[~np.isin(known["us"], new["us"])], new])
+    return both[np.argsort(both["us"])]
+
+
+def folded(base: Base, bars: np.ndarray, most: int, period: int) -> tuple[Base, np.ndarray, list[float | None]]:
+    """The base after the oldest bars beyond `most`, the other bars, and the RSI at each of them."""
+    old, keep, now, rsi = max(0, len(bars) - most), 1 - 1 / period, base, []
+    times, closes = bars["us"].tolist(), bars["close"].tolist()
+    n, last, gain, loss = base[:4]
+    for k, close in enumerate(closes):
+        move = 0.0 if last is None else close - last
+        n, last, gain, loss = n + 1, close, gain * keep + max(move, 0.0), loss * keep + max(-move, 0.0)
+        if k < old:
+            now = (n, last, gain, loss)
+        else:
+            rsi.append(None if n <= period else 100.0 if loss == 0 else 100.0 - 100.0 / (1.0 + gain / loss))
+    return (Base(*now, times[old - 1]) if old else base), bars[old:], rsi
+
+
+def advanced(state: tuple | None, came: np.ndarray, most: int, period: int) -> tuple[tuple, Base, np.ndarray, list[float | None]]:
+    """State, base, tail and RSI of a symbol after some bars came."""
+    base = Base(*state[:5]) if state else Base()
+    known = np.frombuffer(state[5] if state else b"", dtype=ROW)
+    base, bars, rsi = folded(base, merged(base, known, came), most, period)
+    return (*base, bars.tobytes()), base, bars, rsi
+
+
+def shown(symbol: str, base: Base, bars: np.ndarray, rsi: list[float | None], opened: bool) -> Row:
+    """The tail of a symbol as FOUND: a row of arrays; missing values are null again."""
+    columns = {c: np.ascontiguousarray(bars[c]) for c in VALUES}
+    values = {c: [None if x != x else x for x in v.tolist()] if np.isnan(v).any() else v for c, v in columns.items()}
+    return Row(symbol=symbol, first=base.n, opened=opened, us=np.ascontiguousarray(bars["us"]), **values, rsi=rsi)
+
+
+def as_tails(found: DataFrame) -> DataFrame:
+    """One row per bar, as TAIL."""
+    bars = F.posexplode(F.arrays_zip("us", *VALUES, "rsi")).alias("at", "bar")
+    rows = found.select("symbol", "first", F.size("us").alias("n"), "opened", bars)
+    return rows.select("symbol", "bar.us", *(f"bar.{c}" for c in VALUES), (F.col("first") + F.col("at")).alias("pos"), (F.col("first") + F.col("n")).alias("n_bars"),
+                       "bar.rsi", "opened")
 
 
 class SymbolTail(StatefulProcessor):
-    """Keeps `base` (value) and `tail` (list) of one symbol; gives the tail of each symbol that got bars."""
+    """Keeps base and tail of one symbol as one value; gives the tail of each symbol that got bars.
+
+    A value costs one call to read and one to write, whatever its length: a tail is not moved bar by bar.
+    """
 
     def __init__(self, bars: int, period: int):
         self.most, self.period = bars, period
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.base = handle.getValueState("base", BASE)
-        self.tail = handle.getListState("tail", BAR)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        base = Base(*self.base.get()) if self.base.exists() else Base()
-        known = {us: tuple(values) for us, *values in self.tail.get()} if self.tail.exists() else {}
-        bars, opened = merged(base, known, rows)
-        base, last = folded(base, bars, self.most, 1 - 1 / self.period)
-        if last:
-            self.base.update(tuple(base))
-            self.tail.put(last)
-            yield shown(key[0], base, last, self.period, opened)
+        self.state = handle.getValueState("tail", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        _, bundles, opened = zip(*rows)
+        state, base, bars, rsi = advanced(self.state.get(), np.frombuffer(b"".join(bundles), dtype=ROW), self.most, self.period)
+        self.state.update(state)
+        yield shown(key[0], base, bars, rsi, any(opened))
 
     def close(self) -> None:
         pass
@@ -116,32 +134,62 @@ def as_bars(rows: DataFrame, opened) -> DataFrame:
         "symbol", F.unix_micros("ts").alias("us"), *(F.col(c).cast("double").alias(c) for c in VALUES), F.coalesce(opened, F.lit(False)).alias("opened"))
 
 
+def bundled(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The bars of each symbol as one binary of ROWs."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    names = table.column("symbol").chunk(0).dictionary_encode()
+    number, rows = names.indices.to_numpy(), np.empty(table.num_rows, dtype=ROW)
+    for c in ROW.names:
+        rows[c] = table.column(c).to_numpy()
+    n = len(names.dictionary)
+    ends = np.cumsum(np.bincount(number, minlength=n)) * ROW.itemsize
+    data = rows[np.argsort(number, kind="stable")].tobytes()
+    bars = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, ends).astype("<i4").tobytes()), pa.py_buffer(data)])
+    opened = np.bincount(number, weights=table.column("opened").to_numpy(), minlength=n) > 0
+    return pa.RecordBatch.from_arrays([names.dictionary, bars, pa.array(opened)], names=["symbol", "bars", "opened"])
+
+
+def in_bundles(bars: DataFrame, most: int = BUNDLE_ROWS) -> DataFrame:
+    """Bars (of `as_bars`) of a micro-batch, those of a symbol together: a row that goes to the state one by one is dear.
+
+    A task looks at `most` bars at a time; a symbol has a bundle for each such portion.
+    """
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in batches:
+            waiting, n = [*waiting, batch], n + batch.num_rows
+            if n >= most:
+                yield bundled(waiting)
+                waiting, n = [], 0
+        if n:
+            yield bundled(waiting)
+
+    return bars.repartition("symbol").mapInArrow(bundle, "symbol string, bars binary, opened boolean")
+
+
 def symbol_tails(bars: DataFrame, opened, scan: ScanParams = ScanParams()) -> DataFrame:
-    """Stream of tails: for each symbol with bars in a micro-batch its last bars, with positions and RSI."""
-    return as_bars(bars, opened).groupBy("symbol").transformWithStateInPandas(
-        SymbolTail(scan.tail_bars, scan.rsi_period), TAIL, outputMode="Update", timeMode="None")
+    """Stream of tails: for each symbol with bars in a micro-batch its last bars as FOUND, which `as_tails` spreads."""
+    return in_bundles(as_bars(bars, opened)).groupBy("symbol").transformWithState(
+        SymbolTail(scan.tail_bars, scan.rsi_period), FOUND, outputMode="Update", timeMode="None")
 
 
 def stored_tails(spark: SparkSession, checkpoint: str, symbols: DataFrame, new: DataFrame, scan: ScanParams = ScanParams()) -> DataFrame:
     """Tails of few symbols from the state behind a checkpoint, with new bars (of `as_bars`) that it may not know yet."""
-    base = spark.createDataFrame([], f"symbol string, {BASE}")
-    old = spark.createDataFrame([], f"symbol string, {BAR}")
+    old = spark.createDataFrame([], f"symbol string, {STATE}")
     if path_exists(spark, f"{checkpoint}/state/0/_metadata"):
-        state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
-        base = state("base").select("key.symbol", "value.*")
-        old = state("tail").select("key.symbol", "list_element.*")
-    few = symbols.select("symbol").distinct()
-    kept = base.join(few, "symbol", "left_semi").select("symbol", F.struct("n", "last", "gain", "loss", "through").alias("base"))
-    rows = old.join(few, "symbol", "left_semi").withColumns({"opened": F.lit(False), "is_new": F.lit(False)}).unionByName(
-        new.join(few, "symbol", "left_semi").withColumn("is_new", F.lit(True))).join(kept, "symbol", "left")
-
-    def refold(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame["base"].iloc[0]
-        base = Base(*(first[c] for c in Base._fields)) if first is not None else Base()
-        base = base._replace(last=None if pd.isna(base.last) else base.last, through=None if pd.isna(base.through) else int(base.through))
-        known = {us: tuple(values) for us, *values in frame.loc[~frame["is_new"], ["us", *VALUES]].itertuples(index=False, name=None)}
-        bars, opened = merged(base, known, iter([frame[frame["is_new"]]]))
-        base, last = folded(base, bars, scan.tail_bars, 1 - 1 / scan.rsi_period)
-        return shown(frame["symbol"].iloc[0], base, last, scan.rsi_period, opened)
-
-    return rows.groupBy("symbol").applyInPandas(refold, TAIL)
+        old = spark.read.format("statestore").option("stateVarName", "tail").load(checkpoint).select("key.symbol", "value.*")
+    few, most, period = symbols.select("symbol").distinct(), scan.tail_bars, scan.rsi_period
+    known = old.join(few, "symbol", "left_semi").select("symbol", F.struct(*old.columns[1:]).alias("state"))
+    came = new.join(few, "symbol", "left_semi").groupBy("symbol").agg(
+        F.collect_list(F.struct("us", *VALUES)).alias("came"), F.max("opened").alias("opened"))
+
+    def refold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                some = np.array([tuple(NAN if v is None else v for v in bar.values()) for bar in row["came"] or []], dtype=ROW)
+                _, base, bars, rsi = advanced(tuple(row["state"].values()) if row["state"] else None, some, most, period)
+                rows.append(shown(row["symbol"], base, bars, rsi, bool(row["opened"])).asDict())
+            yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(FOUND))
+
+    return as_tails(known.join(came, "symbol", "full").mapInArrow(refold, FOUND))

@@ -1,19 +1,24 @@
 """What must not grow with the whole tables: rows kept, moved or looked at once more."""
 
+import datetime
 import os
 
 import numpy as np
 import pandas as pd
 import pytest
+from dateutil.easter import easter as easter_day
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from ebbtide.functions.dates import holiday
 from ebbtide.operators import joins, picks
 from ebbtide.operators import performance as P
 from ebbtide.operators.sessions import with_session
 from ebbtide.params import PerformanceParams
 from ebbtide.plans import jobs
 from ebbtide.sources import proxies
-from tests.helpers import bars, daily
+from ebbtide.streaming import tails
+from tests.helpers import bars, daily, slow_rsi, walk
 
 PERF = PerformanceParams(benchmark="SPY")
 
@@ -78,3 +83,47 @@ def test_nested_documents_are_stored_compressed(spark):
 
     files = QUERIES["S10_P5_nested_chain"](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def test_bars_reach_the_state_in_bundles(spark):
+    """A symbol hands the state a bundle for each portion of a task, not a row for each bar; nothing is lost on the way."""
+    b = tails.as_bars(bars(spark, *[daily(s, np.arange(1.0, 91.0)) for s in ("A", "B", "C")]).withColumn(
+        "volume", F.when(F.dayofmonth("ts") > 3, F.col("volume"))), F.col("symbol") == "B")
+    whole = tails.in_bundles(b).collect()
+    assert len(whole) == 3 and {r.symbol: r.opened for r in whole} == {"A": False, "B": True, "C": False}
+    cut = tails.in_bundles(b.repartition(7), most=1).collect()
+    for found in (whole, cut):
+        rows = sorted((r.symbol, *(None if x != x else x for x in bar)) for r in found for bar in np.frombuffer(r.bars, dtype=tails.ROW).tolist())
+        assert rows == sorted(tuple(r) for r in b.drop("opened").collect())
+
+
+def test_a_tail_is_one_value_of_the_state():
+    """A step of the state reads and writes one value, however long the tail."""
+    class Value:
+        calls, value = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    step = tails.SymbolTail(250, 14)
+    step.state = Value()
+    day, closes = 86_400_000_000, walk(3, 400)
+    for lo, hi in ((0, 300), (290, 400), (100, 120)):  # ten bars come twice, twenty come too late
+        came = np.array([(k * day, c, c, c, c, 1.0) for k, c in enumerate(closes)][lo:hi], dtype=tails.ROW)[::-1]
+        row = next(step.handleInputRows(("A",), iter([Row(symbol="A", bars=came.tobytes(), opened=True)]), None))
+    assert step.state.calls == 6 and row["first"] == 150 and list(row["us"]) == [k * day for k in range(150, 400)]
+    assert list(row["close"]) == list(closes[150:]) and row["rsi"] == pytest.approx(list(slow_rsi(closes)[150:]), rel=1e-9)
+
+
+def test_holidays_look_only_at_rules_of_their_month(spark):
+    """Each rule stands behind a test of the month, which finds the same days."""
+    days = spark.sql("select explode(sequence(date'1990-01-01', date'2035-12-31')) as day")
+    got = {r.day: r.h for r in days.select("day", holiday(F.col("day")).alias("h")).where("h is not null").collect()}
+    fridays = {easter_day(y) - datetime.timedelta(days=2) for y in range(1990, 2036)}
+    assert {d for d, h in got.items() if h == "good_friday"} == fridays
+    assert sum(h == "juneteenth" for h in got.values()) == 14 and sum(h == "thanksgiving" for h in got.values()) == 46
+    assert str(holiday(F.col("day"))).count("month(") >= 10
