@@ -65,29 +65,42 @@ def check_map(checks: DataFrame) -> DataFrame:
     return checks.groupBy("alert_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("checks"))
 
 
-def settle(checks: DataFrame, bars: DataFrame, now: str, params: PerformanceParams) -> DataFrame:
-    """State of every check at `now`.
+def first_run(params: PerformanceParams) -> Column:
+    """Second of the first run at or after the due time."""
+    return F.ceil(F.unix_seconds("due_ts") / F.lit(params.check_seconds)) * params.check_seconds
+
+
+def is_due(now: str, params: PerformanceParams) -> Column:
+    """Whether a check has been tried by `now`; one without a due time never is."""
+    return F.coalesce(F.timestamp_seconds(first_run(params)) <= F.lit(now).cast("timestamp"), F.lit(False))
+
+
+def settle(checks: DataFrame, bars: DataFrame, now: str, params: PerformanceParams, stored: bool = False) -> DataFrame:
+    """State of every check at `now`; `stored` tells that the checks are a written table.
 
     A check is tried on the first run at or after its due time and on the runs
     after it, up to the limit of attempts, until both prices are there. It ends
     as `settled`, `gave_up` (not counted) or `pending`.
     """
-    step = params.check_seconds
-    first = F.ceil(F.unix_seconds("due_ts") / F.lit(step)) * step
+    step, first = params.check_seconds, first_run(params)
     in_time = F.col("run_ts") <= F.lit(now).cast("timestamp")
     good = F.col("price").isNotNull() & F.col("bench").isNotNull()
 
     def runs(of: DataFrame, attempts: Column) -> DataFrame:
         return of.withColumn("attempt", attempts).withColumn("run_ts", F.timestamp_seconds(first + F.col("attempt") * step))
 
-    # Nearly all checks find their prices in the first run and end there, in their own row; only the others are tried again.
-    checks = written(checks, "checks")
+    # Checks whose first run lies ahead wait as they are. Nearly all others find their prices in it and end there, in their own row; the rest is tried again.
+    if not stored:
+        checks = written(checks, "checks")
+    due = is_due(now, params)
+    none = F.lit(None).cast("struct<attempt: int, run_ts: timestamp, price: double, bench: double>")
+    waiting = checks.where(~due).withColumns({"hit": none, "tried": F.lit(0)})
     shown = price_boards(bars, checks, params.benchmark)
-    once = with_prices(runs(checks, F.lit(0)), shown, "run_ts", "price", "bench")
-    hit = F.when(in_time & good, F.struct("attempt", "run_ts", "price", "bench"))
-    once = written(once.withColumns({"hit": hit, "tried": F.when(in_time, 1).otherwise(0)}).drop("attempt", "run_ts", "price", "bench"), "first-run")
-    missed = (F.col("tried") == 1) & F.col("hit").isNull()
-    ended = once
+    once = with_prices(runs(checks.where(due), F.lit(0)), shown, "run_ts", "price", "bench")
+    hit = F.when(good, F.struct("attempt", "run_ts", "price", "bench"))
+    once = written(once.withColumns({"hit": hit, "tried": F.lit(1)}).drop("attempt", "run_ts", "price", "bench"), "first-run")
+    missed = F.col("hit").isNull()
+    ended = once.where(~missed).unionByName(waiting) if params.max_attempts > 1 else once.unionByName(waiting)
     if params.max_attempts > 1:
         key = ["alert_id", "symbol", "horizon_h"]
         again = runs(once.where(missed).select(*key, "due_ts"), F.explode(F.sequence(F.lit(1), F.lit(params.max_attempts - 1)))).where(in_time)
@@ -95,7 +108,7 @@ def settle(checks: DataFrame, bars: DataFrame, now: str, params: PerformancePara
             F.min_by(F.struct("attempt", "run_ts", "price", "bench"), F.when(good, F.col("attempt"))).alias("hit"),
             (F.max("attempt") + 1).alias("tried"))
         later = once.where(missed).drop("hit", "tried").join(done, key, "left").withColumn("tried", F.coalesce("tried", F.lit(1)))
-        ended = once.where(~missed).unionByName(later)
+        ended = ended.unionByName(later)
     hit = F.col("hit").isNotNull()
     alpha = ((F.col("hit.price") / F.col("alert_price") - 1.0)
              - (F.col("hit.bench") / F.col("bench_price") - 1.0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.performance import PRICE_SESSIONS, fold, merge_folds, settle
+from ..operators.performance import PRICE_SESSIONS, fold, is_due, merge_folds, settle
 from ..operators.sessions import with_session
 from ..params import PerformanceParams
 from ..sources.readers import newest_delivery
@@ -25,7 +25,8 @@ def horizon_stream(bars: DataFrame, checks: DataFrame, prices: str, out: str, pe
     ones start from. Bars come in order of time from batch to batch; a later
     check can be priced only by the last sessions, so a batch leaves those bars
     in `prices` for the next and nothing older is read again. The newest time is
-    carried as one number. Beside the pending checks lies their summary so far:
+    carried as one number. Only bars of symbols with open checks and of the benchmark are kept,
+    and only checks that are due are judged. Beside the pending checks lies their summary so far:
     each batch adds its own to the one before.
     """
     columns, beside = checks.columns, pending.rstrip("/")
@@ -36,15 +37,23 @@ def horizon_stream(bars: DataFrame, checks: DataFrame, prices: str, out: str, pe
         clock = batch.agg(F.max("ts").alias("now")).unionByName(before).agg(F.max("now").alias("now"))
         write_version(clock, f"{beside}-clock", number)
         now = read_version(spark, f"{beside}-clock", number).select(F.date_format("now", "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        if number == 0:
+            write_version(checks, f"{beside}-start", number)
+        open_ = read_version(spark, f"{beside}-start", number) if number == 0 else read_before(spark, pending, number, checks.schema)
+        # Only prices of symbols that still have a check, and of the benchmark, are looked at by this and later batches.
+        index = spark.createDataFrame([(params.benchmark,)], "symbol string")
+        write_version(open_.select("symbol").union(index).distinct(), f"{beside}-asked", number)
         late = read_before(spark, prices, number, HISTORY).withColumn("batch", F.lit(0))
-        write_version(newest_delivery(batch.select(*HISTORY.names).withColumn("batch", F.lit(1)).unionByName(late), "batch"), f"{beside}-bars", number)
+        came = batch.select(*HISTORY.names).withColumn("batch", F.lit(1)).unionByName(late).join(read_version(spark, f"{beside}-asked", number), "symbol", "left_semi")
+        write_version(newest_delivery(came, "batch"), f"{beside}-bars", number)
         known = read_version(spark, f"{beside}-bars", number)
-        open_ = checks if number == 0 else read_before(spark, pending, number, checks.schema)
-        # Written once; all results are read from it.
-        write_version(settle(open_, known, now, params), f"{beside}-judged", number)
+        # Written once; all results are read from it. Checks that are not due yet are not judged.
+        due = is_due(now, params)
+        waiting = open_.where(~due).select(*columns)
+        write_version(settle(open_.where(due), known, now, params, stored=True), f"{beside}-judged", number)
         judged = read_version(spark, f"{beside}-judged", number)
         write_version(judged.where("status <> 'pending'"), out, number)
-        write_version(judged.where("status = 'pending'").select(*columns), pending, number)
+        write_version(judged.where("status = 'pending'").select(*columns).unionByName(waiting), pending, number)
         had = read_before(spark, f"{beside}-summary", number, spark.createDataFrame([], SUMMARY).schema)
         write_version(merge_folds(had, fold(judged)), f"{beside}-summary", number)
         last = with_session(spark.createDataFrame([(now,)], "now string"), "now").first()["_session"]

@@ -18,6 +18,7 @@ from ebbtide.params import PerformanceParams
 from ebbtide.plans import jobs
 from ebbtide.sources import proxies
 from ebbtide.streaming import tails
+from ebbtide.streaming.horizon import horizon_stream
 from tests.helpers import bars, daily, slow_rsi, walk
 
 PERF = PerformanceParams(benchmark="SPY")
@@ -127,3 +128,18 @@ def test_holidays_look_only_at_rules_of_their_month(spark):
     assert {d for d, h in got.items() if h == "good_friday"} == fridays
     assert sum(h == "juneteenth" for h in got.values()) == 14 and sum(h == "thanksgiving" for h in got.values()) == 46
     assert str(holiday(F.col("day"))).count("month(") >= 10
+
+
+def test_horizon_batches_judge_due_checks_and_keep_prices_asked_for(spark, tmp_path):
+    """A check far from its due time meets no price and no join; bars of symbols without checks are not kept."""
+    b = bars(spark, *[daily(s, [10.0] * 40) for s in ("SPY", "A", "B")])
+    a = spark.sql("select id as alert_id, 'A' as symbol, timestamp'2024-01-03' + make_interval(0, 0, 0, cast(id * 20 as int)) as alert_ts from range(2)")
+    checks = P.horizon_checks(P.track(a, b, PERF), PERF)
+    source, pending = str(tmp_path / "in"), str(tmp_path / "pending")
+    b.where("ts < '2024-01-12'").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(b.schema).parquet(source)
+    horizon_stream(stream, checks, str(tmp_path / "prices"), str(tmp_path / "out"), pending, str(tmp_path / "ckpt"), PERF).awaitTermination()
+    read = lambda path: spark.read.parquet(str(path))
+    assert sorted(r.alert_id for r in read(f"{pending}-judged/batch=0").collect()) == [0, 0]
+    assert sorted(r.alert_id for r in read(f"{pending}/batch=0").collect()) == [1, 1]
+    assert {r.symbol for r in read(tmp_path / "prices" / "batch=0").collect()} == {"SPY", "A"}
