@@ -143,3 +143,13 @@ def test_horizon_batches_judge_due_checks_and_keep_prices_asked_for(spark, tmp_p
     assert sorted(r.alert_id for r in read(f"{pending}-judged/batch=0").collect()) == [0, 0]
     assert sorted(r.alert_id for r in read(f"{pending}/batch=0").collect()) == [1, 1]
     assert {r.symbol for r in read(tmp_path / "prices" / "batch=0").collect()} == {"SPY", "A"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables are not here")
+def test_the_contract_gate_runs_once_for_all_slices(spark):
+    from ebbtide.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    QUERIES["T2_T3_alert_stream"](spark, folder)
+    gated, cut = (spark.read.parquet(proxies.stored_path(spark, folder, name) + more) for name, more in (("gated_alerts", ""), ("gated_alerts in slices", "/*")))
+    assert cut.exceptAll(gated).isEmpty() and gated.exceptAll(cut).isEmpty() and not gated.isEmpty()
