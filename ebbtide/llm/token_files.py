@@ -33,7 +33,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,25 +49,63 @@ FOOTER = "<6q8s"
 BLOCK_IDS = 1 << 16
 FILE_TEXT_BYTES = 32 << 20
 CACHED_PIECES = 600_000
-PIECE_CHARS = 64
-PORTION_BYTES = 1 << 20
+PIECE_BYTES = 64
+PORTION_BYTES = 4 << 20
+JOINED_PIECES = 256
 LEVEL = 3
 
-#: A byte-level tokenizer always starts a new piece before white space after one of the first characters, and before . , : ; after letters and digits.
-CUT = re.compile("(?=[ \t\r\n.,:;])(?:(?<=[!-~À-ÖØ-öø-ÿ])(?=[ \t\r\n])|(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[.,:;]))")
+#: Stands between new pieces that are encoded in one call; pieces that hold it are encoded by themselves.
+MARK = "\U000F8FF0"
+
+# Bytes before which a piece may start: 1 for white space, 2 for . , : ; and after which bytes that is so.
+OPENS, CLOSES = np.zeros(256, dtype=np.uint8), np.zeros(256, dtype=np.uint8)
+OPENS[list(b" \t\r\n")], OPENS[list(b".,:;")] = 1, 2
+CLOSES[0x21:0x7F] = 1
+CLOSES[[b for b in range(128) if chr(b).isalnum()]] = 3
+CLOSES[0x80:0xC0] = 3  # second bytes of letters from U+00C0 to U+00FF, but for the signs of times and division
+CLOSES[[0x97, 0xB7]] = 0
 
 
 # -- encoding
 
-def encoder(tokenizer_json: str, end_id: int) -> Callable[[list], list[bytes]]:
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """Where a byte-level tokenizer always starts a new piece of UTF-8 text.
+
+    Before white space after a visible character of ASCII or a letter of Latin-1, and
+    before . , : ; after letters of both and digits.
+    """
+    at = np.flatnonzero(OPENS[data])
+    at = at[at > 0]
+    last = data[at - 1]
+    fits = (OPENS[data[at]] & CLOSES[last]) != 0
+    return at[fits & ((last < 0x80) | (data[at - 2] == 0xC3))]
+
+
+def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of texts without nulls as slices of their bytes, and the number of pieces before each text and after the last."""
+    texts = texts.cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, dtype="<i8")[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype="<i8")
+    data = np.frombuffer(data or b"", dtype=np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    starts = np.zeros(len(data), dtype=bool)
+    starts[piece_starts(data)] = True
+    starts[ends[ends < len(data)]] = True
+    starts = np.flatnonzero(starts)
+    offsets = np.append(starts, len(data)).astype("<i8")
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), np.searchsorted(starts, ends)
+
+
+def encoder(tokenizer_json: str, end_id: int) -> Callable[[pa.Array | list], list[bytes]]:
     """Function from texts to their ids, each as little-endian unsigned 32-bit integers, with the end id.
 
-    Byte-level tokenizers without a normaliser never join what CUT parts, so the
-    pieces of a text are encoded by themselves, and recent ones only once. Other
-    tokenizers get whole texts.
+    Byte-level tokenizers without a normaliser never join what `piece_starts` parts, so
+    the distinct pieces of some texts are encoded by themselves, and recent ones only
+    once; ids of texts are then taken from those of pieces. New pieces go to the tokenizer
+    many in one call, with a special token between them. Other tokenizers get whole texts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+    from tokenizers import AddedToken, Tokenizer
 
     spec = json.loads(tokenizer_json)
     own = Tokenizer.from_str(tokenizer_json)
@@ -77,36 +114,51 @@ def encoder(tokenizer_json: str, end_id: int) -> Callable[[list], list[bytes]]:
     before = spec.get("pre_tokenizer") or {}
     separate = (spec.get("normalizer") is None and spec.get("post_processor") is None and spec["model"]["type"] == "BPE" and before.get("type") == "ByteLevel"
                 and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-                and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or CUT.search(t["content"]) for t in spec.get("added_tokens", [])))
-    end = struct.pack("<I", end_id)
-
-    def ids_of(texts: list[str]) -> list[bytes]:
-        """Ids of many short texts: one array is cut into all of them."""
-        ids = [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-        data, at, out = np.array(list(chain.from_iterable(ids)), dtype="<u4").tobytes(), 0, []
-        for n in map(len, ids):
-            out.append(data[at:at + 4 * n])
-            at += 4 * n
+                and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or MARK in t["content"] or len(piece_starts(np.frombuffer(t["content"].encode(), dtype=np.uint8)))
+                            for t in spec.get("added_tokens", [])))
+    end, mark = struct.pack("<I", end_id), MARK.encode()
+    parted = Tokenizer.from_str(own.to_str())
+    parted.add_special_tokens([AddedToken(MARK, normalized=False, special=True)])
+    mark_id = parted.token_to_id(MARK)
+
+    def ids_of(texts: list[str], by: Tokenizer = own) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in by.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of_pieces(pieces: list[bytes]) -> dict[bytes, bytes]:
+        alone = [p for p in pieces if mark in p]
+        rest = [p for p in pieces if mark not in p] if alone else pieces
+        out = {p: ids.tobytes() for p, ids in zip(alone, ids_of([p.decode() for p in alone]))}
+        groups = [rest[lo:lo + JOINED_PIECES] for lo in range(0, len(rest), JOINED_PIECES)]
+        for group, ids in zip(groups, ids_of([mark.join(g).decode() for g in groups], parted)):
+            marks, data = (np.flatnonzero(ids == mark_id) * 4).tolist(), ids.tobytes()
+            out.update((p, data[lo:hi]) for p, lo, hi in zip(group, [0, *(m + 4 for m in marks)], [*marks, len(data)], strict=True))
         return out
 
-    young: dict[str, bytes] = {}
-    old: dict[str, bytes] = {}
+    young: dict[bytes, bytes] = {}
+    old: dict[bytes, bytes] = {}
 
-    def encode(texts: list) -> list[bytes]:
+    def encode(texts: pa.Array | list) -> list[bytes]:
         nonlocal young, old
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not separate:
-            return [ids + end for ids in ids_of([t or "" for t in texts])]
+            return [ids.tobytes() + end for ids in ids_of(texts.to_pylist())]
         if len(young) > CACHED_PIECES:
             young, old = {}, young
-        cut = [CUT.split(t) if t else [] for t in texts]
-        missing = set().union(*cut).difference(young)
+        pieces, bounds = pieces_of(texts)
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # a list of bytes, made faster than by to_pylist
+        found = list(map(young.get, distinct))
+        missing = [p for p, v in zip(distinct, found) if v is None]
         known = {p: old[p] for p in missing if p in old}
-        asked = list(missing.difference(known))
-        known.update(zip(asked, ids_of(asked)))
-        young.update((p, v) for p, v in known.items() if len(p) <= PIECE_CHARS)
-        long = {p: v for p, v in known.items() if len(p) > PIECE_CHARS}
-        find = (lambda p: long[p] if p in long else young[p]) if long else young.__getitem__
-        return [b"".join(map(find, pieces)) + end for pieces in cut]
+        known.update(ids_of_pieces([p for p in missing if p not in known]))
+        young.update((p, v) for p, v in known.items() if len(p) <= PIECE_BYTES)
+        values = pa.array([*(known[p] if v is None else v for p, v in zip(distinct, found)), end], pa.large_binary())
+        # After the pieces of each text the end id, as one piece more.
+        taken = values.take(pa.array(np.insert(coded.indices.to_numpy(), bounds[1:], len(distinct))))
+        _, offsets, data = taken.buffers()
+        cuts = np.frombuffer(offsets, dtype="<i8")[bounds + np.arange(len(bounds))].tolist() if len(texts) else [0]
+        ids = memoryview(data) if data else b""
+        return [bytes(ids[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
 
     return encode
 
@@ -272,7 +324,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_co
                 writer = PlaneWriter(store.open_output_stream(path), block_ids, kind)
             for lo, hi in portions(batch.column(1)):
                 some = batch.slice(lo, hi - lo)
-                for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+                for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     writer.add(doc, ids)
         if writer is not None:
             n_ids, n_docs = writer.close()

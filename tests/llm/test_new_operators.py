@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ebbtide.llm import conversation_trie as trie
@@ -179,3 +180,47 @@ def test_token_files(spark):
         assert sorted(((r[0], r[2], r[3]) for r in got), key=repr) == sorted(((d, len(ids[t]), zlib.crc32(ids[t].tobytes())) for d, t in rows), key=repr)
         assert manifest.count() == 1 or size == 5000
     assert tokens.read_token_files(tokens.write_token_files(frame.limit(0), PATH)).count() == 0
+
+
+def test_new_pieces_share_calls_of_the_tokenizer(monkeypatch):
+    import tokenizers
+
+    own, strings = tokenizers.Tokenizer.from_file(PATH), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        @staticmethod
+        def from_str(text):
+            return Counted(real.from_str(text))
+
+        def encode_batch_fast(self, texts, **options):
+            strings.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+    real = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    mark = "\U000F8FF0"
+    texts = [" ".join(f"word{i}x{j}" for j in range(100)) for i in range(50)] + [None, "", f"a{mark} {mark}b <|endoftext|>{mark}", mark, "a× b÷. é. 中. ...", "", "word1x1"]
+    want = [np.asarray([*own.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4").tobytes() for t in texts]
+    encode = tokens.encoder(open(PATH, encoding="utf-8").read(), 0)
+    assert encode(texts) == want
+    assert len(strings) < 100  # 5,000 distinct words and more; each was a string of its own
+    strings.clear()
+    assert encode(pa.array(["lost", *texts, "lost"])[1:-1]) == want and encode([]) == [] and encode([None]) == want[50:51]
+    assert all(mark in s for s in strings)  # pieces with the mark may be long; others are known by now
+
+
+def test_pieces_start_where_the_plain_pattern_parts():
+    import re
+
+    plain = re.compile("(?=[ \t\r\n.,:;])(?:(?<=[!-~À-ÖØ-öø-ÿ])(?=[ \t\r\n])|(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[.,:;]))")
+    rng, marks = random.Random(2), [*"abzAZ09  \t\r\n.,:;'!-~×÷éÿÀ¿ª–中\U0001f600\x00\x7f\x85"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 30))) for _ in range(2000)]
+    pieces, bounds = tokens.pieces_of(pa.array(["cut", *texts])[1:])
+    got = [[p.decode() for p in pieces[int(lo):int(hi)].to_pylist()] for lo, hi in zip(bounds, bounds[1:])]
+    assert got == [plain.split(t) if t else [] for t in texts]
