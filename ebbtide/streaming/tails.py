@@ -6,6 +6,10 @@ losses. A new bar costs one step of the sums, whatever the length of the
 history, and nothing older is ever read again. The state lives in RocksDB; the
 `statestore` source reads it as a table, so that other jobs can score symbols
 without the scan.
+
+A call to the state and a batch of its answers cost more than the step of a
+symbol, so symbols share BUCKETS keys by hash: a micro-batch makes two calls for
+each key at most, however many symbols there are.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 VALUES = tuple(PRICE_COLUMNS)
 NAN = float("nan")
 BUNDLE_ROWS = 250_000
+BUCKETS = 4096  # keys of the state: one or two symbols each for a whole market, 90 for 360,000 symbols (1.3 MB)
 ROW = np.dtype([("us", "<i8"), *((c, "<f8") for c in VALUES)])  # a bar in the state; a missing value is NaN
-STATE = "n bigint, last double, gain double, loss double, through bigint, bars binary"
+TAIL_STATE = "symbol string, n bigint, last double, gain double, loss double, through bigint, bars binary"
+STATE = f"tails array<struct<{TAIL_STATE}>>"
 FOUND = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("first", T.LongType()), T.StructField("opened", T.BooleanType()),
                       T.StructField("us", T.ArrayType(T.LongType())), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in (*VALUES, "rsi"))])
 TAIL = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("us", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in VALUES),
@@ -68,22 +74,28 @@ def merged(base: Base, known: np.ndarray, new: np.ndarray) -> np.ndarray:
     return both[np.argsort(both["us"])]
 
 
-def folded(base: Base, bars: np.ndarray, most: int, period: int) -> tuple[Base, np.ndarray, list[float | None]]:
+def folded(base: Base, bars: np.ndarray, most: int, period: int) -> tuple[Base, np.ndarray, np.ndarray | list[float | None]]:
     """The base after the oldest bars beyond `most`, the other bars, and the RSI at each of them."""
-    old, keep, now, rsi = max(0, len(bars) - most), 1 - 1 / period, base, []
-    times, closes = bars["us"].tolist(), bars["close"].tolist()
-    n, last, gain, loss = base[:4]
-    for k, close in enumerate(closes):
-        move = 0.0 if last is None else close - last
-        n, last, gain, loss = n + 1, close, gain * keep + max(move, 0.0), loss * keep + max(-move, 0.0)
-        if k < old:
-            now = (n, last, gain, loss)
-        else:
-            rsi.append(None if n <= period else 100.0 if loss == 0 else 100.0 - 100.0 / (1.0 + gain / loss))
-    return (Base(*now, times[old - 1]) if old else base), bars[old:], rsi
-
-
-def advanced(state: tuple | None, came: np.ndarray, most: int, period: int) -> tuple[tuple, Base, np.ndarray, list[float | None]]:
+    if not len(bars):
+        return base, bars, []
+    old, keep, closes = max(0, len(bars) - most), 1 - 1 / period, bars["close"]
+    moves = np.diff(closes, prepend=closes[0] if base.last is None else base.last)
+    if base.last is None:
+        moves[0] = 0.0
+    gain, loss, gains, losses = base.gain, base.loss, [], []
+    for up, down in zip(np.maximum(moves, 0.0).tolist(), np.maximum(-moves, 0.0).tolist()):
+        gain, loss = gain * keep + up, loss * keep + down
+        gains.append(gain)
+        losses.append(loss)
+    up, down = np.array(gains[old:]), np.array(losses[old:])
+    with np.errstate(all="ignore"):
+        rsi = np.where(down == 0, 100.0, 100.0 - 100.0 / (1.0 + up / down))
+    early = min(max(0, period - base.n - old), len(rsi))  # too few bars before them
+    now = Base(base.n + old, float(closes[old - 1]), gains[old - 1], losses[old - 1], int(bars["us"][old - 1])) if old else base
+    return now, bars[old:], [*[None] * early, *rsi[early:].tolist()] if early else rsi
+
+
+def advanced(state: tuple | None, came: np.ndarray, most: int, period: int) -> tuple[tuple, Base, np.ndarray, np.ndarray | list[float | None]]:
     """State, base, tail and RSI of a symbol after some bars came."""
     base = Base(*state[:5]) if state else Base()
     known = np.frombuffer(state[5] if state else b"", dtype=ROW)
@@ -91,7 +103,7 @@ def advanced(state: tuple | None, came: np.ndarray, most: int, period: int) -> t
     return (*base, bars.tobytes()), base, bars, rsi
 
 
-def shown(symbol: str, base: Base, bars: np.ndarray, rsi: list[float | None], opened: bool) -> Row:
+def shown(symbol: str, base: Base, bars: np.ndarray, rsi: np.ndarray | list[float | None], opened: bool) -> Row:
     """The tail of a symbol as FOUND: a row of arrays; missing values are null again."""
     columns = {c: np.ascontiguousarray(bars[c]) for c in VALUES}
     values = {c: [None if x != x else x for x in v.tolist()] if np.isnan(v).any() else v for c, v in columns.items()}
@@ -107,7 +119,7 @@ def as_tails(found: DataFrame) -> DataFrame:
 
 
 class SymbolTail(StatefulProcessor):
-    """Keeps base and tail of one symbol as one value; gives the tail of each symbol that got bars.
+    """Keeps base and tail of the symbols of a bucket as one value; gives the tail of each symbol that got bars.
 
     A value costs one call to read and one to write, whatever its length: a tail is not moved bar by bar.
     """
@@ -116,13 +128,21 @@ class SymbolTail(StatefulProcessor):
         self.most, self.period = bars, period
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tail", STATE)
+        self.state = handle.getValueState("tails", STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        _, bundles, opened = zip(*rows)
-        state, base, bars, rsi = advanced(self.state.get(), np.frombuffer(b"".join(bundles), dtype=ROW), self.most, self.period)
-        self.state.update(state)
-        yield shown(key[0], base, bars, rsi, any(opened))
+        came: dict[str, tuple[list[bytes], list[bool]]] = {}
+        for symbol, bundle, opened, *_ in rows:
+            bundles, some = came.setdefault(symbol, ([], []))
+            bundles.append(bundle)
+            some.append(opened)
+        state = self.state.get()
+        tails, found = {symbol: (*base, bytes(bars)) for symbol, *base, bars in state[0]} if state else {}, []
+        for symbol, (bundles, some) in came.items():
+            tails[symbol], base, bars, rsi = advanced(tails.get(symbol), np.frombuffer(b"".join(bundles), dtype=ROW), self.most, self.period)
+            found.append(shown(symbol, base, bars, rsi, any(some)))
+        self.state.update(([(symbol, *tail) for symbol, tail in tails.items()],))
+        yield from found
 
     def close(self) -> None:
         pass
@@ -169,15 +189,16 @@ def in_bundles(bars: DataFrame, most: int = BUNDLE_ROWS) -> DataFrame:
 
 def symbol_tails(bars: DataFrame, opened, scan: ScanParams = ScanParams()) -> DataFrame:
     """Stream of tails: for each symbol with bars in a micro-batch its last bars as FOUND, which `as_tails` spreads."""
-    return in_bundles(as_bars(bars, opened)).groupBy("symbol").transformWithState(
+    bundles = in_bundles(as_bars(bars, opened)).withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(BUCKETS)))
+    return bundles.groupBy("bucket").transformWithState(
         SymbolTail(scan.tail_bars, scan.rsi_period), FOUND, outputMode="Update", timeMode="None")
 
 
 def stored_tails(spark: SparkSession, checkpoint: str, symbols: DataFrame, new: DataFrame, scan: ScanParams = ScanParams()) -> DataFrame:
     """Tails of few symbols from the state behind a checkpoint, with new bars (of `as_bars`) that it may not know yet."""
-    old = spark.createDataFrame([], f"symbol string, {STATE}")
+    old = spark.createDataFrame([], TAIL_STATE)
     if path_exists(spark, f"{checkpoint}/state/0/_metadata"):
-        old = spark.read.format("statestore").option("stateVarName", "tail").load(checkpoint).select("key.symbol", "value.*")
+        old = spark.read.format("statestore").option("stateVarName", "tails").load(checkpoint).select(F.explode("value.tails").alias("tail")).select("tail.*")
     few, most, period = symbols.select("symbol").distinct(), scan.tail_bars, scan.rsi_period
     known = old.join(few, "symbol", "left_semi").select("symbol", F.struct(*old.columns[1:]).alias("state"))
     came = new.join(few, "symbol", "left_semi").groupBy("symbol").agg(

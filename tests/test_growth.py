@@ -153,3 +153,40 @@ def test_the_contract_gate_runs_once_for_all_slices(spark):
     QUERIES["T2_T3_alert_stream"](spark, folder)
     gated, cut = (spark.read.parquet(proxies.stored_path(spark, folder, name) + more) for name, more in (("gated_alerts", ""), ("gated_alerts in slices", "/*")))
     assert cut.exceptAll(gated).isEmpty() and gated.exceptAll(cut).isEmpty() and not gated.isEmpty()
+
+
+def test_symbols_of_a_bucket_share_the_calls_of_the_state():
+    """Ten symbols cost as many calls as one; what each gives is what it gives alone, also when only some get bars."""
+    class Value:
+        calls, value = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    def came(symbol, lo, hi):
+        closes = walk(symbol, 40)
+        return np.array([(k, c, c, c, c, float("nan")) for k, c in enumerate(closes)][lo:hi], dtype=tails.ROW).tobytes()
+
+    def run(symbols):
+        step = tails.SymbolTail(20, 14)
+        step.state = Value()
+        out = []
+        for lo, hi, chosen in ((0, 10, symbols), (10, 30, symbols[::2]), (30, 40, symbols)):
+            rows = [Row(symbol=f"S{s}", bars=came(s, *part), opened=part[0] == lo, bucket=1) for s in chosen for part in ((lo, hi - 3), (hi - 3, hi))]
+            out += [{k: list(v) if hasattr(v, "__len__") and not isinstance(v, str) else v for k, v in r.asDict().items()} for r in step.handleInputRows((1,), iter(rows), None)]
+        return step.state.calls, out
+
+    calls, together = run(list(range(10)))
+    assert calls == 6 and len(together) == 25 and all(r["opened"] for r in together)
+    for s in (0, 2, 8):
+        alone = run([s])
+        assert alone[0] == 6 and alone[1] == [r for r in together if r["symbol"] == f"S{s}"]
+    assert [r["first"] for r in together if r["symbol"] == "S2"] == [0, 10, 20] and [r["first"] for r in together if r["symbol"] == "S3"] == [0, 0]
+    last = [r for r in together if r["symbol"] == "S2"][-1]
+    assert last["rsi"] == pytest.approx(list(slow_rsi(walk(2, 40))[20:]), rel=1e-9) and last["volume"] == [None] * 20
+    first = next(r for r in together if r["symbol"] == "S2")
+    assert first["rsi"] == [None] * 10
