@@ -92,11 +92,12 @@ def hot_lane_stream(bars: DataFrame, state: str, hot: str, out: str, checkpoint:
 
     `state` is the checkpoint of the scan stream, whose state is read as a table,
     and `hot` the folder of its hot list. Each trigger looks at what they hold by
-    then, and at its own bars, which the scan may have seen or not.
+    then, and at its own bars, which the scan may have seen or not. It takes the
+    whole list: a cut by name would leave out the same symbols every time.
     """
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        only = signals.hot_lane(read_newest(spark, hot, HOT), scan)
+        only = read_newest(spark, hot, HOT)
         new = as_bars(batch, in_session(F.col("ts"), session))
         came = only.join(new.select("symbol").distinct(), "symbol", "left_semi")
         scored, _ = scan_step(stored_tails(spark, state, came, new, scan), session, scan, clock() if clock else None)

@@ -34,8 +34,8 @@ from ..sources.readers import path_exists
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
 
 VALUES = tuple(PRICE_COLUMNS)
-NAN = float("nan")
 BUNDLE_ROWS = 250_000
+SHOWN = 256  # symbols whose tails go out in one batch
 BUCKETS = 4096  # keys of the state: one or two symbols each for a whole market, 90 for 360,000 symbols (1.3 MB)
 ROW = np.dtype([("us", "<i8"), *((c, "<f8") for c in VALUES)])  # a bar in the state; a missing value is NaN
 TAIL_STATE = "symbol string, n bigint, last double, gain double, loss double, through bigint, bars binary"
@@ -195,21 +195,23 @@ def symbol_tails(bars: DataFrame, opened, scan: ScanParams = ScanParams()) -> Da
 
 
 def stored_tails(spark: SparkSession, checkpoint: str, symbols: DataFrame, new: DataFrame, scan: ScanParams = ScanParams()) -> DataFrame:
-    """Tails of few symbols from the state behind a checkpoint, with new bars (of `as_bars`) that it may not know yet."""
+    """Tails of some symbols from the state behind a checkpoint, with new bars (of `as_bars`) that it may not know yet.
+
+    However many symbols there are, a task unfolds the tails of SHOWN of them at a time.
+    """
     old = spark.createDataFrame([], TAIL_STATE)
     if path_exists(spark, f"{checkpoint}/state/0/_metadata"):
         old = spark.read.format("statestore").option("stateVarName", "tails").load(checkpoint).select(F.explode("value.tails").alias("tail")).select("tail.*")
-    few, most, period = symbols.select("symbol").distinct(), scan.tail_bars, scan.rsi_period
-    known = old.join(few, "symbol", "left_semi").select("symbol", F.struct(*old.columns[1:]).alias("state"))
-    came = new.join(few, "symbol", "left_semi").groupBy("symbol").agg(
-        F.collect_list(F.struct("us", *VALUES)).alias("came"), F.max("opened").alias("opened"))
+    some, most, period = symbols.select("symbol").distinct(), scan.tail_bars, scan.rsi_period
+    known = old.join(some, "symbol", "left_semi").select("symbol", F.struct(*old.columns[1:]).alias("state"))
+    came = in_bundles(new.join(some, "symbol", "left_semi")).groupBy("symbol").agg(F.collect_list("bars").alias("came"), F.max("opened").alias("opened"))
 
     def refold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (batch.slice(at, SHOWN) for batch in batches for at in range(0, batch.num_rows, SHOWN)):
             rows = []
-            for row in batch.to_pylist():
-                some = np.array([tuple(NAN if v is None else v for v in bar.values()) for bar in row["came"] or []], dtype=ROW)
-                _, base, bars, rsi = advanced(tuple(row["state"].values()) if row["state"] else None, some, most, period)
+            for row in part.to_pylist():
+                bundles = np.frombuffer(b"".join(row["came"] or []), dtype=ROW)
+                _, base, bars, rsi = advanced(tuple(row["state"].values()) if row["state"] else None, bundles, most, period)
                 rows.append(shown(row["symbol"], base, bars, rsi, bool(row["opened"])).asDict())
             yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(FOUND))
 

@@ -131,6 +131,27 @@ def test_scan_step_is_gated_and_hot_lane_looks_at_hot_symbols_only(spark, tmp_pa
     assert read_newest(spark, hot_list, HOT).isEmpty() and read_newest(spark, str(tmp_path / "none"), HOT).isEmpty()
 
 
+def test_hot_lane_takes_the_whole_list(spark, tmp_path):
+    """More symbols than a list of the first 300 and than a task unfolds at a time; one without state, one with gaps."""
+    from ebbtide.operators import signals
+    from ebbtide.streaming.tails import SHOWN
+    falling = np.concatenate([np.full(30, 50.0), 50 - np.cumsum(np.linspace(0.2, 1.5, 20))])
+    names, params = [f"H{k:03d}" for k in range(SHOWN + 60)], ScanParams(signal_score=2)
+    anytime = SessionParams(pause_weekends_and_holidays=False)
+    gap = (F.col("symbol") == "H007") & F.col("close").between(45, 49)
+    frame = bars(spark, *(daily(name, falling) for name in names)).withColumn("volume", F.when(~gap, F.col("volume")))
+    is_new = (F.col("ts") >= "2024-03-01") | (F.col("symbol") == "H010")
+    source, early, state, hot_list, out = (str(tmp_path / x) for x in ("in", "early", "state", "hot", "out"))
+    frame.where(is_new).coalesce(1).write.parquet(source)
+    frame.where(~is_new).coalesce(1).write.parquet(early)
+    scan_stream(spark.readStream.schema(HISTORY).parquet(early), str(tmp_path / "seen"), hot_list, state, anytime, params).awaitTermination()
+    write_version(spark.createDataFrame([(name,) for name in names], "symbol string"), hot_list, 9)
+    hot_lane_stream(spark.readStream.schema(HISTORY).parquet(source), state, hot_list, out, str(tmp_path / "ckpt"), anytime, params, every=None).awaitTermination()
+    key = lambda df: sorted((r["symbol"], r.signature, r.bar_ts, r.reasons["rsi"]) for r in df.collect())
+    want = key(signals.signals(signals.scan(frame, params), params))
+    assert len(want) == len(names) and key(spark.read.parquet(out)) == want
+
+
 def test_half_written_version_does_not_count(spark, tmp_path):
     path, a = str(tmp_path / "hot"), spark.createDataFrame([("A",)], "symbol string")
     write_version(a, path, 0)
